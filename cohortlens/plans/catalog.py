@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.operators import cohort
+from cohortlens.operators import cohort, proximity
 from cohortlens.plans import oracle
 from cohortlens.sources import fixtures as fx
 
@@ -21,12 +22,59 @@ def q_cohort_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.funnel_stats(fx.notes(spark, sf_dir))
 
 
+def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.delivery_cohort(fx.notes(spark, sf_dir))
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity.code_families(proximity.diagnoses_before(fx.diagnoses(spark, sf_dir)))
+
+
+def q_dx_families(spark, sf_dir):
+    return _families(spark, sf_dir)
+
+
+def q_dx_proximity_butwick(spark, sf_dir):
+    return proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition="butwick")
+
+
+def q_dx_proximity_zheutlin(spark, sf_dir):
+    return proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition="zheutlin")
+
+
+def q_dx_nearest(spark, sf_dir):
+    return proximity.nearest_diagnosis(_cohort(spark, sf_dir), _families(spark, sf_dir))
+
+
+def q_dx_nearest_window(spark, sf_dir):
+    return proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition=None,
+                                    one_per_note=True)
+
+
+def q_cohort_linked(spark, sf_dir):
+    """Families -> ±14 d join -> zheutlin codes -> inpatient -> same instant."""
+    pairs = proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition="zheutlin")
+    return pairs.filter((F.col("Inpatient_Outpatient") == "Inpatient") & (F.col("abs_diff_days") == 0))
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
+    "dx_families": q_dx_families,
+    "dx_proximity_butwick": q_dx_proximity_butwick,
+    "dx_proximity_zheutlin": q_dx_proximity_zheutlin,
+    "dx_nearest": q_dx_nearest,
+    "dx_nearest_window": q_dx_nearest_window,
+    "cohort_linked": q_cohort_linked,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
     "cohort_delivery": oracle.cohort_delivery,
     "cohort_funnel": oracle.cohort_funnel,
+    "dx_families": oracle.dx_families,
+    "dx_proximity_butwick": lambda: oracle.dx_proximity("butwick"),
+    "dx_proximity_zheutlin": lambda: oracle.dx_proximity("zheutlin"),
+    "dx_nearest": oracle.dx_nearest,
+    "dx_nearest_window": oracle.dx_nearest_window,
+    "cohort_linked": oracle.cohort_linked,
 }

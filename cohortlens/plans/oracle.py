@@ -137,3 +137,60 @@ SELECT step_idx, step, n_rows, n_patients, n_report_numbers, n_patient_reports,
   coalesce(lag(n_rows) OVER (ORDER BY step_idx) - n_rows, 0) AS removed_rows,
   coalesce(lag(n_patients) OVER (ORDER BY step_idx) - n_patients, 0) AS removed_patients
 FROM agg""")
+
+
+# --- diagnosis proximity (F11-F16, J1-J3, G2) --------------------------------------------------
+
+def _dx_ctes() -> str:
+    from cohortlens.operators import proximity as p
+    from cohortlens.operators.cohort import DATE_CUTOFF
+    conds = {name: " OR ".join(f"starts_with(Code, '{x}')" for x in prefixes)
+             for name, prefixes in p.CODE_FAMILIES.items()}
+    case = " ".join(f"WHEN {c} THEN '{name}'" for name, c in conds.items())
+    every = " OR ".join(f"({c})" for c in conds.values())
+    return f"""
+fam AS (
+  SELECT *, CASE {case} END AS family FROM dx_v
+  WHERE Date < TIMESTAMP '{DATE_CUTOFF}' AND ({every})),
+pairs_all AS (
+  SELECT c.*, f.Date, f.Name, f.Code_Type, f.Code, f.Flag, f.Inpatient_Outpatient, f.Encounter_number, f.family,
+    (epoch_us(c.Report_Date_Time) - epoch_us(f.Date)) / 86400000000.0 AS diff_days,
+    abs((epoch_us(c.Report_Date_Time) - epoch_us(f.Date)) / 86400000000.0) AS abs_diff_days
+  FROM cohort c JOIN fam f ON c.EMPI = f.EMPI),
+pairs_14 AS (SELECT * FROM pairs_all WHERE diff_days BETWEEN -{p.WINDOW_DAYS} AND {p.WINDOW_DAYS})"""
+
+
+def _def_cond(definition: str) -> str:
+    from cohortlens.operators import proximity as p
+    if definition == "zheutlin":
+        return "Code IN (" + ", ".join(_sql_str(c) for c in p.ZHEUTLIN_CODES) + ")"
+    return "(" + " OR ".join(f"starts_with(Code, '{x}')" for x in p.BUTWICK_PREFIXES) + ")"
+
+
+def dx_families() -> str:
+    return with_fixtures(cohort_ctes(), _dx_ctes(), select="SELECT * FROM fam")
+
+
+def dx_proximity(definition: str) -> str:
+    return with_fixtures(cohort_ctes(), _dx_ctes(),
+                         select=f"SELECT * FROM pairs_14 WHERE {_def_cond(definition)}")
+
+
+def dx_nearest() -> str:
+    return with_fixtures(cohort_ctes(), _dx_ctes(), select="""
+SELECT * FROM pairs_all
+QUALIFY row_number() OVER (PARTITION BY EMPI, Report_Number, Report_Date_Time
+                           ORDER BY abs_diff_days, Date, Code, Encounter_number) = 1""")
+
+
+def dx_nearest_window() -> str:
+    return with_fixtures(cohort_ctes(), _dx_ctes(), select="""
+SELECT * FROM pairs_14
+QUALIFY row_number() OVER (PARTITION BY EMPI, Report_Number, Report_Date_Time
+                           ORDER BY abs_diff_days, Date, Code, Encounter_number) = 1""")
+
+
+def cohort_linked() -> str:
+    return with_fixtures(cohort_ctes(), _dx_ctes(), select=f"""
+SELECT * FROM pairs_14
+WHERE {_def_cond('zheutlin')} AND Inpatient_Outpatient = 'Inpatient' AND abs_diff_days = 0""")

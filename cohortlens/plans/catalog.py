@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import cohort, proximity
+from cohortlens.operators import cohort, proximity, rules
 from cohortlens.plans import oracle
 from cohortlens.sources import fixtures as fx
 
@@ -57,6 +57,11 @@ def q_cohort_linked(spark, sf_dir):
     return pairs.filter((F.col("Inpatient_Outpatient") == "Inpatient") & (F.col("abs_diff_days") == 0))
 
 
+def q_rules_binary_long(spark, sf_dir):
+    """Every binary rule on every cohort note, long form."""
+    return rules.rule_predictions(_cohort(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "dx_nearest": q_dx_nearest,
     "dx_nearest_window": q_dx_nearest_window,
     "cohort_linked": q_cohort_linked,
+    "rules_binary_long": q_rules_binary_long,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -77,4 +83,5 @@ ORACLE: dict[str, Callable[[], str]] = {
     "dx_nearest": oracle.dx_nearest,
     "dx_nearest_window": oracle.dx_nearest_window,
     "cohort_linked": oracle.cohort_linked,
+    "rules_binary_long": oracle.rules_binary_long,
 }

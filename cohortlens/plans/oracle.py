@@ -194,3 +194,80 @@ def cohort_linked() -> str:
     return with_fixtures(cohort_ctes(), _dx_ctes(), select=f"""
 SELECT * FROM pairs_14
 WHERE {_def_cond('zheutlin')} AND Inpatient_Outpatient = 'Inpatient' AND abs_diff_days = 0""")
+
+
+# --- regex rules (R1-R27) -----------------------------------------------------------------------
+# RE2 has no lookaround. Lookbehind-only rules become a prefix alternation that spells out every
+# allowed 3-character context; rules with a lookahead are tested per occurrence: the text is split
+# on each literal alternative, occurrence positions are prefix sums of piece lengths, and the
+# characters around each occurrence are tested directly.
+
+_NOT_NO = r"(?s:^.{0,2}|[^n]..|.[^o].|..[^ ])"
+_NOT_NO_NOR_HX_OF = r"(?s:^.{0,2}|[^no]..|n[^o].|no[^ ]|o[^f].|of[^ ]|(?:^.{0,2}|[^h]..|.[^x].|..[^ ])of )"
+
+_LOOKBEHIND_ONLY = {
+    'uterine atony': _NOT_NO + r"(?:uterine atony|atony)",
+    'placenta previa': _NOT_NO + r"(?:placenta\s*previa)",
+    'placenta accreta spectrum': _NOT_NO + r"(?:placenta\s*accreta|placenta\s*percreta|placenta\s*increta)",
+    'abruption of the placenta': _NOT_NO + r"(?:placental abruption|abruptio placenta|abruptio placentae)",
+    'PPH': _NOT_NO_NOR_HX_OF + r"(?:pphemorrhage|pph |postpartum\s*hemorrhage|post-partum\s*hemorrhage)",
+}
+# label -> list of (literal, split column, condition on 1-based position p of the occurrence)
+_NO_BEFORE = "(p >= 4 AND lower(substr({t}, p - 3, 3)) = 'no ')"
+_POSITIONAL = {
+    'laceration': [
+        ("laceration", "NOT " + _NO_BEFORE + " AND NOT regexp_matches(substr({t}, p + 10, 12), '^[^\\n]{{0,10}}(?i:no)')"),
+        ("tear", "NOT " + _NO_BEFORE + " AND NOT regexp_matches(substr({t}, p + 4, 12), '^[^\\n]{{0,10}}(?i:no)')"),
+    ],
+    'platelets': [
+        ("platelets", "NOT (p >= 4 AND regexp_matches(substr({t}, p - 3, 3), '^[0-9]{{2}} $'))"
+                      " AND NOT regexp_matches(substr({t}, p + 9, 12), '^[^\\n]{{0,10}}[0-9]{{2}}')"),
+    ],
+}
+
+
+def _split_col(lit: str) -> str:
+    return "_lens_" + "".join(ch for ch in lit if ch.isalnum())
+
+
+def positional_split_cols(t: str = "Report_Text") -> str:
+    """Select-list items with piece lengths of the text split on every positional literal."""
+    lits = sorted({lit for alts in _POSITIONAL.values() for lit, _ in alts})
+    return ", ".join(
+        f"list_transform(string_split_regex({t}, '(?i){lit}'), lambda x: length(x)) AS {_split_col(lit)}"
+        for lit in lits)
+
+
+def duck_rule(label: str, t: str = "Report_Text") -> str:
+    """DuckDB boolean expression equal to a case-insensitive Python ``re.search`` of the rule."""
+    from cohortlens.functions.rules import LABEL_RULES
+    if label in _LOOKBEHIND_ONLY:
+        return f"coalesce(regexp_matches({t}, {_sql_str('(?i)' + _LOOKBEHIND_ONLY[label])}), false)"
+    if label in _POSITIONAL:
+        parts = []
+        for lit, cond in _POSITIONAL[label]:
+            lens = _split_col(lit)
+            pos = f"CAST(list_sum(list_slice({lens}, 1, k)) + (k - 1) * {len(lit)} + 1 AS BIGINT)"
+            c = cond.format(t=t).replace("p ", f"{pos} ").replace("(p", f"({pos}")
+            parts.append(f"coalesce(len(list_filter(range(1, len({lens})), lambda k: {c})) > 0, false)")
+        return "(" + " OR ".join(parts) + ")"
+    return f"coalesce(regexp_matches({t}, {_sql_str('(?i)' + LABEL_RULES[label])}), false)"
+
+
+def rule_label_values(labels: list[str]) -> str:
+    return "rule_labels(label) AS (VALUES " + ", ".join(f"({_sql_str(l)})" for l in labels) + ")"
+
+
+def rule_case(labels: list[str], t: str = "Report_Text") -> str:
+    whens = " ".join(f"WHEN {_sql_str(l)} THEN {duck_rule(l, t)}" for l in labels)
+    return f"CAST(CASE l.label {whens} END AS INTEGER)"
+
+
+def rules_binary_long() -> str:
+    from cohortlens.functions.rules import BINARY_RULE_LABELS
+    return with_fixtures(cohort_ctes(), f"""
+rx AS (SELECT *, {positional_split_cols()} FROM cohort),
+{rule_label_values(BINARY_RULE_LABELS)}""", select=f"""
+SELECT c.Report_Number, c.EMPI, c.Report_Date_Time, c.MRN_Type, l.label,
+       {rule_case(BINARY_RULE_LABELS).replace('Report_Text', 'c.Report_Text')} AS prediction
+FROM rx c CROSS JOIN rule_labels l""")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import cohort, proximity, rules
+from cohortlens.operators import annotations, cohort, labels, metrics, proximity, rules
 from cohortlens.plans import oracle
 from cohortlens.sources import fixtures as fx
 
@@ -62,6 +62,77 @@ def q_rules_binary_long(spark, sf_dir):
     return rules.rule_predictions(_cohort(spark, sf_dir))
 
 
+ANNOTATORS = ["annA", "annB"]
+
+
+def _annotation_files(spark, sf_dir):
+    """Annotator files (D4 arrays per note file) shaped from the fixture records."""
+    return annotations.nest_annotation_records(fx.raw_annotations(spark, sf_dir))
+
+
+def _annotations_flat(spark, sf_dir):
+    return annotations.flatten_annotations(_annotation_files(spark, sf_dir), ANNOTATORS, empi_type="bigint")
+
+
+def _annotations_delivery(spark, sf_dir):
+    return annotations.drop_non_delivery(_annotations_flat(spark, sf_dir))
+
+
+def _prep(spark, sf_dir):
+    return labels.prep_data(_cohort(spark, sf_dir), _annotations_delivery(spark, sf_dir))
+
+
+def q_annotations_flat(spark, sf_dir):
+    """Annotator files -> flat span table."""
+    return _annotations_flat(spark, sf_dir)
+
+
+def q_annotations_delivery(spark, sf_dir):
+    """J9."""
+    return _annotations_delivery(spark, sf_dir)
+
+
+def q_annotation_label_counts(spark, sf_dir):
+    """A2."""
+    return annotations.label_counts(_annotations_delivery(spark, sf_dir))
+
+
+def q_annotator_stats(spark, sf_dir):
+    """A3 (before the non-delivery removal, as in the reference)."""
+    return annotations.annotator_note_counts(_annotations_flat(spark, sf_dir))
+
+
+def q_labels_binary(spark, sf_dir):
+    """L1 + L3 (J4, J6, F20, F21) for all binary labels."""
+    ann, notes, _ = _prep(spark, sf_dir)
+    return labels.binary_labels(notes, ann)
+
+
+def q_labels_ie(spark, sf_dir):
+    """L2 (A4, J7, U2, J8, L5) for the blood-loss extraction label, raw spans."""
+    _, notes, joined = _prep(spark, sf_dir)
+    out = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
+    return out.withColumn("spans", F.array_join("spans", " || "))
+
+
+def _regex_eval(spark, sf_dir):
+    ann, notes, _ = _prep(spark, sf_dir)
+    gold = labels.binary_labels(notes, ann)
+    preds = rules.rule_predictions(notes, labels=[l for l in rules.BINARY_RULE_LABELS
+                                                  if l in set(labels.BINARY_LABELS)])
+    return gold.join(preds.drop("MRN_Type"), ["label", "Report_Number", "EMPI", "Report_Date_Time"], "inner")
+
+
+def q_metrics_regex_binary(spark, sf_dir):
+    """R31 + A13-A18: regex predictions scored against annotation labels, one row per label."""
+    return metrics.binary_metrics(_regex_eval(spark, sf_dir))
+
+
+def q_class_report(spark, sf_dir):
+    """A19."""
+    return metrics.class_report(_regex_eval(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -72,6 +143,14 @@ QUERIES: dict[str, Query] = {
     "dx_nearest_window": q_dx_nearest_window,
     "cohort_linked": q_cohort_linked,
     "rules_binary_long": q_rules_binary_long,
+    "annotations_flat": q_annotations_flat,
+    "annotations_delivery": q_annotations_delivery,
+    "annotation_label_counts": q_annotation_label_counts,
+    "annotator_stats": q_annotator_stats,
+    "labels_binary": q_labels_binary,
+    "labels_ie": q_labels_ie,
+    "metrics_regex_binary": q_metrics_regex_binary,
+    "class_report": q_class_report,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -84,4 +163,12 @@ ORACLE: dict[str, Callable[[], str]] = {
     "dx_nearest_window": oracle.dx_nearest_window,
     "cohort_linked": oracle.cohort_linked,
     "rules_binary_long": oracle.rules_binary_long,
+    "annotations_flat": oracle.annotations_flat,
+    "annotations_delivery": oracle.annotations_delivery,
+    "annotation_label_counts": oracle.annotation_label_counts,
+    "annotator_stats": oracle.annotator_stats,
+    "labels_binary": oracle.labels_binary,
+    "labels_ie": oracle.labels_ie,
+    "metrics_regex_binary": oracle.metrics_regex_binary,
+    "class_report": oracle.class_report,
 }

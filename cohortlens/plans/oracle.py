@@ -271,3 +271,152 @@ rx AS (SELECT *, {positional_split_cols()} FROM cohort),
 SELECT c.Report_Number, c.EMPI, c.Report_Date_Time, c.MRN_Type, l.label,
        {rule_case(BINARY_RULE_LABELS).replace('Report_Text', 'c.Report_Text')} AS prediction
 FROM rx c CROSS JOIN rule_labels l""")
+
+
+# --- annotations, labels, metrics -----------------------------------------------------------------
+
+def annotation_ctes() -> str:
+    from cohortlens.functions.rules import LABEL_CATEGORIES, TRANSFUSION_SPAN_RULES, TRANSFUSION_SOURCE_LABEL
+    cats = ", ".join(f"({_sql_str(k)}, {_sql_str(v)})" for k, v in LABEL_CATEGORIES.items())
+    sub = " UNION ALL ".join(
+        f"SELECT {_sql_str(l)} AS label, EMPI, Report_Number FROM annot_deliv "
+        f"WHERE label_type = {_sql_str(TRANSFUSION_SOURCE_LABEL)} AND regexp_matches(span, {_sql_str('(?i)' + p)})"
+        for l, p in TRANSFUSION_SPAN_RULES.items())
+    return f"""
+cats(label_type, label_category) AS (VALUES {cats}),
+annot_flat AS (
+  SELECT a.EMPI, a.Report_Number, a.Report_Date_Time, a.label_type,
+         coalesce(c.label_category, 'Other') AS label_category, a.start, a."end",
+         regexp_replace(substr(a.Report_Text, a.start + 1, a."end" - a.start), '[,:.]$|^[,:.]', '', 'g') AS span,
+         a.annotator
+  FROM annot_raw a LEFT JOIN cats c ON c.label_type = a.label_type
+  WHERE a.decision NOT IN ('rejected', 'undecided')),
+annot_deliv AS (
+  SELECT * FROM annot_flat f WHERE NOT EXISTS (
+    SELECT 1 FROM annot_flat n WHERE n.label_type = 'not a delivery note'
+      AND n.EMPI = f.EMPI AND n.Report_Number = f.Report_Number)),
+annotated AS (
+  SELECT * FROM cohort c WHERE EXISTS (
+    SELECT 1 FROM annot_deliv a WHERE a.EMPI = c.EMPI AND a.Report_Number = c.Report_Number)),
+lab_member AS (
+  SELECT label_type AS label, EMPI, Report_Number FROM annot_deliv
+  UNION ALL {sub}),
+bin_labels(label) AS (VALUES {", ".join(f"({_sql_str(l)})" for l in _binary_label_list())}),
+labels_long AS (
+  SELECT n.Report_Number, n.EMPI, n.Report_Date_Time, n.MRN_Type, b.label,
+    CAST((EXISTS (SELECT 1 FROM lab_member m WHERE m.label = b.label AND m.EMPI = n.EMPI))
+     AND (EXISTS (SELECT 1 FROM lab_member m WHERE m.label = b.label AND m.Report_Number = n.Report_Number)) AS INTEGER) AS y
+  FROM annotated n CROSS JOIN bin_labels b)"""
+
+
+def _binary_label_list() -> list[str]:
+    from cohortlens.functions.rules import BINARY_LABELS
+    return [l for l in BINARY_LABELS if l != "delivery_note"]
+
+
+def annotations_flat() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), select="SELECT * FROM annot_flat")
+
+
+def annotations_delivery() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), select="SELECT * FROM annot_deliv")
+
+
+def annotation_label_counts() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(),
+                         select="SELECT label_type, count(*) AS n FROM annot_deliv GROUP BY label_type")
+
+
+def annotator_stats() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), select="""
+SELECT annotator, count(DISTINCT Report_Number) AS n_report_numbers, count(DISTINCT EMPI) AS n_patients
+FROM annot_flat GROUP BY annotator""")
+
+
+def labels_binary() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), select="SELECT * FROM labels_long")
+
+
+def labels_ie(label: str = "estimated blood loss") -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), f"""
+grp AS (
+  SELECT a.EMPI, a.Report_Number, n.Report_Date_Time, any_value(n.MRN_Type) AS MRN_Type,
+         list(a.span ORDER BY a.start, a."end", a.span) AS spans
+  FROM annot_deliv a JOIN annotated n ON n.EMPI = a.EMPI AND n.Report_Number = a.Report_Number
+  WHERE a.label_type = {_sql_str(label)}
+  GROUP BY a.EMPI, a.Report_Number, n.Report_Date_Time),
+ie AS (
+  SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, spans FROM grp g
+  WHERE g.EMPI IN (SELECT EMPI FROM annotated) AND g.Report_Number IN (SELECT Report_Number FROM annotated)
+  UNION ALL
+  SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, CAST([] AS VARCHAR[]) AS spans FROM annotated n
+  WHERE n.EMPI NOT IN (SELECT EMPI FROM grp) OR n.Report_Number NOT IN (SELECT Report_Number FROM grp))""",
+                         select="""
+SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, array_to_string(spans, ' || ') AS spans,
+       CAST(len(spans) > 0 AS INTEGER) AS span_extracted FROM ie""")
+
+
+def _regex_eval_ctes() -> str:
+    from cohortlens.functions.rules import BINARY_RULE_LABELS
+    labels = [l for l in _binary_label_list() if l in BINARY_RULE_LABELS]
+    return f"""
+rx AS (SELECT *, {positional_split_cols()} FROM annotated),
+{rule_label_values(labels)},
+preds AS (
+  SELECT c.Report_Number, c.EMPI, c.Report_Date_Time, l.label,
+         {rule_case(labels).replace('Report_Text', 'c.Report_Text')} AS prediction
+  FROM rx c CROSS JOIN rule_labels l),
+ev AS (
+  SELECT y.label, y.y, p.prediction FROM labels_long y JOIN preds p
+    ON p.label = y.label AND p.EMPI = y.EMPI AND p.Report_Number = y.Report_Number
+   AND p.Report_Date_Time = y.Report_Date_Time),
+cm AS (
+  SELECT label, sum(CASE WHEN y = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+    sum(CASE WHEN y = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS tn,
+    sum(CASE WHEN y = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS fp,
+    sum(CASE WHEN y = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS fn
+  FROM ev GROUP BY label)"""
+
+
+def metrics_regex_binary() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _regex_eval_ctes(), select="""
+SELECT label,
+  CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END AS acc,
+  CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END AS micro_f1,
+  CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN
+         ((CASE WHEN 2*tp + fp + fn > 0 THEN 2*tp / (2*tp + fp + fn) ELSE 0.0 END)
+        + (CASE WHEN 2*tn + fp + fn > 0 THEN 2*tn / (2*tn + fp + fn) ELSE 0.0 END)) / 2
+       WHEN tp + fn + fp > 0 THEN (CASE WHEN 2*tp + fp + fn > 0 THEN 2*tp / (2*tp + fp + fn) ELSE 0.0 END)
+       ELSE (CASE WHEN 2*tn + fp + fn > 0 THEN 2*tn / (2*tn + fp + fn) ELSE 0.0 END) END AS macro_f1,
+  CASE WHEN 2*tp + fp + fn > 0 THEN 2*tp / (2*tp + fp + fn) ELSE 0.0 END AS binary_f1,
+  CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END)
+       ELSE -1.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN (CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END)
+       ELSE -1.0 END AS specificity,
+  CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN (CASE WHEN tn + fn > 0 THEN tn / (tn + fn) END)
+       ELSE -1.0 END AS NPV,
+  CAST(CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN tp ELSE -1 END AS BIGINT) AS tp,
+  CAST(CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN tn ELSE -1 END AS BIGINT) AS tn,
+  CAST(CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN fp ELSE -1 END AS BIGINT) AS fp,
+  CAST(CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN fn ELSE -1 END AS BIGINT) AS fn,
+  CAST(CASE WHEN tp + fn + fp > 0 AND tn + fp + fn > 0 THEN tp + fn ELSE -2 END AS BIGINT) AS n
+FROM cm""")
+
+
+def class_report() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _regex_eval_ctes(), """
+per AS (
+  SELECT label, cls, CASE WHEN npred > 0 THEN hit / npred ELSE 0.0 END AS precision,
+    CASE WHEN ntrue > 0 THEN hit / ntrue ELSE 0.0 END AS recall,
+    CASE WHEN npred + ntrue > 0 THEN 2 * hit / (npred + ntrue) ELSE 0.0 END AS f1_score,
+    CAST(ntrue AS BIGINT) AS support
+  FROM (SELECT label, '0' AS cls, tn AS hit, tn + fn AS npred, tn + fp AS ntrue FROM cm
+        UNION ALL SELECT label, '1', tp, tp + fp, tp + fn FROM cm) WHERE npred + ntrue > 0)""", select="""
+SELECT * FROM per
+UNION ALL SELECT label, 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM per GROUP BY label
+UNION ALL SELECT label, 'weighted avg',
+  CASE WHEN sum(support) > 0 THEN sum(precision * support) / sum(support) ELSE 0.0 END,
+  CASE WHEN sum(support) > 0 THEN sum(recall * support) / sum(support) ELSE 0.0 END,
+  CASE WHEN sum(support) > 0 THEN sum(f1_score * support) / sum(support) ELSE 0.0 END,
+  CAST(sum(support) AS BIGINT) FROM per GROUP BY label""")

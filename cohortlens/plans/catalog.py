@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import annotations, cohort, labels, metrics, proximity, rules
+from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, proximity, rules
 from cohortlens.plans import oracle
 from cohortlens.sources import fixtures as fx
 
@@ -133,6 +133,27 @@ def q_class_report(spark, sf_dir):
     return metrics.class_report(_regex_eval(spark, sf_dir))
 
 
+def _concept_preds(spark, sf_dir):
+    return phenotype.concept_predictions(_cohort(spark, sf_dir))
+
+
+def q_concept_predictions(spark, sf_dir):
+    """Rule-model predictions for the 23 phenotype concepts on every cohort note."""
+    return _concept_preds(spark, sf_dir)
+
+
+def _q_composite(name):
+    def q(spark, sf_dir):
+        return phenotype.composite(_concept_preds(spark, sf_dir), name)
+    q.__doc__ = f"C1-C4 composite {name}."
+    return q
+
+
+def q_subtypes(spark, sf_dir):
+    """19-input subtype frame (J13 as one pivot aggregation)."""
+    return phenotype.subtypes(_concept_preds(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -151,6 +172,12 @@ QUERIES: dict[str, Query] = {
     "labels_ie": q_labels_ie,
     "metrics_regex_binary": q_metrics_regex_binary,
     "class_report": q_class_report,
+    "concept_predictions": q_concept_predictions,
+    "composite_accreta": _q_composite("accreta_composite"),
+    "composite_dic": _q_composite("dic_composite"),
+    "composite_surgical": _q_composite("surgical_composite"),
+    "composite_manual": _q_composite("manual_composite"),
+    "subtypes": q_subtypes,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -171,4 +198,10 @@ ORACLE: dict[str, Callable[[], str]] = {
     "labels_ie": oracle.labels_ie,
     "metrics_regex_binary": oracle.metrics_regex_binary,
     "class_report": oracle.class_report,
+    "concept_predictions": oracle.concept_predictions,
+    "composite_accreta": lambda: oracle.composite("accreta_composite"),
+    "composite_dic": lambda: oracle.composite("dic_composite"),
+    "composite_surgical": lambda: oracle.composite("surgical_composite"),
+    "composite_manual": lambda: oracle.composite("manual_composite"),
+    "subtypes": oracle.subtypes,
 }

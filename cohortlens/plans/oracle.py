@@ -205,13 +205,6 @@ WHERE {_def_cond('zheutlin')} AND Inpatient_Outpatient = 'Inpatient' AND abs_dif
 _NOT_NO = r"(?s:^.{0,2}|[^n]..|.[^o].|..[^ ])"
 _NOT_NO_NOR_HX_OF = r"(?s:^.{0,2}|[^no]..|n[^o].|no[^ ]|o[^f].|of[^ ]|(?:^.{0,2}|[^h]..|.[^x].|..[^ ])of )"
 
-_LOOKBEHIND_ONLY = {
-    'uterine atony': _NOT_NO + r"(?:uterine atony|atony)",
-    'placenta previa': _NOT_NO + r"(?:placenta\s*previa)",
-    'placenta accreta spectrum': _NOT_NO + r"(?:placenta\s*accreta|placenta\s*percreta|placenta\s*increta)",
-    'abruption of the placenta': _NOT_NO + r"(?:placental abruption|abruptio placenta|abruptio placentae)",
-    'PPH': _NOT_NO_NOR_HX_OF + r"(?:pphemorrhage|pph |postpartum\s*hemorrhage|post-partum\s*hemorrhage)",
-}
 # label -> list of (literal, split column, condition on 1-based position p of the occurrence)
 _NO_BEFORE = "(p >= 4 AND lower(substr({t}, p - 3, 3)) = 'no ')"
 _POSITIONAL = {
@@ -238,20 +231,32 @@ def positional_split_cols(t: str = "Report_Text") -> str:
         for lit in lits)
 
 
+def duck_pattern(pattern: str, t: str = "Report_Text") -> str:
+    """DuckDB boolean expression equal to a case-insensitive Python ``re.search`` of ``pattern``."""
+    from cohortlens.functions.rules import LABEL_RULES
+    for label in _POSITIONAL:
+        if pattern == LABEL_RULES[label]:
+            parts = []
+            for lit, cond in _POSITIONAL[label]:
+                lens = _split_col(lit)
+                pos = f"CAST(list_sum(list_slice({lens}, 1, k)) + (k - 1) * {len(lit)} + 1 AS BIGINT)"
+                c = cond.format(t=t).replace("p ", f"{pos} ").replace("(p", f"({pos}")
+                parts.append(f"coalesce(len(list_filter(range(1, len({lens})), lambda k: {c})) > 0, false)")
+            return "(" + " OR ".join(parts) + ")"
+    if pattern.startswith("(?<!hx of )(?<!no )"):
+        rx = _NOT_NO_NOR_HX_OF + "(?:" + pattern[len("(?<!hx of )(?<!no )"):] + ")"
+    elif pattern.startswith("(?<!no )"):
+        rx = _NOT_NO + "(?:" + pattern[len("(?<!no )"):] + ")"
+    else:
+        rx = pattern
+    if "(?<" in rx.replace(_NOT_NO, "").replace(_NOT_NO_NOR_HX_OF, "") or "(?!" in rx:
+        raise ValueError(f"no RE2 form for {pattern}")
+    return f"coalesce(regexp_matches({t}, {_sql_str('(?i)' + rx)}), false)"
+
+
 def duck_rule(label: str, t: str = "Report_Text") -> str:
-    """DuckDB boolean expression equal to a case-insensitive Python ``re.search`` of the rule."""
     from cohortlens.functions.rules import LABEL_RULES
-    if label in _LOOKBEHIND_ONLY:
-        return f"coalesce(regexp_matches({t}, {_sql_str('(?i)' + _LOOKBEHIND_ONLY[label])}), false)"
-    if label in _POSITIONAL:
-        parts = []
-        for lit, cond in _POSITIONAL[label]:
-            lens = _split_col(lit)
-            pos = f"CAST(list_sum(list_slice({lens}, 1, k)) + (k - 1) * {len(lit)} + 1 AS BIGINT)"
-            c = cond.format(t=t).replace("p ", f"{pos} ").replace("(p", f"({pos}")
-            parts.append(f"coalesce(len(list_filter(range(1, len({lens})), lambda k: {c})) > 0, false)")
-        return "(" + " OR ".join(parts) + ")"
-    return f"coalesce(regexp_matches({t}, {_sql_str('(?i)' + LABEL_RULES[label])}), false)"
+    return duck_pattern(LABEL_RULES[label], t)
 
 
 def rule_label_values(labels: list[str]) -> str:
@@ -420,3 +425,78 @@ UNION ALL SELECT label, 'weighted avg',
   CASE WHEN sum(support) > 0 THEN sum(recall * support) / sum(support) ELSE 0.0 END,
   CASE WHEN sum(support) > 0 THEN sum(f1_score * support) / sum(support) ELSE 0.0 END,
   CAST(sum(support) AS BIGINT) FROM per GROUP BY label""")
+
+
+# --- phenotype (C1-C4, T1-T6) -----------------------------------------------------------------------
+
+def concept_ctes(notes: str = "cohort") -> str:
+    from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
+    vals = ", ".join(f"({_sql_str(c)}, {_sql_str(l)}, {_sql_str(p)})" for c, (l, p) in CONCEPT_RUNS.items())
+    whens = " ".join(f"WHEN {_sql_str(c)} THEN {duck_pattern(CONCEPT_RULES[c], 'c.Report_Text')}"
+                     for c in CONCEPT_RUNS)
+    return f"""
+crx AS (SELECT *, {positional_split_cols()} FROM {notes}),
+concepts(concept, label, prompt_desc) AS (VALUES {vals}),
+cpreds AS (
+  SELECT c.Report_Number, c.EMPI, c.Report_Date_Time, c.MRN_Type, k.concept, k.label, k.prompt_desc,
+         CAST(CASE k.concept {whens} END AS INTEGER) AS prediction
+  FROM crx c CROSS JOIN concepts k)"""
+
+
+def _composite_sql(name: str, src: str = "cpreds") -> str:
+    from cohortlens.functions.concepts import COMPOSITES
+    inputs, rule = COMPOSITES[name]
+    cols = ", ".join(f"max(CASE WHEN concept = {_sql_str(c)} THEN prediction END) AS predictions_{s}, "
+                     f"max(CASE WHEN concept = {_sql_str(c)} THEN 1 ELSE 0 END) AS has_{s}" for c, s, _ in inputs)
+    req = " AND ".join(f"has_{s} = 1" for _, s, r in inputs if r)
+    if rule == "any":
+        pred = "CASE WHEN " + " + ".join(f"coalesce(predictions_{s}, 0)" for _, s, _ in inputs) + " >= 1 THEN 1 ELSE 0 END"
+    else:
+        a, b = inputs[0][1], inputs[1][1]
+        pred = f"CASE WHEN predictions_{a} = 1 AND coalesce(predictions_{b} = 0, false) THEN 1 ELSE 0 END"
+    outs = ", ".join(f"predictions_{s}" for _, s, _ in inputs)
+    return f"""(SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {outs}, CAST({pred} AS INTEGER) AS predictions
+  FROM (SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {cols} FROM {src}
+        GROUP BY Report_Number, EMPI, Report_Date_Time, MRN_Type) WHERE {req})"""
+
+
+def composite(name: str) -> str:
+    return with_fixtures(cohort_ctes(), concept_ctes(), select=f"SELECT * FROM {_composite_sql(name)}")
+
+
+def concept_predictions() -> str:
+    return with_fixtures(cohort_ctes(), concept_ctes(), select="SELECT * FROM cpreds")
+
+
+def subtypes() -> str:
+    from cohortlens.functions.concepts import SUBTYPE_INPUTS
+    cols = ", ".join(f"max(CASE WHEN concept = {_sql_str(c)} THEN prediction END) AS predictions_{s}"
+                     for s, c in SUBTYPE_INPUTS)
+    names = ", ".join(f"predictions_{s}" for s, _ in SUBTYPE_INPUTS)
+    nz = lambda s: f"coalesce(predictions_{s}, 0)"
+    return with_fixtures(cohort_ctes(), concept_ctes(), f"""
+sub_src AS (
+  SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, concept, prediction FROM cpreds
+  UNION ALL SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, 'accreta_composite', predictions
+    FROM {_composite_sql('accreta_composite')}
+  UNION ALL SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, 'dic_composite', predictions
+    FROM {_composite_sql('dic_composite')}),
+wide AS (
+  SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {cols},
+         max(CASE WHEN concept = 'atony' THEN 1 ELSE 0 END) AS has_anchor
+  FROM sub_src GROUP BY Report_Number, EMPI, Report_Date_Time, MRN_Type),
+flags AS (
+  SELECT *, {nz('atony')} + {nz('methergine')} + {nz('cytotec')} + {nz('hemabate')} AS tone,
+    CASE WHEN predictions_accreta = 1 OR predictions_retained_poc = 1 OR predictions_d_and_c = 1
+          OR (predictions_manual_extraction = 1 AND predictions_csection = 0) THEN 1 ELSE 0 END AS tissue,
+    {nz('dic')} + {nz('cryo')} + {nz('platelets')} + {nz('ffp')} AS thrombus
+  FROM wide WHERE has_anchor = 1)""", select=f"""
+SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {names},
+  CAST(CASE WHEN tone >= 1 THEN 1 ELSE 0 END AS INTEGER) AS has_tone_subtype_model,
+  CAST(CASE WHEN tissue >= 1 THEN 1 ELSE 0 END AS INTEGER) AS has_tissue_subtype_model,
+  CAST(CASE WHEN thrombus >= 1 THEN 1 ELSE 0 END AS INTEGER) AS has_thrombus_subtype_model,
+  CAST(CASE WHEN predictions_uterine_rupture = 1 OR predictions_oleary = 1 OR predictions_PPH_surgical_extension = 1
+        OR predictions_PPH_surgical_damage_artery = 1 OR predictions_PPH_surgical_damage_ligament = 1
+        OR (predictions_laceration = 1 AND thrombus = 0 AND tone = 0 AND tissue = 0) THEN 1 ELSE 0 END AS INTEGER)
+    AS has_trauma_subtype_model_lacerations_no_other_cause
+FROM flags""")

@@ -59,8 +59,18 @@ N_REPORTS = 350
 ANNOTATED_LANG = "en"
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer input splits than task slots (e.g. one parquet row group)
+    so the text work that follows runs on every core. A large input already has more splits
+    than slots and is left as is (no extra shuffle at scale)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _pick(values: list[str], idx: Column) -> Column:

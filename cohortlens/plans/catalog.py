@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, proximity, rules
+from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, proximity, rules, sampling
 from cohortlens.plans import oracle
 from cohortlens.sources import fixtures as fx
+from cohortlens.sources.stage import stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +24,9 @@ def q_cohort_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.delivery_cohort(fx.notes(spark, sf_dir))
+    """The delivery cohort as a stage table (the reference's filtered cohort file)."""
+    return stage_table(spark, "delivery_cohort", sf_dir,
+                       lambda: cohort.delivery_cohort(fx.notes(spark, sf_dir)))
 
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,9 @@ def _annotations_flat(spark, sf_dir):
 
 
 def _annotations_delivery(spark, sf_dir):
-    return annotations.drop_non_delivery(_annotations_flat(spark, sf_dir))
+    """Processed annotations as a stage table (the reference's processed annotation file)."""
+    return stage_table(spark, "delivery_annotations", sf_dir,
+                       lambda: annotations.drop_non_delivery(_annotations_flat(spark, sf_dir)))
 
 
 def _prep(spark, sf_dir):
@@ -89,7 +94,7 @@ def q_annotations_flat(spark, sf_dir):
 
 def q_annotations_delivery(spark, sf_dir):
     """J9."""
-    return _annotations_delivery(spark, sf_dir)
+    return annotations.drop_non_delivery(_annotations_flat(spark, sf_dir))
 
 
 def q_annotation_label_counts(spark, sf_dir):
@@ -154,6 +159,33 @@ def q_subtypes(spark, sf_dir):
     return phenotype.subtypes(_concept_preds(spark, sf_dir))
 
 
+def q_sample_annotators(spark, sf_dir):
+    """W4 + W5 + IO13: 100 seeded-sample notes split over three annotators, with file names."""
+    smp = sampling.sample_notes(_cohort(spark, sf_dir), 100)
+    return sampling.assign_annotators(smp, ["annA", "annB", "annC"])
+
+
+def _split_binary(spark, sf_dir):
+    ann, notes, _ = _prep(spark, sf_dir)
+    return sampling.stratified_patient_split(labels.binary_labels(notes, ann), y="y")
+
+
+def q_split_binary(spark, sf_dir):
+    """W8 + F18 + J16: per-label patient split (50 training patients)."""
+    return _split_binary(spark, sf_dir)
+
+
+def q_split_label_counts(spark, sf_dir):
+    """A5/A6."""
+    return sampling.split_label_counts(_split_binary(spark, sf_dir))
+
+
+def q_split_ie(spark, sf_dir):
+    """W9 + F19: patient split for the blood-loss extraction label."""
+    ie = q_labels_ie(spark, sf_dir).withColumn("label", F.lit("estimated blood loss"))
+    return sampling.stratified_patient_split(ie, y="span_extracted", ie=True)
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -178,6 +210,10 @@ QUERIES: dict[str, Query] = {
     "composite_surgical": _q_composite("surgical_composite"),
     "composite_manual": _q_composite("manual_composite"),
     "subtypes": q_subtypes,
+    "sample_annotators": q_sample_annotators,
+    "split_binary": q_split_binary,
+    "split_label_counts": q_split_label_counts,
+    "split_ie": q_split_ie,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -204,4 +240,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "composite_surgical": lambda: oracle.composite("surgical_composite"),
     "composite_manual": lambda: oracle.composite("manual_composite"),
     "subtypes": oracle.subtypes,
+    "sample_annotators": oracle.sample_annotators,
+    "split_binary": oracle.split_binary,
+    "split_label_counts": oracle.split_label_counts,
+    "split_ie": oracle.split_ie,
 }

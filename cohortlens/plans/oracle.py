@@ -500,3 +500,68 @@ SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {names},
         OR (predictions_laceration = 1 AND thrombus = 0 AND tone = 0 AND tissue = 0) THEN 1 ELSE 0 END AS INTEGER)
     AS has_trauma_subtype_model_lacerations_no_other_cause
 FROM flags""")
+
+
+# --- sampling and splits (W4-W9, F18-F19, J16, A5-A6) ----------------------------------------------
+
+def sample_annotators(n: int = 100, annotators: tuple[str, ...] = ("annA", "annB", "annC"), seed: int = 42) -> str:
+    names = "[" + ", ".join(_sql_str(a) for a in annotators) + "]"
+    return with_fixtures(cohort_ctes(), f"""
+smp AS (
+  SELECT *, md5(concat_ws('|', '{seed}', CAST(EMPI AS VARCHAR), Report_Number, CAST(Report_Date_Time AS VARCHAR))) AS h
+  FROM cohort ORDER BY h LIMIT {n}),
+asg AS (SELECT *, ({names})[ntile({len(annotators)}) OVER (ORDER BY h)] AS annotator FROM smp)""", select="""
+SELECT EMPI, EPIC_PMRN, MRN_Type, MRN, Report_Number, Report_Date_Time, Report_Description, Report_Status,
+       Report_Type, Report_Text, annotator,
+       annotator || '_notes_empi_' || CAST(EMPI AS VARCHAR) || '_note_' || Report_Number || '_time_'
+         || strftime(Report_Date_Time, '%Y-%m-%d %H:%M:%S') || '.txt' AS file_name
+FROM asg""")
+
+
+def _split_ctes(src: str, y: str, ie: bool, n_train: int = 50, seed: int = 42) -> str:
+    if ie:
+        keep = ("(coalesce(l.MRN_Type = 'BWH', false) OR (l.MRN_Type IS NULL AND coalesce(contains(l.Report_Number, 'BWH'), false)))"
+                " AND NOT EXISTS (SELECT 1 FROM {src} e WHERE e.label = l.label AND e.EMPI = l.EMPI AND e.MRN_Type <> 'BWH')")
+    else:
+        keep = ("coalesce(l.MRN_Type = 'BWH', false) AND NOT EXISTS (SELECT 1 FROM {src} e WHERE e.label = l.label"
+                " AND e.EMPI = l.EMPI AND NOT coalesce(e.MRN_Type = 'BWH', false))")
+    keep = keep.format(src=src)
+    return f"""
+pool AS (SELECT * FROM {src} l WHERE {keep}),
+pat AS (SELECT label, EMPI, sum({y}) AS pos FROM pool GROUP BY label, EMPI),
+pat2 AS (SELECT *, CASE WHEN sum(pos) OVER (PARTITION BY label) >= 2 THEN CAST(pos > 0 AS INTEGER) ELSE 0 END AS stratum
+         FROM pat),
+sizes AS (SELECT label, stratum, count(*) AS ns FROM pat2 GROUP BY label, stratum),
+q1 AS (SELECT *, least({n_train}, sum(ns) OVER (PARTITION BY label)) AS target, sum(ns) OVER (PARTITION BY label) AS total
+       FROM sizes),
+q2 AS (SELECT *, floor(target * ns / total) AS base, target * ns / total - floor(target * ns / total) AS frac FROM q1),
+q3 AS (SELECT *, target - sum(base) OVER (PARTITION BY label) AS leftover,
+              row_number() OVER (PARTITION BY label ORDER BY frac DESC, stratum) AS rk FROM q2),
+quota AS (SELECT label, stratum, base + CASE WHEN rk <= leftover THEN 1 ELSE 0 END AS quota FROM q3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label, stratum
+                                        ORDER BY md5(concat_ws('|', '{seed}', CAST(EMPI AS VARCHAR))), EMPI) AS rn
+           FROM pat2),
+train AS (SELECT r.label, r.EMPI FROM ranked r JOIN quota q ON q.label = r.label AND q.stratum = r.stratum
+          WHERE r.rn <= q.quota),
+split AS (SELECT l.*, CASE WHEN t.EMPI IS NOT NULL THEN 'train' ELSE 'test' END AS split
+          FROM {src} l LEFT JOIN train t ON t.label = l.label AND t.EMPI = l.EMPI)"""
+
+
+def split_binary() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _split_ctes("labels_long", "y", False),
+                         select="SELECT * FROM split")
+
+
+def split_label_counts() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _split_ctes("labels_long", "y", False), select="""
+SELECT label, split, count(*) AS n_notes, CAST(sum(y) AS BIGINT) AS n_positive FROM split GROUP BY label, split""")
+
+
+def split_ie() -> str:
+    base = labels_ie()
+    # reuse the IE label CTEs: everything before the final SELECT of labels_ie()
+    head, _ = base.rsplit("\nSELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, array_to_string", 1)
+    return head + """,
+ie_l AS (SELECT 'estimated blood loss' AS label, Report_Number, EMPI, Report_Date_Time, MRN_Type,
+                array_to_string(spans, ' || ') AS spans, CAST(len(spans) > 0 AS INTEGER) AS span_extracted FROM ie),""" + \
+        _split_ctes("ie_l", "span_extracted", True) + "\nSELECT * FROM split"

@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, proximity, rules, sampling
+from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, predict, proximity, rules, sampling
+from cohortlens.functions import normalize
+from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
+from cohortlens.functions.prompts import get_prompt
+from cohortlens.functions.rules import LABEL_RULES, EBL_GROUPS
+from cohortlens.functions.regex import java_regex
 from cohortlens.plans import oracle
 from cohortlens.sources import fixtures as fx
 from cohortlens.sources.stage import stage_table
@@ -186,6 +191,67 @@ def q_split_ie(spark, sf_dir):
     return sampling.stratified_patient_split(ie, y="span_extracted", ie=True)
 
 
+CHUNK_RUN = ("c-section", "disch_summary_curr_delivery_V2")
+
+
+def chunk_budget() -> int:
+    return predict.MAX_LENGTH - predict.prompt_tokens(get_prompt(*CHUNK_RUN)[0])
+
+
+def q_chunk_notes(spark, sf_dir):
+    """M3: overlapping 512-token windows (stride 128) of every cohort note for one prompt."""
+    return predict.chunk_notes(_cohort(spark, sf_dir), chunk_budget())
+
+
+def q_predict_concepts(spark, sf_dir):
+    """The 23 phenotype prompt runs over chunked notes with the offline rule model."""
+    model = predict.RuleModel(rules=dict(CONCEPT_RULES))
+    out = predict.predict_runs(_cohort(spark, sf_dir), dict(CONCEPT_RUNS), model)
+    return out.select("Report_Number", "EMPI", "Report_Date_Time", "MRN_Type", "run", "label", "prompt_desc",
+                      "prompt", "prediction_type", predict.binary_from_answers().alias("predictions"),
+                      F.array_join("raw_preds", "|").alias("raw_preds"), F.size("raw_preds").cast("long").alias("n_chunks"))
+
+
+def ebl_regex_predictions(notes):
+    """Every blood-loss rule match, non-empty groups in match order, then K1/K3."""
+    pat = F.lit(java_regex(LABEL_RULES["estimated blood loss"], ignore_case=True))
+    groups = [F.regexp_extract_all("Report_Text", pat, g).alias(f"g{g}") for g in range(1, EBL_GROUPS + 1)]
+    found = F.flatten(F.transform(F.arrays_zip(*groups), lambda m: F.filter(
+        F.array(*[m[f"g{g}"] for g in range(1, EBL_GROUPS + 1)]), lambda x: x != "")))
+    return notes.withColumn("predictions", found).withColumn(
+        "clean_predictions", normalize.clean_predictions("estimated blood loss", F.col("predictions")))
+
+
+def _ebl_eval(spark, sf_dir):
+    _, notes, joined = _prep(spark, sf_dir)
+    gold = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
+    gold = gold.withColumn("clean_spans", normalize.clean_predictions("estimated blood loss", F.col("spans"),
+                                                                       clean_type="annotation"))
+    preds = ebl_regex_predictions(notes).select("Report_Number", "EMPI", "Report_Date_Time", "predictions",
+                                                "clean_predictions")
+    return gold.join(preds, ["Report_Number", "EMPI", "Report_Date_Time"], "left")
+
+
+def q_ebl_regex_predictions(spark, sf_dir):
+    """R29 + K1 + K3 on annotated notes, with cleaned gold spans."""
+    e = _ebl_eval(spark, sf_dir)
+    return e.select("Report_Number", "EMPI", "Report_Date_Time", "MRN_Type",
+                    *[F.array_join(c, " || ").alias(c) for c in ("spans", "clean_spans", "predictions", "clean_predictions")])
+
+
+def q_metrics_regex_ie(spark, sf_dir):
+    """R31 + A20: extraction scores of the blood-loss rule against cleaned gold spans."""
+    return metrics.ie_metrics(_ebl_eval(spark, sf_dir), gold="clean_spans", pred="clean_predictions")
+
+
+def q_annotations_processed(spark, sf_dir):
+    """Processed annotation table with ``clean_span`` (K3, annotation mode, for blood loss)."""
+    a = _annotations_delivery(spark, sf_dir)
+    return a.withColumn("clean_span", F.when(F.col("label_type") == "estimated blood loss",
+                                             normalize.clean_str(F.col("span"), "estimated blood loss", "annotation"))
+                        .otherwise(F.col("span")))
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -214,6 +280,11 @@ QUERIES: dict[str, Query] = {
     "split_binary": q_split_binary,
     "split_label_counts": q_split_label_counts,
     "split_ie": q_split_ie,
+    "chunk_notes": q_chunk_notes,
+    "predict_concepts": q_predict_concepts,
+    "ebl_regex_predictions": q_ebl_regex_predictions,
+    "metrics_regex_ie": q_metrics_regex_ie,
+    "annotations_processed": q_annotations_processed,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -244,4 +315,6 @@ ORACLE: dict[str, Callable[[], str]] = {
     "split_binary": oracle.split_binary,
     "split_label_counts": oracle.split_label_counts,
     "split_ie": oracle.split_ie,
+    "chunk_notes": lambda: oracle.chunk_notes(chunk_budget()),
+    "predict_concepts": oracle.predict_concepts,
 }

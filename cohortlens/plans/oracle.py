@@ -565,3 +565,42 @@ def split_ie() -> str:
 ie_l AS (SELECT 'estimated blood loss' AS label, Report_Number, EMPI, Report_Date_Time, MRN_Type,
                 array_to_string(spans, ' || ') AS spans, CAST(len(spans) > 0 AS INTEGER) AS span_extracted FROM ie),""" + \
         _split_ctes("ie_l", "span_extracted", True) + "\nSELECT * FROM split"
+
+
+# --- chunking and chunked rule-model prediction (M3-M5, A7, A8) -----------------------------------------
+
+def _chunk_sql(src: str, budget_expr: str, stride: int = 128, extra: str = "") -> str:
+    return f"""
+SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type{extra}, len(tok) AS n_tokens, CAST(i AS INTEGER) AS chunk_idx,
+       array_to_string(list_slice(tok, i * ({budget_expr} - {stride}) + 1,
+                                  i * ({budget_expr} - {stride}) + {budget_expr}), ' ') AS chunk_text
+FROM (SELECT *, string_split_regex(regexp_replace(Report_Text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS tok FROM {src}) t,
+     unnest(range(0, CASE WHEN len(tok) <= {budget_expr} THEN 1
+                          ELSE 1 + CAST(ceil((len(tok) - {budget_expr}) / ({budget_expr} - {stride})) AS INTEGER) END)) AS r(i)"""
+
+
+def chunk_notes(budget: int) -> str:
+    return with_fixtures(cohort_ctes(), select=_chunk_sql("cohort", str(budget)))
+
+
+def predict_concepts() -> str:
+    from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
+    from cohortlens.functions.prompts import get_prompt
+    rows = []
+    for c, (l, d) in CONCEPT_RUNS.items():
+        p, t = get_prompt(l, d)
+        rows.append(f"({_sql_str(c)}, {_sql_str(l)}, {_sql_str(d)}, {_sql_str(p)}, {_sql_str(t)}, {512 - len(p.split())})")
+    whens = " ".join(f"WHEN {_sql_str(c)} THEN {duck_pattern(CONCEPT_RULES[c], 'ch.chunk_text')}" for c in CONCEPT_RUNS)
+    return with_fixtures(cohort_ctes(), f"""
+runs(run, label, prompt_desc, prompt, prediction_type, budget) AS (VALUES {", ".join(rows)}),
+nb AS (SELECT c.*, b.budget FROM cohort c CROSS JOIN (SELECT DISTINCT budget FROM runs) b),
+chunks AS ({_chunk_sql("nb", "budget", extra=", budget")}),
+chx AS (SELECT *, {positional_split_cols('chunk_text')} FROM chunks),
+ans AS (
+  SELECT ch.Report_Number, ch.EMPI, ch.Report_Date_Time, ch.MRN_Type, ch.chunk_idx, r.run, r.label, r.prompt_desc,
+         r.prompt, r.prediction_type, CASE WHEN (CASE r.run {whens} END) THEN 'Yes' ELSE 'No' END AS answer
+  FROM chx ch JOIN runs r ON r.budget = ch.budget)""", select="""
+SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, run, label, prompt_desc, prompt, prediction_type,
+       CAST(max(CASE WHEN answer IN ('Yes', 'yes') THEN 1 ELSE 0 END) AS INTEGER) AS predictions,
+       string_agg(answer, '|' ORDER BY chunk_idx) AS raw_preds, count(*) AS n_chunks
+FROM ans GROUP BY Report_Number, EMPI, Report_Date_Time, MRN_Type, run, label, prompt_desc, prompt, prediction_type""")

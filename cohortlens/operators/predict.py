@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,6 @@ class BatchModel:
     predict: Callable
 
     def answer(self, run: Column, prompt: Column, chunk: Column) -> Column:
-        import pandas as pd
         fn = self.predict
 
         @F.pandas_udf("string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, predict, proximity, rules, sampling
+from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, predict, proximity, rules, sampling, spans
 from cohortlens.functions import normalize
 from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
 from cohortlens.functions.prompts import get_prompt
@@ -252,6 +252,21 @@ def q_annotations_processed(spark, sf_dir):
                         .otherwise(F.col("span")))
 
 
+def q_spans_plain(spark, sf_dir):
+    """P-single rules without lookaround: native offsets."""
+    return spans.single_group_spans(_cohort(spark, sf_dir), spans.single_rules(lookaround=False))
+
+
+def q_spans_lookaround(spark, sf_dir):
+    """P-single rules with lookaround (Java regex, native offsets)."""
+    return spans.single_group_spans(_cohort(spark, sf_dir), spans.single_rules(lookaround=True))
+
+
+def q_spans_multi(spark, sf_dir):
+    """P-multi rules: offsets of the first participating group (Arrow UDF)."""
+    return spans.multi_group_spans(_cohort(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -285,6 +300,9 @@ QUERIES: dict[str, Query] = {
     "ebl_regex_predictions": q_ebl_regex_predictions,
     "metrics_regex_ie": q_metrics_regex_ie,
     "annotations_processed": q_annotations_processed,
+    "spans_plain": q_spans_plain,
+    "spans_lookaround": q_spans_lookaround,
+    "spans_multi": q_spans_multi,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -317,4 +335,5 @@ ORACLE: dict[str, Callable[[], str]] = {
     "split_ie": oracle.split_ie,
     "chunk_notes": lambda: oracle.chunk_notes(chunk_budget()),
     "predict_concepts": oracle.predict_concepts,
+    "spans_plain": oracle.spans_plain,
 }

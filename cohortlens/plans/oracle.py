@@ -604,3 +604,23 @@ SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, run, label, prompt_desc,
        CAST(max(CASE WHEN answer IN ('Yes', 'yes') THEN 1 ELSE 0 END) AS INTEGER) AS predictions,
        string_agg(answer, '|' ORDER BY chunk_idx) AS raw_preds, count(*) AS n_chunks
 FROM ans GROUP BY Report_Number, EMPI, Report_Date_Time, MRN_Type, run, label, prompt_desc, prompt, prediction_type""")
+
+
+# --- span pre-annotation (P-single rules without lookaround) ----------------------------------------------
+
+def spans_plain() -> str:
+    from cohortlens.operators.spans import _cui, single_rules
+    parts = []
+    for label, p in single_rules(lookaround=False):
+        rx = _sql_str("(?i)" + p)
+        parts.append(f"""
+SELECT EMPI, Report_Number, Report_Date_Time, {_sql_str(_cui(label))} AS cui,
+       list_transform(string_split_regex(Report_Text, {rx}), lambda x: length(x)) AS pl,
+       list_transform(regexp_extract_all(Report_Text, {rx}), lambda x: length(x)) AS ml
+FROM cohort WHERE Report_Text IS NOT NULL""")
+    return with_fixtures(cohort_ctes(), "sp AS (" + " UNION ALL ".join(parts) + ")", select="""
+SELECT EMPI, Report_Number, Report_Date_Time,
+       CAST(coalesce(list_sum(list_slice(pl, 1, i)), 0) + coalesce(list_sum(list_slice(ml, 1, i - 1)), 0) AS INTEGER) AS start,
+       CAST(coalesce(list_sum(list_slice(pl, 1, i)), 0) + coalesce(list_sum(list_slice(ml, 1, i)), 0) AS INTEGER) AS "end",
+       cui
+FROM sp, unnest(range(1, len(ml) + 1)) AS r(i)""")

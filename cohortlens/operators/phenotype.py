@@ -57,28 +57,40 @@ def composite(preds: DataFrame, name: str, key: list[str] | None = None) -> Data
     return g.select(*key, *[f"predictions_{s}" for _, s, _ in inputs], pred.cast("int").alias("predictions"))
 
 
-def subtype_inputs(preds: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Long table of the 19 subtype inputs: base concepts plus the accreta and DIC composites."""
-    key = [c for c in (key or PRED_KEY) if c in preds.columns]
-    base = preds.select(*key, "concept", "prediction")
-    acc = composite(preds, "accreta_composite", key).select(*key, F.lit("accreta_composite").alias("concept"),
-                                                            F.col("predictions").alias("prediction"))
-    dic = composite(preds, "dic_composite", key).select(*key, F.lit("dic_composite").alias("concept"),
-                                                        F.col("predictions").alias("prediction"))
-    return base.unionByName(acc).unionByName(dic)
+def _composite_expr(name: str, col_of) -> Column:
+    """Composite prediction from already pivoted concept columns (NULL when a required input is
+    absent, i.e. the composite row would not exist)."""
+    inputs, rule = COMPOSITES[name]
+    cols = [col_of(c) for c, _, _ in inputs]
+    present = F.lit(True)
+    for c, _, required in inputs:
+        if required:
+            present = present & (F.col(f"_has_{c}") == 1)
+    if rule == "any":
+        pred = F.when(_sum_nonnull(cols) >= 1, 1).otherwise(0)
+    else:
+        pred = F.when((cols[0] == 1) & F.coalesce(cols[1] == 0, F.lit(False)), 1).otherwise(0)
+    return F.when(present, pred)
 
 
 def subtypes(preds: DataFrame, key: list[str] | None = None, anchor: str = "atony") -> DataFrame:
-    """Pivot the 19 inputs (anchored on atony) and derive the four subtype flags."""
+    """One pivot of all concept predictions per note (composites for accreta and DIC are
+    computed inside the same row), anchored on atony, plus the four subtype flags.
+    One scan of the predictions and one shuffle on the note key."""
     key = [c for c in (key or PRED_KEY) if c in preds.columns]
-    src = subtype_inputs(preds, key)
-    concept_of = {s: c for s, c in SUBTYPE_INPUTS}
-    aggs = [F.max(F.when(F.col("concept") == c, F.col("prediction"))).alias(f"predictions_{s}")
-            for s, c in SUBTYPE_INPUTS]
-    aggs.append(F.max((F.col("concept") == concept_of[anchor]).cast("int")).alias("_anchor"))
-    wide = (src.filter(F.col("concept").isin(list(concept_of.values())))
-            .groupBy(*key).agg(*aggs).filter(F.col("_anchor") == 1).drop("_anchor"))
-    p = lambda s: F.col(f"predictions_{s}")
+    needed = sorted({c for _, c in SUBTYPE_INPUTS if c not in COMPOSITES}
+                    | {c for n in ("accreta_composite", "dic_composite") for c, _, _ in COMPOSITES[n][0]})
+    aggs = []
+    for c in needed:
+        hit = F.col("concept") == c
+        aggs.append(F.max(F.when(hit, F.col("prediction"))).alias(f"_p_{c}"))
+        aggs.append(F.max(hit.cast("int")).alias(f"_has_{c}"))
+    wide = (preds.filter(F.col("concept").isin(needed)).groupBy(*key).agg(*aggs)
+            .filter(F.col(f"_has_{anchor}") == 1))
+    col_of = lambda c: F.col(f"_p_{c}")
+    src = {s_: (_composite_expr(c, col_of) if c in COMPOSITES else col_of(c)) for s_, c in SUBTYPE_INPUTS}
+    wide = wide.select(*key, *[v.alias(f"predictions_{k}") for k, v in src.items()])
+    p = lambda s_: F.col(f"predictions_{s_}")
     tone = _sum_nonnull([p("atony"), p("methergine"), p("cytotec"), p("hemabate")])
     tissue = F.when((p("accreta") == 1) | (p("retained_poc") == 1) | (p("d_and_c") == 1)
                     | ((p("manual_extraction") == 1) & (p("csection") == 0)), 1).otherwise(0)
@@ -87,7 +99,7 @@ def subtypes(preds: DataFrame, key: list[str] | None = None, anchor: str = "aton
                     | (p("PPH_surgical_damage_artery") == 1) | (p("PPH_surgical_damage_ligament") == 1)
                     | ((p("laceration") == 1) & (thrombus == 0) & (tone == 0) & (tissue == 0)), 1).otherwise(0)
     b = lambda c: F.when(F.coalesce(c, F.lit(0)) >= 1, 1).otherwise(0).cast("int")
-    return wide.select(*key, *[f"predictions_{s}" for s, _ in SUBTYPE_INPUTS],
+    return wide.select(*key, *[f"predictions_{s_}" for s_, _ in SUBTYPE_INPUTS],
                        b(tone).alias("has_tone_subtype_model"), b(tissue).alias("has_tissue_subtype_model"),
                        b(thrombus).alias("has_thrombus_subtype_model"),
                        b(trauma).alias("has_trauma_subtype_model_lacerations_no_other_cause"))

@@ -15,6 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.session import ensure_checkpoint_dir
 
 STAGE_VERSION = "1"
+_CODE_HASH: str | None = None
+
+
+def _code_fingerprint() -> str:
+    """Hash of the package sources: a code change never reuses a stage table written by older code."""
+    global _CODE_HASH
+    if _CODE_HASH is None:
+        from pathlib import Path
+        h = hashlib.sha1()
+        root = Path(__file__).resolve().parents[1]
+        for f in sorted(root.rglob("*.py")):
+            h.update(f.read_bytes())
+        _CODE_HASH = h.hexdigest()[:12]
+    return _CODE_HASH
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,7 +39,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stage_path(spark: SparkSession, name: str, params: str) -> str:
-    key = hashlib.sha1(f"{name}|{params}|{STAGE_VERSION}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{name}|{params}|{STAGE_VERSION}|{_code_fingerprint()}".encode()).hexdigest()[:16]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{name}-{key}"
 
 

@@ -154,7 +154,8 @@ def q_concept_predictions(spark, sf_dir):
 
 def _q_composite(name):
     def q(spark, sf_dir):
-        return phenotype.composite(_concept_preds(spark, sf_dir), name)
+        inputs = [c for c, _, _ in phenotype.COMPOSITES[name][0]]
+        return phenotype.composite(phenotype.concept_predictions(_cohort(spark, sf_dir), inputs), name)
     q.__doc__ = f"C1-C4 composite {name}."
     return q
 
@@ -267,6 +268,26 @@ def q_spans_multi(spark, sf_dir):
     return spans.multi_group_spans(_cohort(spark, sf_dir))
 
 
+COMPOSITE_GOLD = oracle.COMPOSITE_GOLD
+
+
+def q_metrics_composites(spark, sf_dir):
+    """Each composite scored against the annotation label it stands for (annotated notes)."""
+    ann, notes, _ = _prep(spark, sf_dir)
+    gold = labels.binary_labels(notes, ann, labels=sorted(set(COMPOSITE_GOLD.values())))
+    parts = []
+    for name, lab in COMPOSITE_GOLD.items():
+        inputs = [c for c, _, _ in phenotype.COMPOSITES[name][0]]
+        c = phenotype.composite(phenotype.concept_predictions(notes, inputs), name).select("Report_Number", "EMPI", "Report_Date_Time",
+                                                      F.col("predictions").alias("prediction"))
+        y = gold.filter(F.col("label") == lab).select("Report_Number", "EMPI", "Report_Date_Time", "y")
+        parts.append(c.join(y, ["Report_Number", "EMPI", "Report_Date_Time"]).withColumn("label", F.lit(name)))
+    ev = parts[0]
+    for p_ in parts[1:]:
+        ev = ev.unionByName(p_)
+    return metrics.binary_metrics(ev)
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -303,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "spans_plain": q_spans_plain,
     "spans_lookaround": q_spans_lookaround,
     "spans_multi": q_spans_multi,
+    "metrics_composites": q_metrics_composites,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -336,4 +358,5 @@ ORACLE: dict[str, Callable[[], str]] = {
     "chunk_notes": lambda: oracle.chunk_notes(chunk_budget()),
     "predict_concepts": oracle.predict_concepts,
     "spans_plain": oracle.spans_plain,
+    "metrics_composites": oracle.metrics_composites,
 }

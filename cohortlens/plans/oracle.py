@@ -624,3 +624,31 @@ SELECT EMPI, Report_Number, Report_Date_Time,
        CAST(coalesce(list_sum(list_slice(pl, 1, i)), 0) + coalesce(list_sum(list_slice(ml, 1, i)), 0) AS INTEGER) AS "end",
        cui
 FROM sp, unnest(range(1, len(ml) + 1)) AS r(i)""")
+
+
+# --- composite metrics (C5) --------------------------------------------------------------------------------
+
+COMPOSITE_GOLD = {
+    'accreta_composite': 'placenta accreta spectrum',
+    'dic_composite': 'disseminated intravascular coagulation (DIC)',
+    'surgical_composite': 'PPH - surgical causes',
+    'manual_composite': 'manual extraction of placenta',
+}
+
+
+def metrics_composites() -> str:
+    union = " UNION ALL ".join(
+        f"SELECT {_sql_str(name)} AS label, y.y, c.predictions AS prediction FROM {_composite_sql(name)} c "
+        f"JOIN labels_long y ON y.label = {_sql_str(gold)} AND y.EMPI = c.EMPI AND y.Report_Number = c.Report_Number "
+        f"AND y.Report_Date_Time = c.Report_Date_Time"
+        for name, gold in COMPOSITE_GOLD.items())
+    sql = metrics_regex_binary()
+    head, select = sql.split("\nSELECT label,\n", 1)
+    return with_fixtures(cohort_ctes(), annotation_ctes(), concept_ctes("annotated"), f"""
+ev AS ({union}),
+cm AS (
+  SELECT label, sum(CASE WHEN y = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+    sum(CASE WHEN y = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS tn,
+    sum(CASE WHEN y = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS fp,
+    sum(CASE WHEN y = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS fn
+  FROM ev GROUP BY label)""", select="SELECT label,\n" + select)

@@ -80,6 +80,21 @@ class RuleModel:
         return out
 
 
+@dataclass(frozen=True)
+class ExtractRuleModel:
+    """Offline stand-in for extraction prompts: answers with the first text the run's rule matches
+    in the chunk, else 'unanswerable'."""
+    rules: dict[str, str]
+
+    def answer(self, run: Column, prompt: Column, chunk: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for rid, pattern in self.rules.items():
+            rx = java_regex(pattern, ignore_case=True)
+            got = F.when(chunk.rlike(rx), F.regexp_extract(chunk, rx, 0)).otherwise(F.lit(UNANSWERABLE))
+            out = F.when(run == rid, got).otherwise(out)
+        return out
+
+
 @dataclass(frozen=True)
 class BatchModel:
     """Pluggable Python model: ``predict(prompts, chunks) -> answers`` on pandas Series."""

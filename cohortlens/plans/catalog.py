@@ -288,6 +288,32 @@ def q_metrics_composites(spark, sf_dir):
     return metrics.binary_metrics(ev)
 
 
+EBL_RUN = {"ebl": ("estimated blood loss", "disch_summary")}
+
+
+def _zero_shot_ebl(spark, sf_dir):
+    _, notes, joined = _prep(spark, sf_dir)
+    model = predict.ExtractRuleModel(rules={"ebl": LABEL_RULES["estimated blood loss"]})
+    preds = predict.zero_shot(notes, EBL_RUN, model)
+    gold = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
+    gold = gold.withColumn("spans", F.array_sort(F.array_distinct(
+        normalize.clean_predictions("estimated blood loss", F.col("spans"), clean_type="annotation"))))
+    return gold.join(preds.drop("MRN_Type"), ["Report_Number", "EMPI", "Report_Date_Time"], "left") \
+        .withColumn("clean_predictions", F.coalesce("clean_predictions", F.array().cast("array<string>")))
+
+
+def q_zero_shot_extraction(spark, sf_dir):
+    """M5 extraction path (A9 + K1): chunked blood-loss extraction with the rule stand-in model."""
+    z = _zero_shot_ebl(spark, sf_dir)
+    return z.select("Report_Number", "EMPI", "Report_Date_Time", "MRN_Type", "prompt",
+                    *[F.array_join(c, " || ").alias(c) for c in ("spans", "raw_preds", "extracted", "clean_predictions")])
+
+
+def q_metrics_zero_shot_ie(spark, sf_dir):
+    """A20 on the zero-shot extraction run (gold spans de-duplicated as the evaluate path does)."""
+    return metrics.ie_metrics(_zero_shot_ebl(spark, sf_dir), gold="spans", pred="clean_predictions")
+
+
 QUERIES: dict[str, Query] = {
     "cohort_delivery": q_cohort_delivery,
     "cohort_funnel": q_cohort_funnel,
@@ -325,6 +351,8 @@ QUERIES: dict[str, Query] = {
     "spans_lookaround": q_spans_lookaround,
     "spans_multi": q_spans_multi,
     "metrics_composites": q_metrics_composites,
+    "zero_shot_extraction": q_zero_shot_extraction,
+    "metrics_zero_shot_ie": q_metrics_zero_shot_ie,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {

@@ -63,10 +63,12 @@ def balanced(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer input splits than task slots (e.g. one parquet row group)
     so the text work that follows runs on every core. A large input already has more splits
     than slots and is left as is (no extra shuffle at scale)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access keep the scan as it is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

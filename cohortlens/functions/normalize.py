@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortlens.functions.regex import java_regex
+
 # ---------------------------------------------------------------------------
 # Patterns and tables of the reference's cleaners.
 # ---------------------------------------------------------------------------
@@ -25,6 +27,7 @@ EBL_NUMBER_PATTERN = (r'([\d\.\/\-]+).(1, 7)?ebl|ebl.(1, 7)?([\d\.\/\-]+)|(?:([\
                       r'|(?:(\d,?\d\d\d?)+? ?(?:ml|cc|c))|(^[<>]?[\d\.\,\-\/]+$)|(^' + _NS + r'$)|(?:(' + _NS +
                       r') (?:l(?![a-zA-Z])|liters?))')
 EBL_NUMBER_GROUPS = 9
+EBL_NUMBER_GROUPS_LENIENT = 7  # without the two groups of the tuple text
 EBL_NUMBER_PATTERN_LENIENT = EBL_NUMBER_PATTERN.replace("(1, 7)?", "{1,7}?").replace("ebl.(1, 7)?", "ebl.{1,7}?")
 TRANSFUSION_AMOUNT_PATTERN = r'one|two|three|four|five|six|seven|eight|nine|ten|(?:(?<!\d|\/|\.)(?:\d|10)(?!\d|\/|\.))'
 SINGLE_DIGIT_OR_10 = r'(?<!\d)(\d|10)(?!\d)'
@@ -53,7 +56,7 @@ _WS = r'\s+'
 
 
 def _ci(p: str) -> str:
-    return "(?i)" + p
+    return java_regex(p, ignore_case=True)
 
 
 def _sub(c: Column, pattern: str, repl: str = "") -> Column:
@@ -61,7 +64,7 @@ def _sub(c: Column, pattern: str, repl: str = "") -> Column:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, java_regex(r"^\s+|\s+$"), "")
 
 
 def _findall(c: Column, pattern: str, group: int = 0) -> Column:
@@ -104,15 +107,25 @@ def frac_to_float(c: Column) -> Column:
     return F.coalesce(direct, F.when(F.size(parts) == 2, val))
 
 
+def float_text(v: Column) -> Column:
+    """A double as Python writes it: no exponent below 1e16 (``10000000.0``), ``1e+16`` from there."""
+    text = v.cast("string")
+    whole = F.concat(v.cast("bigint").cast("string"), F.lit(".0"))
+    part = F.regexp_replace(v.cast("decimal(38,12)").cast("string"), "0+$", "")
+    large = F.replace(F.replace(text, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e+"))
+    return F.when(F.abs(v) < 1e7, text).when(F.abs(v) >= 1e16, large).when(v == F.floor(v), whole).otherwise(part)
+
+
 # --- K3 blood loss -----------------------------------------------------------------------------------
 
 def clean_blood_loss(c: Column, clean_type: str = "prediction", lenient: bool = False) -> Column:
     """K3: blood-loss text -> millilitres joined by '|' ('' when none)."""
     pat = _ci(EBL_NUMBER_PATTERN_LENIENT if lenient else EBL_NUMBER_PATTERN)
-    groups = [F.regexp_extract_all(c, F.lit(pat), g) for g in range(1, EBL_NUMBER_GROUPS + 1)]
+    n_groups = EBL_NUMBER_GROUPS_LENIENT if lenient else EBL_NUMBER_GROUPS
+    groups = [F.regexp_extract_all(c, F.lit(pat), g) for g in range(1, n_groups + 1)]
     per_match = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
     nums = F.flatten(F.transform(per_match, lambda m: F.filter(
-        F.array(*[m[f"g{i}"] for i in range(EBL_NUMBER_GROUPS)]), lambda x: x != "")))
+        F.array(*[m[f"g{i}"] for i in range(n_groups)]), lambda x: x != "")))
 
     def step(n: Column) -> Column:
         dashes = F.length(n) - F.length(F.replace(n, F.lit("-"), F.lit("")))
@@ -131,7 +144,7 @@ def clean_blood_loss(c: Column, clean_type: str = "prediction", lenient: bool =
     vals = F.transform(vals, lambda v: F.when(v < 10, v * 1000).otherwise(v))
     if clean_type == "prediction":
         vals = F.filter(vals, lambda v: ~((v >= 10) & (v < 100)))
-    return F.array_join(F.transform(vals, lambda v: v.cast("string")), "|")
+    return F.array_join(F.transform(vals, float_text), "|")
 
 
 # --- K4, K5, K6, K12, K13 ------------------------------------------------------------------------------
@@ -289,10 +302,10 @@ def clean_str(c: Column, label: str | Column, clean_type: str = "prediction") ->
     if isinstance(label, str):
         return _clean_for(c, label, clean_type)
     lab = label
-    out = _strip(c)
+    dates = F.coalesce(lab.contains('date'), F.lit(False)) | (lab == 'last menstrual period')
+    out = F.when(dates, _clean_for(c, 'last menstrual period', clean_type)).otherwise(_strip(c))
     for name in ['transfusion amount', 'laceration grade', 'estimated blood loss', 'gestational age',
-                 'time of delivery', 'transfusion type', 'laceration anatomy', 'last menstrual period',
-                 'date of delivery', 'estimated date of delivery']:
+                 'time of delivery', 'transfusion type', 'laceration anatomy']:
         out = F.when(lab == name, _clean_for(c, name, clean_type)).otherwise(out)
     return out
 

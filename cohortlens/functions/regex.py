@@ -1,12 +1,11 @@
 """Regex dialect helpers.
 
-The reference matches with Python ``re``: ``.`` stops only at ``\\n`` and ``re.IGNORECASE``
-folds case. Java's ``(?d)`` (UNIX_LINES) gives the same line handling and ``(?i)`` the same
-folding for the ASCII letters every rule is written in.
+The reference matches with Python ``re`` on text: ``.`` stops only at ``\\n`` (Java's UNIX_LINES, ``(?d)``); ``\\s``,
+``\\d`` and ``\\w`` cover Unicode (``(?U)``); and ``re.IGNORECASE`` folds case beyond ASCII (``(?iU)``).
 """
 
 from __future__ import annotations
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?id)" if ignore_case else "(?d)") + pattern
+    return ("(?idU)" if ignore_case else "(?dU)") + pattern

@@ -41,7 +41,7 @@ def nest_annotation_records(flat: DataFrame, sample: str = "") -> DataFrame:
     fname = annotation_file_name(F.col("annotator"), sample, F.col("EMPI"), F.col("Report_Number"),
                                  F.col("Report_Date_Time"))
     return (flat.withColumn("file_name", F.regexp_replace(fname, r"\.txt$", ".json"))
-            .groupBy("file_name").agg(F.first("Report_Text").alias("Report_Text"),
+            .groupBy("file_name").agg(F.min("Report_Text").alias("Report_Text"),
                                       F.sort_array(F.collect_list(F.struct("start", "end", rec.alias("a"))))
                                       .alias("_a"))
             .select("file_name", "Report_Text", F.transform("_a", lambda x: x["a"]).alias("annotations")))

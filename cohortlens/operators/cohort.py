@@ -1,8 +1,8 @@
 """Delivery-note cohort: filters, key de-duplication and the auditable funnel.
 
-The whole funnel is one plan: every row is tagged with the furthest step it survives, so the
-cohort is ``reached == last step`` and the funnel statistics are one aggregation over the same
-tagged rows (single scan, one shuffle for the de-duplication window, one for the counts).
+The cohort filters first (the date and status predicates reach the scan), then keeps one row per key: only rows
+that pass F3-F7 are shuffled, and of a key's copies one for each map task. The funnel turns each row into a few
+numbers in the scan, so no text leaves it, and counts from one small row per note key.
 """
 
 from __future__ import annotations
@@ -28,12 +28,6 @@ ORDERS_LITERAL = "****** DISCHARGE ORDERS ******"
 FUNNEL_STEPS = ["read", "before_cutoff", "non_ed", "has_text", "delivery_regex",
                 "final_status", "dedup", "no_discharge_instructions", "no_discharge_orders"]
 
-# Tie-break among rows sharing a note key: the reference keeps the first in file order, which
-# Spark does not have; the deterministic stand-in is the smallest row by these columns.
-DEDUP_ORDER = ["EPIC_PMRN", "MRN_Type", "MRN", "Report_Description", "Report_Status",
-               "Report_Type", "Report_Text"]
-
-
 # --- single predicates (Column level, usable in any filter) -----------------------------------
 
 def before_cutoff(col: str = "Report_Date_Time", cutoff: str = DATE_CUTOFF) -> Column:
@@ -81,67 +75,85 @@ def sanitize_report_number(col: str = "Report_Number") -> Column:
 
 # --- DataFrame operators ---------------------------------------------------------------------
 
-def dedup_on_key(df: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Keep one row per key, the smallest by ``order`` (nulls first), deterministic.
+def dedup_on_key(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Keep one row per key (nulls are equal), the one with the smallest hash of all its columns.
 
-    ``row_number() == 1`` plans as a partial ``WindowGroupLimit`` before the shuffle, so a hot key
-    ships one row per map task, not all of its copies.
+    The reference keeps the first in file order, which Spark does not have; rows of a key that differ are told apart
+    by the hash, so the choice is deterministic. ``row_number() <= 1`` plans as a partial ``WindowGroupLimit`` before
+    the shuffle, so a hot key ships one row per map task, not all of its copies.
     """
     keys = keys or NOTE_KEY
-    order = [c for c in (order or DEDUP_ORDER) if c in df.columns]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    w = Window.partitionBy(*keys).orderBy("_order")
+    return (df.withColumn("_order", F.xxhash64(*df.columns)).withColumn("_rn", F.row_number().over(w))
+            .filter("_rn <= 1").drop("_rn", "_order"))
 
 
-def tag_funnel(notes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Tag each note with ``_reached``: index of the last funnel step it survives."""
-    keys = keys or NOTE_KEY
-    pre = [before_cutoff(), not_ed_note(), has_text(), delivery_related(), final_status()]
-    passed = F.lit(True)
-    reached = F.lit(0)
-    for i, p in enumerate(pre, start=1):
-        passed = passed & p
-        reached = F.when(passed, F.lit(i)).otherwise(reached)
-    tagged = notes.withColumn("_pre", reached)
-    order = [F.col("_pre").desc()] + [F.col(c).asc_nulls_first() for c in DEDUP_ORDER if c in notes.columns]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    last_pre = len(pre)
-    first_copy = (F.col("_pre") == last_pre) & (F.row_number().over(w) == 1)
-    post = [not_discharge_instructions(), not_discharge_orders()]
-    reached = F.when(~first_copy, F.col("_pre")).otherwise(F.lit(last_pre + 1))
-    ok = first_copy
-    for j, p in enumerate(post, start=last_pre + 2):
-        ok = ok & p
-        reached = F.when(ok, F.lit(j)).otherwise(reached)
-    return tagged.withColumn("_reached", reached).drop("_pre")
+def candidate_notes(notes: DataFrame) -> DataFrame:
+    """F3 -> F4 -> F5 -> F6 -> F7."""
+    return notes.filter(before_cutoff() & (F.col("Report_Status") == FINAL_STATUS) & not_ed_note() & has_text()
+                        & delivery_related())
 
 
 def delivery_cohort(notes: DataFrame) -> DataFrame:
     """G1: F3 -> F4 -> F5 -> F6 -> F7 -> A11 -> F10 -> F8 -> F9 on raw notes."""
-    last = len(FUNNEL_STEPS) - 1
-    return (tag_funnel(notes).filter(F.col("_reached") == last).drop("_reached")
+    return (dedup_on_key(candidate_notes(notes)).filter(not_discharge_instructions() & not_discharge_orders())
             .withColumn("Report_Number", sanitize_report_number()))
 
 
+def note_steps(notes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per note key: ``_rows`` (rows that survive each step up to F7) and ``_reached`` (last step of the key).
+
+    The steps behind the de-duplication are those of the row that :func:`dedup_on_key` keeps.
+    """
+    keys = keys or NOTE_KEY
+    pre = [before_cutoff(), not_ed_note(), has_text(), delivery_related(), final_status()]
+    passed, step = F.lit(True), F.lit(0)
+    for i, p in enumerate(pre, start=1):
+        passed = passed & F.coalesce(p, F.lit(False))
+        step = F.when(passed, F.lit(i)).otherwise(step)
+    last = len(pre)
+    post = (F.when(~not_discharge_instructions(), F.lit(last + 1)).when(~not_discharge_orders(), F.lit(last + 2))
+            .otherwise(F.lit(last + 3)))
+    slim = notes.select(*keys, step.alias("_step"), F.when(step == last, post).alias("_post"),
+                        F.xxhash64(*notes.columns).alias("_order"))
+    rows = [F.count(F.when(F.col("_step") >= i, 1)).alias(f"_n{i}") for i in range(last + 1)]
+    kept = F.min(F.when(F.col("_step") == last, F.struct("_order", "_post"))).alias("_kept")
+    by_key = slim.groupBy(*keys).agg(*rows, F.max("_step").alias("_step"), kept)
+    return by_key.select(*keys, F.array(*[f"_n{i}" for i in range(last + 1)]).alias("_rows"),
+                         F.coalesce("_kept._post", "_step").alias("_reached"))
+
+
 def funnel_stats(notes: DataFrame) -> DataFrame:
     """Rows, distinct patients / report numbers / (report, patient) / full keys per step,
-    plus rows and patients removed by the step. One aggregation over the tagged notes."""
-    steps = F.array(*[F.struct(F.lit(i).alias("step_idx"), F.lit(s).alias("step"))
-                      for i, s in enumerate(FUNNEL_STEPS)])
-    t = tag_funnel(notes).select(
-        "EMPI", "Report_Number", "Report_Date_Time",
-        F.explode(F.filter(steps, lambda s: s["step_idx"] <= F.col("_reached"))).alias("s"))
-    agg = t.groupBy(F.col("s.step_idx").alias("step_idx"), F.col("s.step").alias("step")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("EMPI").alias("n_patients"),
-        F.count_distinct("Report_Number").alias("n_report_numbers"),
-        F.count_distinct("Report_Number", "EMPI").alias("n_patient_reports"),
-        F.count_distinct("Report_Number", "EMPI", "Report_Date_Time").alias("n_notes"),
-    )
+    plus rows and patients removed by the step. A null counts as a value, as in the reference.
+
+    A patient (or report number) reaches the furthest step that one of its notes reaches, so each count is the
+    number of groups whose largest step is at least the row's: aggregations of the small table by note key."""
+    n = len(FUNNEL_STEPS)
+    pre = n - 3
+    keyed = note_steps(notes)
+
+    def at_least(col: str) -> list[Column]:
+        return [F.count(F.when(F.col(col) >= i, 1)).alias(f"c{i}") for i in range(n)]
+
+    def distinct_counts(cols: list[str], name: str) -> DataFrame:
+        top = keyed.groupBy(*cols).agg(F.max("_reached").alias("_top")) if set(cols) != set(NOTE_KEY) \
+            else keyed.withColumnRenamed("_reached", "_top")
+        one = top.agg(*at_least("_top"))
+        return one.select(F.posexplode(F.array(*[f"c{i}" for i in range(n)])).alias("step_idx", name))
+
+    rows = keyed.agg(*[F.sum(F.col("_rows")[i]).alias(f"c{i}") for i in range(pre)],
+                     *[F.count(F.when(F.col("_reached") >= i, 1)).alias(f"c{i}") for i in range(pre, n)])
+    out = rows.select(F.posexplode(F.array(*[F.coalesce(f"c{i}", F.lit(0)) for i in range(n)])).alias("step_idx", "n_rows"))
+    for cols, name in ((["EMPI"], "n_patients"), (["Report_Number"], "n_report_numbers"),
+                       (["Report_Number", "EMPI"], "n_patient_reports"), (NOTE_KEY, "n_notes")):
+        out = out.join(distinct_counts(cols, name), "step_idx")
+    names = F.array(*[F.lit(s) for s in FUNNEL_STEPS])
     # one row per funnel step (9 rows): an unpartitioned lag is bounded by the step count
     w = Window.orderBy("step_idx")
-    return agg.select(
-        "step_idx", "step", "n_rows", "n_patients", "n_report_numbers", "n_patient_reports", "n_notes",
+    return out.filter("n_rows > 0").select(
+        "step_idx", names[F.col("step_idx")].alias("step"), "n_rows", "n_patients", "n_report_numbers",
+        "n_patient_reports", "n_notes",
         F.coalesce(F.lag("n_rows").over(w) - F.col("n_rows"), F.lit(0)).alias("removed_rows"),
         F.coalesce(F.lag("n_patients").over(w) - F.col("n_patients"), F.lit(0)).alias("removed_patients"),
     )

@@ -23,15 +23,23 @@ LABEL_KEY = ["Report_Number", "EMPI", "Report_Date_Time", "MRN_Type"]
 def prep_data(notes: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """L1: (annotations, annotated notes, annotations left-joined to notes).
 
-    J4 uses a semi join on de-duplicated (EMPI, Report_Number), so a note with several
-    annotations is not multiplied (the reference's assert then holds by construction)."""
+    J4 uses a semi join on de-duplicated (EMPI, Report_Number), so a note with several annotations is not multiplied.
+    J5 joins on the whole note key: an annotation carries the time of its note, and two notes may share patient and
+    report number. As the note key is unique in the cohort, the join keeps the number of annotations, which
+    :func:`join_keeps_count` checks."""
     keys = annotations.select("EMPI", "Report_Number").distinct()
     annotated = notes.join(keys, ["EMPI", "Report_Number"], "left_semi")
-    ann_side = annotations.drop("Report_Date_Time") if "Report_Date_Time" in annotated.columns else annotations
-    joined = ann_side.join(annotated, ["EMPI", "Report_Number"], "left")
+    joined = annotations.join(annotated, [c for c in NOTE_KEY if c in annotations.columns], "left")
     return annotations, annotated, joined
 
 
+def join_keeps_count(annotations: DataFrame, joined: DataFrame) -> None:
+    """J5 check: raises if the join to the notes changed the number of annotations."""
+    before, after = annotations.count(), joined.count()
+    if before != after:
+        raise ValueError(f"{before} annotations became {after} rows: the note key is not unique")
+
+
 def _label_membership(annotations: DataFrame, labels: list[str]) -> DataFrame:
     """(label, EMPI, Report_Number) rows of annotations that assert each label."""
     parts = []
@@ -58,17 +66,24 @@ def binary_labels(notes: DataFrame, annotations: DataFrame, labels: list[str] |
     labels = labels or [l for l in BINARY_LABELS if l != "delivery_note"]
     key = [c for c in (key or LABEL_KEY) if c in notes.columns]
     member = _label_membership(annotations, labels)
-    long = notes.select(*key, F.explode(F.array(*[F.lit(l) for l in labels])).alias("label"))
+
+    def label_sets(cols: list[str], name: str) -> DataFrame:
+        """At most one entry of each label for a key, so a hot key has one short row."""
+        return member.groupBy(*cols).agg(F.collect_set("label").alias(name)).dropna(subset=cols)
+
+    def has(name: str, label: Column) -> Column:
+        return F.coalesce(F.array_contains(F.col(name), label), F.lit(False))
+
+    slim = notes.select(*key)
     if paired:
-        pairs = member.select("label", "EMPI", "Report_Number").distinct().withColumn("_hit", F.lit(1))
-        out = long.join(pairs, ["label", "EMPI", "Report_Number"], "left")
-        y = F.coalesce(F.col("_hit"), F.lit(0))
-        return out.select(*key, "label", y.cast("int").alias("y"))
-    e = member.select("label", "EMPI").distinct().withColumn("_e", F.lit(1))
-    r = member.select("label", "Report_Number").distinct().withColumn("_r", F.lit(1))
-    out = long.join(e, ["label", "EMPI"], "left").join(r, ["label", "Report_Number"], "left")
-    y = (F.col("_e").isNotNull() & F.col("_r").isNotNull()).cast("int")
-    return out.select(*key, "label", y.alias("y"))
+        slim = slim.join(label_sets(["EMPI", "Report_Number"], "_p"), ["EMPI", "Report_Number"], "left")
+        test = lambda x: has("_p", x)
+    else:
+        slim = slim.join(label_sets(["EMPI"], "_e"), "EMPI", "left").join(
+            label_sets(["Report_Number"], "_r"), "Report_Number", "left")
+        test = lambda x: has("_e", x) & has("_r", x)
+    out = slim.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
+    return out.select(*key, "label", test(F.col("label")).cast("int").alias("y"))
 
 
 def delivery_note_label(notes: DataFrame, column: str = "Is_Delivery_Note") -> DataFrame:

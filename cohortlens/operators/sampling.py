@@ -49,19 +49,17 @@ def seeded_shuffle(df: DataFrame, seed: int = SEED, key: list[str] | None = None
     return df.withColumn("_h", seeded_hash(seed, *key)).orderBy("_h").drop("_h")
 
 
-def single_site_patients(notes: DataFrame, ie: bool = False, site: str = SITE,
-                         group: list[str] | None = None) -> DataFrame:
+def single_site_patients(notes: DataFrame, ie: bool = False, site: str = SITE) -> DataFrame:
     """F18 (binary): notes at ``site`` of patients never seen elsewhere (null site counts as elsewhere).
     F19 (ie=True): null site does not count as elsewhere, and null-site notes whose Report_Number
-    contains the site name are kept too."""
-    group = group or []
+    contains the site name are kept too. A patient's sites do not depend on a label, so they are looked up once."""
     mt = F.col("MRN_Type")
     elsewhere_cond = (mt != site) if ie else ~F.coalesce(mt == site, F.lit(False))
-    elsewhere = notes.filter(elsewhere_cond).select(*group, "EMPI").distinct()
+    elsewhere = notes.filter(elsewhere_cond).select("EMPI").distinct()
     keep = F.coalesce(mt == site, F.lit(False))
     if ie:
         keep = keep | (mt.isNull() & F.coalesce(F.col("Report_Number").contains(site), F.lit(False)))
-    return notes.filter(keep).join(elsewhere, group + ["EMPI"], "left_anti")
+    return notes.filter(keep).join(elsewhere, "EMPI", "left_anti")
 
 
 def stratified_patient_split(notes: DataFrame, y: str = "y", group: list[str] | None = None,
@@ -70,7 +68,7 @@ def stratified_patient_split(notes: DataFrame, y: str = "y", group: list[str] |
     stratified on "patient has a positive note" when at least two positive notes exist, with
     largest-remainder quotas; every note of a training patient is 'train', all others 'test'."""
     group = group or ["label"]
-    pool = single_site_patients(notes, ie=ie, group=group)
+    pool = single_site_patients(notes, ie=ie)
     pat = pool.groupBy(*group, "EMPI").agg(F.sum(y).alias("_pos"))
     pos_total = pat.groupBy(*group).agg(F.sum("_pos").alias("_npos"))
     pat = pat.join(pos_total, group, "inner").withColumn(

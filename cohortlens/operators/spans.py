@@ -1,12 +1,8 @@
 """Regex pre-annotation with character offsets.
 
-* Single-group rules (the group is the whole match): native. ``split(text, rule)`` gives the text
-  between matches and ``regexp_extract_all(text, rule, 0)`` the matches, both from the same
-  left-to-right non-overlapping scan Python's ``finditer`` does; match offsets are prefix sums of
-  piece and match lengths (code points, like Python string offsets).
-* Multi-group rules need the offset of the first participating group, which no Spark function
-  returns; they run in one Arrow ``pandas_udf`` per batch of notes (``re.finditer``), all
-  multi-group rules in a single call.
+All rules run in one Arrow pass over the notes: Spark has no function that returns the offset of a regex group, and
+offsets built from split lengths cost the square of the number of matches. A pass is linear in the text for each rule,
+and both kinds of rules see the same (Python) dialect. Multi-group rules give the first participating group.
 Output: ``key + [start, end, cui]`` (0-based, half-open), one row per suggested span.
 """
 
@@ -15,10 +11,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.regex import java_regex
 from cohortlens.functions.rules import LABEL_ALIASES, SPAN_RULES
 
 NOTE_KEY = ["EMPI", "Report_Number", "Report_Date_Time"]
@@ -44,27 +39,11 @@ def multi_rules() -> list[tuple[str, str, int]]:
     return [(l, p, n) for l, p, n in SPAN_RULES if n > 1]
 
 
-def match_offsets(text: Column, pattern: str, cui: str) -> Column:
-    """array<struct<start,end,cui>> of every match of ``pattern`` (case-insensitive) in ``text``."""
-    rx = java_regex(pattern, ignore_case=True)
-    pieces = F.transform(F.split(text, rx), lambda s: F.length(s))
-    matches = F.transform(F.regexp_extract_all(text, F.lit(rx), 0), lambda s: F.length(s))
-
-    def at(ml: Column, i: Column) -> Column:
-        start = (F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, b: a + b)
-                 + F.aggregate(F.slice(matches, 1, i), F.lit(0), lambda a, b: a + b))
-        return F.struct(start.cast("int").alias("start"), (start + ml).cast("int").alias("end"),
-                        F.lit(cui).alias("cui"))
-    return F.coalesce(F.transform(matches, at), F.array().cast(SPAN_TYPE))
-
-
 def single_group_spans(notes: DataFrame, rules: list[tuple[str, str]] | None = None, text: str = "Report_Text",
                        key: list[str] | None = None) -> DataFrame:
-    key = [c for c in (key or NOTE_KEY) if c in notes.columns]
+    """Spans of the rules whose one group is the whole match."""
     rules = rules if rules is not None else single_rules()
-    t = F.col(text)
-    allspans = F.flatten(F.array(*[match_offsets(t, p, _cui(l)) for l, p in rules]))
-    return notes.filter(t.isNotNull()).select(*key, F.inline(allspans))
+    return multi_group_spans(notes, [(label, p, 1) for label, p in rules], text, key)
 
 
 def _multi_udf(rules: list[tuple[str, str, int]]):
@@ -96,5 +75,5 @@ def multi_group_spans(notes: DataFrame, rules: list[tuple[str, str, int]] | None
 
 
 def preannotate(notes: DataFrame, text: str = "Report_Text", key: list[str] | None = None) -> DataFrame:
-    """All 32 rules: native single-group spans plus the Arrow pass for multi-group rules."""
-    return single_group_spans(notes, text=text, key=key).unionByName(multi_group_spans(notes, text=text, key=key))
+    """All 32 rules in one pass."""
+    return multi_group_spans(notes, SPAN_RULES, text, key)

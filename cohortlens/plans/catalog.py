@@ -30,8 +30,8 @@ def q_cohort_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delivery cohort as a stage table (the reference's filtered cohort file)."""
-    return stage_table(spark, "delivery_cohort", sf_dir,
-                       lambda: cohort.delivery_cohort(fx.notes(spark, sf_dir)))
+    return stage_table(spark, "delivery_cohort", sf_dir, lambda: cohort.delivery_cohort(fx.notes(spark, sf_dir)),
+                       inputs=[f"{sf_dir}/documents.parquet"])
 
 
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ def _annotations_flat(spark, sf_dir):
 def _annotations_delivery(spark, sf_dir):
     """Processed annotations as a stage table (the reference's processed annotation file)."""
     return stage_table(spark, "delivery_annotations", sf_dir,
-                       lambda: annotations.drop_non_delivery(_annotations_flat(spark, sf_dir)))
+                       lambda: annotations.drop_non_delivery(_annotations_flat(spark, sf_dir)),
+                       inputs=[f"{sf_dir}/documents.parquet"])
 
 
 def _prep(spark, sf_dir):
@@ -126,8 +127,8 @@ def q_labels_ie(spark, sf_dir):
 
 
 def _regex_eval(spark, sf_dir):
-    ann, notes, _ = _prep(spark, sf_dir)
-    gold = labels.binary_labels(notes, ann)
+    _, notes, _ = _prep(spark, sf_dir)
+    gold = _labels_binary(spark, sf_dir)
     preds = rules.rule_predictions(notes, labels=[l for l in rules.BINARY_RULE_LABELS
                                                   if l in set(labels.BINARY_LABELS)])
     return gold.join(preds.drop("MRN_Type"), ["label", "Report_Number", "EMPI", "Report_Date_Time"], "inner")
@@ -171,9 +172,19 @@ def q_sample_annotators(spark, sf_dir):
     return sampling.assign_annotators(smp, ["annA", "annB", "annC"])
 
 
+def _labels_binary(spark, sf_dir):
+    """The labelled notes as a stage table: scoring and splits read it several times."""
+    return stage_table(spark, "labels_binary", sf_dir, lambda: q_labels_binary(spark, sf_dir),
+                       inputs=[f"{sf_dir}/documents.parquet"])
+
+
+def _labels_ie(spark, sf_dir):
+    return stage_table(spark, "labels_ie", sf_dir, lambda: q_labels_ie(spark, sf_dir),
+                       inputs=[f"{sf_dir}/documents.parquet"])
+
+
 def _split_binary(spark, sf_dir):
-    ann, notes, _ = _prep(spark, sf_dir)
-    return sampling.stratified_patient_split(labels.binary_labels(notes, ann), y="y")
+    return sampling.stratified_patient_split(_labels_binary(spark, sf_dir), y="y")
 
 
 def q_split_binary(spark, sf_dir):
@@ -188,7 +199,7 @@ def q_split_label_counts(spark, sf_dir):
 
 def q_split_ie(spark, sf_dir):
     """W9 + F19: patient split for the blood-loss extraction label."""
-    ie = q_labels_ie(spark, sf_dir).withColumn("label", F.lit("estimated blood loss"))
+    ie = _labels_ie(spark, sf_dir).withColumn("label", F.lit("estimated blood loss"))
     return sampling.stratified_patient_split(ie, y="span_extracted", ie=True)
 
 

@@ -24,16 +24,19 @@ def fixture_ctes() -> str:
     phrases = _list(fx.PHRASES)
     codes = _list(fx.CODES)
     labs = ", ".join(f"({p}, {_sql_str(l)}, {_sql_str(s)})" for p, l, s in fx.PHRASE_LABELS)
-    np_, nr = fx.N_PATIENTS, fx.N_REPORTS
     return f"""
+keys0 AS (
+  SELECT *, CASE WHEN doc_id % 97 = 5 THEN NULL WHEN doc_id % 10 = 3 THEN {fx.SKEWED_PATIENT}
+                 ELSE doc_id // {fx.DOCS_PER_PATIENT} END AS EMPI FROM documents),
 notes0 AS (
-  SELECT d.doc_id, d.lang,
-    d.doc_id % {np_} AS EMPI,
-    'E' || CAST(d.doc_id % {np_} AS VARCHAR) AS EPIC_PMRN,
-    CASE WHEN d.doc_id % 31 = 0 THEN NULL WHEN (d.doc_id % {np_}) % 3 = 0 THEN 'MGH'
-         WHEN d.doc_id % 5 = 0 AND d.doc_id % 300 >= 150 THEN 'MGH' ELSE 'BWH' END AS MRN_Type,
-    CASE WHEN (d.doc_id % {np_}) % 3 = 0 THEN 'MGH' ELSE 'BWH' END || '-' || CAST(d.doc_id % {np_} AS VARCHAR) AS MRN,
-    CASE WHEN (d.doc_id % {np_}) % 3 = 0 THEN 'MGH' ELSE 'BWH' END || '/' || CAST(d.doc_id % {nr} AS VARCHAR) AS Report_Number,
+  SELECT d.doc_id,
+    CAST(d.EMPI AS BIGINT) AS EMPI,
+    'E' || CAST(d.EMPI AS VARCHAR) AS EPIC_PMRN,
+    CASE WHEN d.doc_id % 31 = 0 THEN NULL WHEN d.EMPI % 3 = 0 THEN 'MGH'
+         WHEN d.doc_id % 5 = 0 AND d.EMPI % 2 = 1 THEN 'MGH' ELSE 'BWH' END AS MRN_Type,
+    CASE WHEN d.EMPI % 3 = 0 THEN 'MGH' ELSE 'BWH' END || '-' || CAST(d.EMPI AS VARCHAR) AS MRN,
+    CASE WHEN d.doc_id % 89 <> 7 THEN CASE WHEN d.EMPI % 3 = 0 THEN 'MGH' ELSE 'BWH' END || '/'
+         || CAST(d.doc_id // {fx.DOCS_PER_REPORT} AS VARCHAR) END AS Report_Number,
     CAST(DATE '{fx.BASE_DATE}' + CAST((d.doc_id * 37) % 700 AS INTEGER) AS TIMESTAMP)
       + to_hours(CAST((d.doc_id % 3) * 8 AS INTEGER)) AS Report_Date_Time,
     CASE d.doc_id % 11 WHEN 0 THEN 'ED Discharge Summary' WHEN 1 THEN 'ED Observation Discharge Summary'
@@ -42,7 +45,7 @@ notes0 AS (
     'DS' AS Report_Type,
     CASE WHEN d.doc_id % 53 = 0 THEN NULL
          ELSE d.text || ' | ' || ({phrases})[CAST(d.doc_id % {len(fx.PHRASES)} AS INTEGER) + 1] END AS Report_Text
-  FROM documents d),
+  FROM keys0 d),
 notes_v AS (
   SELECT EMPI, EPIC_PMRN, MRN_Type, MRN, Report_Number, Report_Date_Time, Report_Description,
          Report_Status, Report_Type, Report_Text FROM notes0
@@ -70,7 +73,7 @@ annot_raw AS (
          + length(l.span) AS INTEGER) AS "end",
     n.Report_Text
   FROM notes0 n JOIN lab l ON l.pid = n.doc_id % {len(fx.PHRASES)}
-  WHERE n.lang = '{fx.ANNOTATED_LANG}' AND n.Report_Text IS NOT NULL)"""
+  WHERE n.Report_Text IS NOT NULL AND n.EMPI IS NOT NULL AND n.Report_Number IS NOT NULL)"""
 
 
 def with_fixtures(*ctes: str, select: str) -> str:
@@ -82,7 +85,7 @@ def with_fixtures(*ctes: str, select: str) -> str:
 
 def cohort_ctes() -> str:
     from cohortlens.operators import cohort as c
-    order = ", ".join(f"{col} ASC NULLS FIRST" for col in c.DEDUP_ORDER)
+    order = "EPIC_PMRN, MRN_Type, MRN, Report_Description, Report_Status, Report_Type, Report_Text"
     return f"""
 g1_flags AS (
   SELECT *,
@@ -125,12 +128,10 @@ def cohort_funnel() -> str:
 steps(step_idx, step) AS (VALUES {steps}),
 agg AS (
   SELECT s.step_idx, s.step, count(*) AS n_rows,
-    count(DISTINCT t.EMPI) AS n_patients,
-    count(DISTINCT t.Report_Number) AS n_report_numbers,
-    count(DISTINCT CASE WHEN t.Report_Number IS NOT NULL AND t.EMPI IS NOT NULL
-                        THEN (t.Report_Number, t.EMPI) END) AS n_patient_reports,
-    count(DISTINCT CASE WHEN t.Report_Number IS NOT NULL AND t.EMPI IS NOT NULL AND t.Report_Date_Time IS NOT NULL
-                        THEN (t.Report_Number, t.EMPI, t.Report_Date_Time) END) AS n_notes
+    count(DISTINCT {{'e': t.EMPI}}) AS n_patients,
+    count(DISTINCT {{'r': t.Report_Number}}) AS n_report_numbers,
+    count(DISTINCT {{'r': t.Report_Number, 'e': t.EMPI}}) AS n_patient_reports,
+    count(DISTINCT {{'r': t.Report_Number, 'e': t.EMPI, 't': t.Report_Date_Time}}) AS n_notes
   FROM g1_tagged t JOIN steps s ON s.step_idx <= t.reached
   GROUP BY s.step_idx, s.step)""", select="""
 SELECT step_idx, step, n_rows, n_patients, n_report_numbers, n_patient_reports, n_notes,
@@ -345,9 +346,10 @@ def labels_binary() -> str:
 def labels_ie(label: str = "estimated blood loss") -> str:
     return with_fixtures(cohort_ctes(), annotation_ctes(), f"""
 grp AS (
-  SELECT a.EMPI, a.Report_Number, n.Report_Date_Time, any_value(n.MRN_Type) AS MRN_Type,
+  SELECT a.EMPI, a.Report_Number, n.Report_Date_Time, min(n.MRN_Type) AS MRN_Type,
          list(a.span ORDER BY a.start, a."end", a.span) AS spans
   FROM annot_deliv a JOIN annotated n ON n.EMPI = a.EMPI AND n.Report_Number = a.Report_Number
+   AND n.Report_Date_Time = a.Report_Date_Time
   WHERE a.label_type = {_sql_str(label)}
   GROUP BY a.EMPI, a.Report_Number, n.Report_Date_Time),
 ie AS (

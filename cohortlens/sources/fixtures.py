@@ -7,8 +7,7 @@ registered query runs on views that Spark derives from the driver tables:
                     with the note header fields derived from ``doc_id``; some documents
                     are exported twice (exact duplicates), as real exports are.
 * ``diagnoses``   – one diagnosis row per ``events`` row.
-* ``raw_annotations`` – annotator decisions on the English notes; each span is located
-                    inside the note text, so ``start``/``end`` are real offsets.
+* ``raw_annotations`` – annotator decisions on the notes; each span is located inside the note text, so ``start``/``end`` are real offsets.
 
 All of it is column arithmetic on a single scan of each table (no joins, no
 shuffles); the small phrase/code tables are literal arrays indexed per row.
@@ -40,6 +39,13 @@ PHRASES = [
     "39 weeks gestation. L&D admission. EBL 500-800 cc",
     "methergine and cytotec given; FFP and cryo transfused; delivery",
     "Cardiology follow-up, routine.",
+    "Placenta accreta with placenta percreta found at cesarean section; hysterectomy for placenta increta.",
+    "Placental abruption at delivery, no placenta accreta. Coagulopathy, low platelets.",
+    "Dilation and curettage for retained POC after delivery.",
+    "Uterine rupture in labor , artery laceration repaired; broad ligament laceration.",
+    "B-Lynch and O'Leary sutures placed at cesarean section for uterine atony.",
+    "Vacuum extraction, then forceps delivery of a vertex infant.",
+    "Extension of the uterine incision, extension into the vagina; delivery with PPH .",
 ]
 CODES = ["666.02", "666.12", "666.22", "666.32", "665.24", "664.01",
          "656.03", "641.11", "650", "V27.0", "669.71", "641.91"]
@@ -52,27 +58,23 @@ PHRASE_LABELS = [
     (8, "manual extraction of placenta", "manual removal"), (9, "hysterectomy", "hysterectomy"),
     (14, "transfusion type", "FFP"), (14, "transfusion type", "cryo"),
     (15, "not a delivery note", "routine."),
+    (16, "placenta accreta spectrum", "Placenta accreta"), (16, "hysterectomy", "hysterectomy"),
+    (17, "abruption of the placenta", "Placental abruption"),
+    (18, "dilation & curettage", "Dilation and curettage"),
+    (18, "retained products of conception", "retained POC"),
+    (19, "Uterine rupture", "Uterine rupture"), (19, "laceration", "laceration"),
+    (20, "B-Lynch sutures", "B-Lynch"), (20, "O'Leary sutures", "O'Leary"), (20, "uterine atony", "uterine atony"),
+    (21, "vaginal - vacuum extraction", "Vacuum extraction"), (21, "vaginal - forceps", "forceps"),
+    (22, "PPH - surgical causes", "Extension"), (22, "PPH", "PPH"),
 ]
 BASE_DATE = "2014-01-01"
-N_PATIENTS = 150
-N_REPORTS = 350
-ANNOTATED_LANG = "en"
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer input splits than task slots (e.g. one parquet row group)
-    so the text work that follows runs on every core. A large input already has more splits
-    than slots and is left as is (no extra shuffle at scale)."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access keep the scan as it is
-        return df
-    return df.repartition(slots) if splits < slots else df
+#: Documents of a patient and of a report number: both grow with the table, and a report number is shared between
+#: patients now and then. Every tenth document belongs to one patient, who is skewed at any size.
+DOCS_PER_PATIENT, DOCS_PER_REPORT, SKEWED_PATIENT = 7, 4, 1
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -86,11 +88,12 @@ def _base_day(offset_days: Column) -> Column:
 
 def _note_columns(d: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
-    empi = doc % N_PATIENTS
+    empi = (F.when(doc % 97 == 5, F.lit(None).cast("bigint")).when(doc % 10 == 3, F.lit(SKEWED_PATIENT).cast("bigint"))
+            .otherwise(F.floor(doc / DOCS_PER_PATIENT)))
     site = F.when(empi % 3 == 0, F.lit("MGH")).otherwise(F.lit("BWH"))
     mrn_type = (F.when(doc % 31 == 0, F.lit(None).cast("string"))
                 .when(empi % 3 == 0, F.lit("MGH"))
-                .when((doc % 5 == 0) & (doc % 300 >= 150), F.lit("MGH"))
+                .when((doc % 5 == 0) & (empi % 2 == 1), F.lit("MGH"))
                 .otherwise(F.lit("BWH")))
     desc = (F.when(doc % 11 == 0, F.lit("ED Discharge Summary"))
             .when(doc % 11 == 1, F.lit("ED Observation Discharge Summary"))
@@ -105,13 +108,13 @@ def _note_columns(d: DataFrame) -> DataFrame:
         F.concat(F.lit("E"), empi.cast("string")).alias("EPIC_PMRN"),
         mrn_type.alias("MRN_Type"),
         F.concat(site, F.lit("-"), empi.cast("string")).alias("MRN"),
-        F.concat(site, F.lit("/"), (doc % N_REPORTS).cast("string")).alias("Report_Number"),
+        F.when(doc % 89 != 7, F.concat(site, F.lit("/"), F.floor(doc / DOCS_PER_REPORT).cast("string")))
+         .alias("Report_Number"),
         ts.alias("Report_Date_Time"),
         desc.alias("Report_Description"),
         F.when(doc % 7 == 0, F.lit("P")).otherwise(F.lit("F")).alias("Report_Status"),
         F.lit("DS").alias("Report_Type"),
         text.alias("Report_Text"),
-        F.col("lang"),
     )
 
 
@@ -145,14 +148,14 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotator records (one per label assertion) on English notes with text.
+    """Annotator records (one per label assertion) on every note with text and a key to name its file by.
 
     Columns: EMPI, Report_Number (as written in the annotator file name, i.e. with
     ``/`` replaced by ``_``), Report_Date_Time, annotator, decision, label_type,
     start, end (0-based, half-open code-point offsets into Report_Text).
     """
     n = _note_columns(_docs(spark, sf_dir)).filter(
-        (F.col("lang") == ANNOTATED_LANG) & F.col("Report_Text").isNotNull())
+        F.col("Report_Text").isNotNull() & F.col("EMPI").isNotNull() & F.col("Report_Number").isNotNull())
     labs = F.array(*[F.struct(F.lit(p).alias("pid"), F.lit(l).alias("label_type"), F.lit(s).alias("span"))
                      for p, l, s in PHRASE_LABELS])
     pid = (F.col("doc_id") % len(PHRASES)).cast("int")

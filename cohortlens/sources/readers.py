@@ -141,12 +141,7 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
 
 
 def export_note_files(notes: DataFrame, directory: str, name_col: str = "file_name", text_col: str = "Report_Text") -> None:
-    """IO13: one plain text file per note, written by the executors into ``directory`` (a folder
-    every executor can reach, e.g. a shared mount), named by ``name_col``."""
-    def write_part(rows):
-        import os
-        os.makedirs(directory, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(directory, r[name_col]), "w") as f:
-                f.write(r[text_col] or "")
-    notes.select(name_col, text_col).foreachPartition(write_part)
+    """IO13: one text file per note below ``directory``/``name_col``=<name>/, written by Spark's own text writer, so any
+    file system that Spark can write works and a lost executor's notes are written again."""
+    one = notes.select(name_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    one.repartition(name_col).write.mode("overwrite").option("lineSep", "\n").partitionBy(name_col).text(directory)

@@ -38,16 +38,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def input_state(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and times of the files below ``paths``: other files at the same place are other input."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        files = fs.listFiles(p, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
+    return h.hexdigest()
+
+
 def stage_path(spark: SparkSession, name: str, params: str) -> str:
     key = hashlib.sha1(f"{name}|{params}|{STAGE_VERSION}|{_code_fingerprint()}".encode()).hexdigest()[:16]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{name}-{key}"
 
 
 def stage_table(spark: SparkSession, name: str, params: str, build: Callable[[], DataFrame],
-                overwrite: bool = False) -> DataFrame:
-    """Read the stage table if it was written before (and ``overwrite`` is False), else build,
-    write and read it."""
-    path = stage_path(spark, name, params)
+                overwrite: bool = False, inputs: list[str] | None = None) -> DataFrame:
+    """Read the stage table if it was written before from the same ``inputs`` (file or folder paths) by the same code
+    (and ``overwrite`` is False), else build, write and read it."""
+    path = stage_path(spark, name, f"{params}|{input_state(spark, inputs or [])}")
     if overwrite or not _exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

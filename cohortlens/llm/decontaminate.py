@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.layout import row_schema, wrapped
+from cohortlens.llm.layout import bounded, row_schema, wrapped
 from cohortlens.llm.words import as_bytes, cut, groups
 
 #: Words of a shard: bounds the memory of a task. A longer document is cut into overlapping shards.
@@ -252,12 +252,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, key
                 names=["key", "item_id", "item_start", "doc_start", "length"])
 
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, item_id string, item_start bigint, "
+    return bounded(src).mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, item_id string, item_start bigint, "
                                "doc_start bigint, length bigint").withColumnRenamed("key", key)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text",
-                  item_key: str = "item_id", item_text: str = "text", batch_bytes: int = 24 << 20) -> DataFrame:
+                  item_key: str = "item_id", item_text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), n_words, n_hit, n_items and items_sha256.
 
     A word is hit if it lies in any occurrence of a window of any item. Null and empty texts have no words. Repeated

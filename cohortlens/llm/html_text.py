@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.layout import neighbour_ranges
+from cohortlens.llm.layout import bounded, neighbour_ranges
 from cohortlens.llm.url_filter import host_of, path_of
 
 # Fixed values of HTML: elements without an end tag, elements whose content is no text, elements that begin a block.
@@ -179,7 +179,7 @@ def extract(pages: DataFrame, ranges: int, key: str = "page_id", url: str = "url
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(data, pa.binary())],
                                                  names=["host", "path", "key", "url", "data"])
 
-        return df.mapInArrow(run, f"host string, path string, key {kind}, url string, data binary")
+        return bounded(df).mapInArrow(run, f"host string, path string, key {kind}, url string, data binary")
 
     src = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(key).alias("key"),
                        F.col(url).alias("url"), F.col(page).alias("html"))

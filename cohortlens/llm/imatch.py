@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.layout import neighbour_ranges
+from cohortlens.llm.layout import bounded, neighbour_ranges
 from cohortlens.llm.words import cut, groups, mix
 
 SEEDS = 16
@@ -72,7 +72,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     def _batch(t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], names=["term", "df"])
 
-    return docs.select(text).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return bounded(docs.select(text)).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def band_lexicon(docs: DataFrame, text: str = "text", least_share: float = 0.0005,
@@ -145,7 +145,7 @@ def fingerprints(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["key", "fingerprint"])
 
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, fingerprint string") \
+    return bounded(src).mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, fingerprint string") \
         .select(F.col("key").alias(key), "fingerprint")
 
 
@@ -172,7 +172,7 @@ def fingerprint_edits(docs: DataFrame, lexicon: np.ndarray, ranges: int, key: st
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = src.schema["key"].dataType.simpleString()
     # the layout only moves what pack() made; its keys are read from the table itself, without the texts
-    dealt = neighbour_ranges(src, ["key"], ranges, lambda d: d.mapInArrow(pack, f"key {kind}, data binary"))
+    dealt = neighbour_ranges(src, ["key"], ranges, lambda d: bounded(d).mapInArrow(pack, f"key {kind}, data binary"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """(range, role, key, text) with equal keys in the order of their texts."""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlens.llm.layout import row_schema, wrapped
+from cohortlens.llm.layout import bounded, row_schema, wrapped
 
 #: Hash bits of a trigram; the vectors have 2**BITS places.
 BITS = 13
@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
     slim = x.select("lang", F.xxhash64("text").alias("h")).distinct()
     w = Window.partitionBy("lang").orderBy("h")
     chosen = slim.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "h")
-    rows = x.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi") \
+    rows = bounded(x).withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi") \
         .dropDuplicates(["lang", "h"]).select("text", "lang") \
         .mapInArrow(_sparse, "lang string, place array<int>, n array<bigint>").collect()
     langs = sorted({r["lang"] for r in rows})
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
     return Model(langs, idf, np.concatenate(parts).T.astype(np.float32), np.array(owner), reach)
 
 
-def predict_texts(model: Model, texts: list[str | None], block: int = 256) -> tuple[list[str], list[float], list[bool]]:
+def predict_texts(model: Model, texts: list[str | None], block: int = 64) -> tuple[list[str], list[float], list[bool]]:
     """Language, score and whether it is rejected, for each text."""
     lang, score, out = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
     use = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]

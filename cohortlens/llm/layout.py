@@ -18,6 +18,8 @@ from cohortlens.session import ensure_checkpoint_dir
 
 #: Sampled keys for each range; the sample is bounded (4 x ranges x this), and only balance depends on it.
 SAMPLE_PER_RANGE = 32
+#: Rows of an Arrow batch; Spark's default of 10,000 whole texts is far more than a worker needs at a time.
+BATCH_ROWS = 1000
 
 
 def _key(values) -> tuple:
@@ -73,9 +75,18 @@ def neighbour_ranges(df: DataFrame, keys: list[str], ranges: int,
         .sortWithinPartitions("_range", F.signum("_role"), *keys)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most BATCH_ROWS rows in its session: bounds what a Python worker holds."""
+    conf = df.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def wrapped(df: DataFrame) -> DataFrame:
     """``df`` as one struct column ``row``, so that its columns cannot clash with new ones."""
-    return df.select(F.struct("*").alias("row"))
+    return bounded(df.select(F.struct("*").alias("row")))
 
 
 def row_schema(df: DataFrame, ddl: str) -> StructType:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.layout import bounded
 from cohortlens.llm.words import as_bytes, cut, groups, word_hashes
 
 # Phrases of the base scan and their labels.
@@ -250,7 +251,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 names=["key", *names])
 
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, n_words bigint, n_base bigint, "
+    return bounded(src).mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, n_words bigint, n_base bigint, "
                                "first_word bigint, last_word bigint, base_labels string, labels string, score double, "
                                "spans array<struct<label:string,first:bigint,end:bigint,share:double>>") \
         .withColumnRenamed("key", key)

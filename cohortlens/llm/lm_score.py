@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.layout import bounded
 from cohortlens.llm.words import cut, groups, mix
 
 _ROTATE = np.uint64(0xD6E8FEB86659FD93)
@@ -95,7 +96,7 @@ def block_texts(docs: DataFrame, blocks: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())],
                                              names=["block", "key", "data"])
 
-    return src.mapInArrow(run, f"block int, key {src.schema['key'].dataType.simpleString()}, data binary") \
+    return bounded(src).mapInArrow(run, f"block int, key {src.schema['key'].dataType.simpleString()}, data binary") \
         .repartition(blocks, "block")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.layout import cut_lineage
+from cohortlens.llm.layout import bounded, cut_lineage
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
                                              names=["key", "own", "fp"])
 
     src = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
-    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, own bigint, fp bigint")
+    return bounded(src).mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, own bigint, fp bigint")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.layout import bounded
+
 #: Characters before the end of a chunk where pieces can still change, besides the longest special string.
 MARGIN = 8
 #: ASCII punctuation that composes with no mark and begins no contraction or special string.
@@ -179,5 +181,5 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"),
                       F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    out = bounded(src).mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

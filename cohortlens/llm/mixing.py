@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 #: floor(2**64 / golden ratio), odd: multiples modulo 2**64 are the golden-ratio points.
 GOLDEN = 0x9E3779B97F4A7C15
 #: Slots in a bucket of ranks, and documents (about) in a bucket of offsets.
-SLOT_BUCKET, DOC_BUCKET = 1 << 16, 8192
+SLOT_BUCKET, DOC_BUCKET = 1 << 14, 2048
 #: Sources that the driver may hold.
 MOST_SOURCES = 1_000_000
 

@@ -29,6 +29,8 @@ DIM = 1 << BITS
 UNDETERMINED = "und"
 #: Bytes of one text that are counted at a time.
 PIECE = 1 << 20
+#: Languages that a model may have; and how many times the sample a language's share of hashes holds.
+MOST_LANGUAGES, SPARE = 10_000, 3
 #: Least accepted cosine of texts under 64 n-grams, which prove little.
 FEW_GRAMS_REACH = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
@@ -104,7 +106,14 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
     languages, which predicts ``und``.
     """
     x = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    slim = x.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = x.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    # hashes below a language's limit hold about SPARE times its sample, whatever the number of its texts
+    limits = [(r["lang"], min((1 << 63) - 1, -(1 << 63) + SPARE * per_language * (1 << 64) // r["count"])) for r in counts]
+    table = x.sparkSession.createDataFrame(limits, "lang string, most bigint")
+    slim = x.select("lang", F.xxhash64("text").alias("h")).join(F.broadcast(table), "lang") \
+        .where(F.col("h") <= F.col("most")).select("lang", "h").distinct()
     w = Window.partitionBy("lang").orderBy("h")
     chosen = slim.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "h")
     rows = bounded(x).withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi") \

@@ -17,7 +17,7 @@ stage) -> answer per chunk -> gather answers per note (chunk order kept) -> note
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -97,15 +97,25 @@ class ExtractRuleModel:
 
 @dataclass(frozen=True)
 class BatchModel:
-    """Pluggable Python model: ``predict(prompts, chunks) -> answers`` on pandas Series."""
-    predict: Callable
+    """Pluggable Python model: ``predict(prompts, chunks) -> answers`` on pandas Series.
+
+    ``load`` builds ``predict`` inside the Python worker, once for each partition that it serves, so a large model is
+    never pickled into the plan. ``batch_size`` bounds the rows of a call (default: an Arrow batch)."""
+    predict: Callable | None = None
+    load: Callable[[], Callable] | None = None
+    batch_size: int | None = None
 
     def answer(self, run: Column, prompt: Column, chunk: Column) -> Column:
-        fn = self.predict
+        predict, load, size = self.predict, self.load, self.batch_size
 
         @F.pandas_udf("string")
-        def _answer(prompts: pd.Series, chunks: pd.Series) -> pd.Series:
-            return pd.Series(fn(prompts, chunks), index=chunks.index).astype("string")
+        def _answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            fn = load() if load else predict
+            for prompts, chunks in batches:
+                step = size or max(len(chunks), 1)
+                parts = [pd.Series(fn(prompts.iloc[i:i + step], chunks.iloc[i:i + step])).astype("string")
+                         for i in range(0, len(chunks), step)]
+                yield pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype="string")
 
         return _answer(prompt, chunk)
 
@@ -123,24 +133,31 @@ def run_table(spark, runs: dict[str, tuple[str, str]], max_length: int = MAX_LEN
 
 def predict_runs(notes: DataFrame, runs: dict[str, tuple[str, str]], model, max_length: int = MAX_LENGTH,
                  stride: int = STRIDE, text: str = "Report_Text", key: list[str] | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """M4 + A7: per (note, run) the list of chunk answers in chunk order (``raw_preds``).
 
-    Notes are chunked once per distinct token budget, then matched to the runs using that budget."""
+    A note is tokenised once (``tokenize``: text column -> array of tokens; default: by white space) and chunked in
+    its row for each distinct token budget; the chunks meet the runs of their budget in the same stage. Only answers
+    are shuffled, by note key and run; the run table joins behind."""
     key = [c for c in (key or PRED_KEY) if c in notes.columns]
     spark = notes.sparkSession
     rt = run_table(spark, runs, max_length)
     budgets = sorted({max_length - prompt_tokens(get_prompt(l, d)[0]) for l, d in runs.values()})
     if min(budgets) <= stride:
         raise ValueError("prompt leaves no room for the note at this max_length/stride")
-    per_budget = notes.select(*key, text, F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget"))
-    chunks = chunk_notes(per_budget, "budget", text=text, key=key, stride=stride)
-    chunks = chunks.repartition(partitions or spark.sparkContext.defaultParallelism * 2)
-    x = chunks.join(F.broadcast(rt), "budget", "inner")
+    tokens = notes.select(*key, (tokenize or whitespace_tokens)(F.col(text)).alias("_tok"))
+
+    def windows(b: int) -> Column:
+        return F.transform(chunk_column(F.col("_tok"), b, stride), lambda c: F.struct(
+            F.lit(b).alias("budget"), c["chunk_idx"].alias("chunk_idx"), c["chunk_text"].alias("chunk_text")))
+
+    chunks = tokens.select(*key, F.inline(F.flatten(F.array(*[windows(b) for b in budgets]))))
+    x = chunks.join(F.broadcast(rt.select("budget", "run", "prompt")), "budget", "inner")
     ans = x.withColumn("answer", model.answer(F.col("run"), F.col("prompt"), F.col("chunk_text")))
-    return (ans.groupBy(*key, "run", "label", "prompt_desc", "prompt", "prediction_type")
-            .agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "answer"))).alias("_a"))
-            .withColumn("raw_preds", F.transform("_a", lambda s: s["answer"])).drop("_a"))
+    return (ans.groupBy(*key, "run").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "answer"))).alias("_a"))
+            .join(F.broadcast(rt.drop("budget")), "run")
+            .select(*key, "run", "label", "prompt_desc", "prompt", "prediction_type",
+                    F.transform("_a", lambda s: s["answer"]).alias("raw_preds")))
 
 
 def binary_from_answers(raw: str | Column = "raw_preds") -> Column:

@@ -161,6 +161,43 @@ def _q_composite(name):
     return q
 
 
+def _with_gaps(preds):
+    """Predictions of which some were never made: no anchor concept for notes without a site, and some optional
+    concepts missing at one site (J10-J13: inner, left and null rules)."""
+    mt, c = F.col("MRN_Type"), F.col("concept")
+    missing = (mt.isNull() & c.isin(*GAPS_WITHOUT_SITE)) | ((mt == GAP_SITE) & c.isin(*GAPS_AT_SITE))
+    return preds.filter(~F.coalesce(missing, F.lit(False)))
+
+
+GAPS_WITHOUT_SITE = ["accreta", "atony", "PPH_surgical_extension"]
+GAP_SITE, GAPS_AT_SITE = "MGH", ["percreta", "coagulopathy", "csection", "PPH_surgical_damage_ligament", "ffp"]
+
+
+def q_composite_with_gaps(spark, sf_dir):
+    """C1-C4 over predictions with gaps, in one frame."""
+    preds = _with_gaps(_concept_preds(spark, sf_dir))
+    parts = [phenotype.composite(preds, name).select(*labels.LABEL_KEY, F.lit(name).alias("composite"), "predictions")
+             for name in phenotype.COMPOSITES]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+def q_subtypes_with_gaps(spark, sf_dir):
+    """T1-T6 over predictions with gaps."""
+    return phenotype.subtypes(_with_gaps(_concept_preds(spark, sf_dir)))
+
+
+def q_normalize_predicates(spark, sf_dir):
+    """K14 on every cohort note."""
+    t = F.col("Report_Text")
+    return _cohort(spark, sf_dir).select(
+        "EMPI", "Report_Number", "Report_Date_Time", normalize.has_numbers(t).alias("has_numbers"),
+        normalize.has_single_digit_or_10(t).alias("has_single_digit_or_10"),
+        normalize.is_text_number(t).alias("is_text_number"))
+
+
 def q_subtypes(spark, sf_dir):
     """19-input subtype frame (J13 as one pivot aggregation)."""
     return phenotype.subtypes(_concept_preds(spark, sf_dir))
@@ -299,6 +336,18 @@ def q_metrics_composites(spark, sf_dir):
     return metrics.binary_metrics(ev)
 
 
+def q_metrics_zero_shot_binary(spark, sf_dir):
+    """M5, binary path: the concept runs on annotated notes, joined to their gold labels and scored, a row per run."""
+    _, notes, _ = _prep(spark, sf_dir)
+    model = predict.RuleModel(rules=dict(CONCEPT_RULES))
+    key = ["Report_Number", "EMPI", "Report_Date_Time"]
+    preds = predict.predict_runs(notes, dict(CONCEPT_RUNS), model).select(
+        *key, "run", "label", predict.binary_from_answers().alias("prediction"))
+    gold = _labels_binary(spark, sf_dir).select(*key, "label", "y")
+    ev = preds.join(gold, [*key, "label"]).drop("label").withColumnRenamed("run", "label")
+    return metrics.binary_metrics(ev)
+
+
 EBL_RUN = {"ebl": ("estimated blood loss", "disch_summary")}
 
 
@@ -362,6 +411,10 @@ QUERIES: dict[str, Query] = {
     "spans_lookaround": q_spans_lookaround,
     "spans_multi": q_spans_multi,
     "metrics_composites": q_metrics_composites,
+    "metrics_zero_shot_binary": q_metrics_zero_shot_binary,
+    "composite_with_gaps": q_composite_with_gaps,
+    "subtypes_with_gaps": q_subtypes_with_gaps,
+    "normalize_predicates": q_normalize_predicates,
     "zero_shot_extraction": q_zero_shot_extraction,
     "metrics_zero_shot_ie": q_metrics_zero_shot_ie,
 }
@@ -398,4 +451,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "predict_concepts": oracle.predict_concepts,
     "spans_plain": oracle.spans_plain,
     "metrics_composites": oracle.metrics_composites,
+    "metrics_zero_shot_binary": oracle.metrics_zero_shot_binary,
+    "composite_with_gaps": lambda: oracle.composite_with_gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE),
+    "subtypes_with_gaps": lambda: oracle.subtypes(oracle.gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE)),
+    "normalize_predicates": oracle.normalize_predicates,
 }

@@ -431,7 +431,29 @@ UNION ALL SELECT label, 'weighted avg',
 
 # --- phenotype (C1-C4, T1-T6) -----------------------------------------------------------------------
 
-def concept_ctes(notes: str = "cohort") -> str:
+def gaps(without_site: list[str], site: str, at_site: list[str]) -> str:
+    """Condition on predictions that exist."""
+    names = lambda xs: ", ".join(_sql_str(x) for x in xs)
+    return (f"WHERE NOT coalesce((c.MRN_Type IS NULL AND k.concept IN ({names(without_site)}))"
+            f" OR (c.MRN_Type = {_sql_str(site)} AND k.concept IN ({names(at_site)})), false)")
+
+
+def composite_with_gaps(without_site: list[str], site: str, at_site: list[str]) -> str:
+    from cohortlens.functions.concepts import COMPOSITES
+    parts = " UNION ALL ".join(f"SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {_sql_str(n)} AS composite, "
+                               f"predictions FROM {_composite_sql(n)}" for n in COMPOSITES)
+    return with_fixtures(cohort_ctes(), concept_ctes(where=gaps(without_site, site, at_site)), select=parts)
+
+
+def normalize_predicates() -> str:
+    from cohortlens.functions.normalize import TEXT_NUMBER
+    return with_fixtures(cohort_ctes(), select=f"""
+SELECT EMPI, Report_Number, Report_Date_Time, regexp_matches(Report_Text, '[0-9]') AS has_numbers,
+  regexp_matches(Report_Text, '(^|[^0-9])([0-9]|10)($|[^0-9])') AS has_single_digit_or_10,
+  regexp_matches(lower(Report_Text), {_sql_str(TEXT_NUMBER)}) AS is_text_number FROM cohort""")
+
+
+def concept_ctes(notes: str = "cohort", where: str = "") -> str:
     from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
     vals = ", ".join(f"({_sql_str(c)}, {_sql_str(l)}, {_sql_str(p)})" for c, (l, p) in CONCEPT_RUNS.items())
     whens = " ".join(f"WHEN {_sql_str(c)} THEN {duck_pattern(CONCEPT_RULES[c], 'c.Report_Text')}"
@@ -442,7 +464,7 @@ concepts(concept, label, prompt_desc) AS (VALUES {vals}),
 cpreds AS (
   SELECT c.Report_Number, c.EMPI, c.Report_Date_Time, c.MRN_Type, k.concept, k.label, k.prompt_desc,
          CAST(CASE k.concept {whens} END AS INTEGER) AS prediction
-  FROM crx c CROSS JOIN concepts k)"""
+  FROM crx c CROSS JOIN concepts k {where})"""
 
 
 def _composite_sql(name: str, src: str = "cpreds") -> str:
@@ -470,13 +492,13 @@ def concept_predictions() -> str:
     return with_fixtures(cohort_ctes(), concept_ctes(), select="SELECT * FROM cpreds")
 
 
-def subtypes() -> str:
+def subtypes(where: str = "") -> str:
     from cohortlens.functions.concepts import SUBTYPE_INPUTS
     cols = ", ".join(f"max(CASE WHEN concept = {_sql_str(c)} THEN prediction END) AS predictions_{s}"
                      for s, c in SUBTYPE_INPUTS)
     names = ", ".join(f"predictions_{s}" for s, _ in SUBTYPE_INPUTS)
     nz = lambda s: f"coalesce(predictions_{s}, 0)"
-    return with_fixtures(cohort_ctes(), concept_ctes(), f"""
+    return with_fixtures(cohort_ctes(), concept_ctes(where=where), f"""
 sub_src AS (
   SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, concept, prediction FROM cpreds
   UNION ALL SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, 'accreta_composite', predictions
@@ -585,7 +607,7 @@ def chunk_notes(budget: int) -> str:
     return with_fixtures(cohort_ctes(), select=_chunk_sql("cohort", str(budget)))
 
 
-def predict_concepts() -> str:
+def _predict_ctes(notes: str) -> str:
     from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
     from cohortlens.functions.prompts import get_prompt
     rows = []
@@ -593,15 +615,35 @@ def predict_concepts() -> str:
         p, t = get_prompt(l, d)
         rows.append(f"({_sql_str(c)}, {_sql_str(l)}, {_sql_str(d)}, {_sql_str(p)}, {_sql_str(t)}, {512 - len(p.split())})")
     whens = " ".join(f"WHEN {_sql_str(c)} THEN {duck_pattern(CONCEPT_RULES[c], 'ch.chunk_text')}" for c in CONCEPT_RUNS)
-    return with_fixtures(cohort_ctes(), f"""
+    return f"""
 runs(run, label, prompt_desc, prompt, prediction_type, budget) AS (VALUES {", ".join(rows)}),
-nb AS (SELECT c.*, b.budget FROM cohort c CROSS JOIN (SELECT DISTINCT budget FROM runs) b),
+nb AS (SELECT c.*, b.budget FROM {notes} c CROSS JOIN (SELECT DISTINCT budget FROM runs) b),
 chunks AS ({_chunk_sql("nb", "budget", extra=", budget")}),
 chx AS (SELECT *, {positional_split_cols('chunk_text')} FROM chunks),
 ans AS (
   SELECT ch.Report_Number, ch.EMPI, ch.Report_Date_Time, ch.MRN_Type, ch.chunk_idx, r.run, r.label, r.prompt_desc,
          r.prompt, r.prediction_type, CASE WHEN (CASE r.run {whens} END) THEN 'Yes' ELSE 'No' END AS answer
-  FROM chx ch JOIN runs r ON r.budget = ch.budget)""", select="""
+  FROM chx ch JOIN runs r ON r.budget = ch.budget)"""
+
+
+def metrics_zero_shot_binary() -> str:
+    head, select = metrics_regex_binary().split("\nSELECT label,\n", 1)
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _predict_ctes("annotated"), """
+ev AS (
+  SELECT a.run AS label, y.y, max(CASE WHEN a.answer IN ('Yes', 'yes') THEN 1 ELSE 0 END) AS prediction
+  FROM ans a JOIN labels_long y ON y.label = a.label AND y.EMPI = a.EMPI AND y.Report_Number = a.Report_Number
+   AND y.Report_Date_Time = a.Report_Date_Time
+  GROUP BY a.run, a.EMPI, a.Report_Number, a.Report_Date_Time, y.y),
+cm AS (
+  SELECT label, sum(CASE WHEN y = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+    sum(CASE WHEN y = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS tn,
+    sum(CASE WHEN y = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS fp,
+    sum(CASE WHEN y = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS fn
+  FROM ev GROUP BY label)""", select="SELECT label,\n" + select)
+
+
+def predict_concepts() -> str:
+    return with_fixtures(cohort_ctes(), _predict_ctes("cohort"), select="""
 SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, run, label, prompt_desc, prompt, prediction_type,
        CAST(max(CASE WHEN answer IN ('Yes', 'yes') THEN 1 ELSE 0 END) AS INTEGER) AS predictions,
        string_agg(answer, '|' ORDER BY chunk_idx) AS raw_preds, count(*) AS n_chunks

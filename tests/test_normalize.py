@@ -60,3 +60,24 @@ def test_clean_predictions_splits_multi_values(spark):
 @pytest.mark.parametrize("s,exp", [("1/2", 0.5), ("1 1/2", 1.5), ("-1 1/2", -1.5), ("3/4/2014", None), ("1,5", 15.0)])
 def test_fractions(spark, s, exp):
     assert _run(spark, N.frac_to_float, [s]) == [exp]
+
+
+def test_large_blood_loss_has_no_exponent(spark):
+    vals = ["10000000", "ebl 12345678", "1200"]
+    assert _run(spark, N.clean_blood_loss, vals) == ["10000000.0", "12345678.0", "1200.0"]
+
+
+def test_lenient_blood_loss(spark):
+    assert _run(spark, lambda c: N.clean_blood_loss(c, lenient=True), ["ebl: 300", "ebl is 450", ""]) == ["300.0", "450.0", ""]
+
+
+def test_lines_and_spaces_follow_python(spark):
+    from cohortlens.functions.regex import java_regex
+    df = spark.createDataFrame([("placenta\u00a0previa",), ("placenta\rprevia",)], "s string")
+    assert [r[0] for r in df.select(F.col("s").rlike(java_regex(r"placenta\s*previa"))).collect()] == [True, True]
+    assert _run(spark, N.clean_blood_loss, ["300\rebl", "300\nebl"]) == ["300.0", ""]
+
+
+def test_column_label_with_any_date(spark):
+    df = spark.createDataFrame([("3/5/14", "date of admission"), (" x ", "other")], "s string, l string")
+    assert [r[0] for r in df.select(N.clean_str(F.col("s"), F.col("l"))).collect()] == ["2014-03-05", "x"]

@@ -33,12 +33,12 @@ def test_single_group_offsets_equal_python_finditer(spark):
 
 def test_blood_loss_groups_equal_python_findall(spark):
     notes = _cohort(spark)
-    got = {(r.EMPI, r.Report_Number): list(r.predictions)
+    got = {(r.EMPI, r.Report_Number, r.Report_Date_Time): list(r.predictions)
            for r in catalog.ebl_regex_predictions(notes).collect()}
     for r in notes.collect():
         found = re.findall(LABEL_RULES["estimated blood loss"], r.Report_Text, flags=re.IGNORECASE)
         exp = [str(i) for s in found for i in s if i != ""]
-        assert got[(r.EMPI, r.Report_Number)] == exp
+        assert got[(r.EMPI, r.Report_Number, r.Report_Date_Time)] == exp
 
 
 def test_funnel_is_monotone(spark):
@@ -67,3 +67,78 @@ def test_annotation_join_keeps_annotation_count(spark):
     ann = catalog._annotations_delivery(spark, SF001)
     _, _, joined = labels.prep_data(catalog._cohort(spark, SF001), ann)
     assert joined.count() == ann.count()
+
+
+def test_funnel_counts_null_keys_as_values(spark):
+    cols = fx.NOTE_FIELDS
+    base = dict.fromkeys(cols) | {"Report_Type": "DS", "Report_Status": "F", "Report_Text": "delivery"}
+    schema = fx.notes(spark, SF001).schema
+    rows = [tuple((base | x)[c] for c in cols) for x in ({"EMPI": 1, "Report_Number": "a"}, {"EMPI": None})]
+    r = cohort.funnel_stats(spark.createDataFrame(rows, schema)).filter("step_idx = 0").first()
+    assert (r.n_rows, r.n_patients, r.n_report_numbers, r.n_notes) == (2, 2, 2, 2)
+
+
+def test_dedup_limits_before_the_shuffle_and_filters_first(spark):
+    plan = cohort.delivery_cohort(fx.notes(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert plan.index("WindowGroupLimit") < plan.rindex("Filter")
+
+
+def test_no_text_is_lost_by_deduplication(spark):
+    notes = fx.notes(spark, "/root/testdata/sf0.01")
+    kept = cohort.candidate_notes(notes)
+    assert cohort.dedup_on_key(kept).count() == kept.select("Report_Text", *cohort.NOTE_KEY).distinct().count()
+
+
+def test_join_check_raises_on_shared_keys(spark):
+    import pytest
+    from cohortlens.operators import labels
+    ann = catalog._annotations_delivery(spark, SF001)
+    labels.join_keeps_count(ann, labels.prep_data(catalog._cohort(spark, SF001), ann)[2])
+    with pytest.raises(ValueError):
+        labels.join_keeps_count(ann, ann.union(ann))
+
+
+def test_a_note_with_many_matches_is_linear(spark):
+    import time
+    df = spark.createDataFrame([(1, "x", None, "uterine atony bakri " * 4000)],
+                               "EMPI long, Report_Number string, Report_Date_Time timestamp_ntz, Report_Text string")
+    spans.single_group_spans(df.limit(0)).count()
+    t0 = time.time()
+    assert spans.single_group_spans(df).count() >= 8000
+    assert time.time() - t0 < 30
+
+
+def test_stage_key_follows_the_input_files(spark, tmp_path):
+    from cohortlens.sources import stage
+    p = str(tmp_path / "in")
+    spark.range(3).write.parquet(p)
+    before = stage.input_state(spark, [p])
+    assert before == stage.input_state(spark, [p])
+    spark.range(5).write.mode("append").parquet(p)
+    assert before != stage.input_state(spark, [p])
+
+
+def test_note_files_and_model_factory(spark, tmp_path):
+    from cohortlens.operators import predict
+    from cohortlens.sources import readers
+    df = spark.createDataFrame([("a_1.txt", "one\nline"), ("b_2.txt", None)], "file_name string, Report_Text string")
+    readers.export_note_files(df, str(tmp_path / "notes"))
+    back = spark.read.text(str(tmp_path / "notes"), wholetext=True).collect()
+    assert {(r.file_name, r.value.rstrip("\n")) for r in back} == {("a_1.txt", "one\nline"), ("b_2.txt", "")}
+
+    def load():
+        return lambda prompts, chunks: ["Yes" if "line" in c else f"{len(chunks)}" for c in chunks]
+
+    model = predict.BatchModel(load=load, batch_size=1)
+    got = df.coalesce(1).na.fill("").select("file_name", model.answer(F.lit("r"), F.lit("p"), F.col("Report_Text")).alias("a"))
+    assert {(r.file_name, r.a) for r in got.collect()} == {("a_1.txt", "Yes"), ("b_2.txt", "1")}
+
+
+def test_no_local_checkpoint_folder_off_a_local_master():
+    import pytest
+    from types import SimpleNamespace
+    from cohortlens.session import ensure_checkpoint_dir
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(far)

@@ -7,7 +7,7 @@ how much the groups of that level differ beyond binomial noise. A host passes if
 (mean - z standard deviations) is at least ``min_rate``.
 
 Work at scale: two partial aggregations by host (a hot host is one row for each map task), then tables with a row
-for each host, domain and suffix. Three rows of level statistics go to the driver.
+for each host, domain and suffix; the host table is written once. Three rows of level statistics go to the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.layout import cut_lineage
+
 #: Second labels under which country suffixes register names (``name.co.uk``).
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,8 +86,8 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     for each host: host, n_labelled, rate (posterior mean) and lower (mean - z standard deviations, at least 0).
     With no label at all, every rate is 0.5.
     """
-    hosts = outcomes.groupBy("host", "domain", "suffix").agg(
-        F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    hosts = cut_lineage(outcomes.groupBy("host", "domain", "suffix").agg(
+        F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()

@@ -13,7 +13,7 @@ from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
 from cohortlens.functions.prompts import get_prompt
 from cohortlens.functions.rules import LABEL_RULES, EBL_GROUPS
 from cohortlens.functions.regex import java_regex
-from cohortlens.plans import oracle
+from cohortlens.plans import oracle, oracle_answers
 from cohortlens.sources import fixtures as fx
 from cohortlens.sources.stage import stage_table
 
@@ -198,6 +198,45 @@ def q_normalize_predicates(spark, sf_dir):
         normalize.is_text_number(t).alias("is_text_number"))
 
 
+def _q_normalize(labels_):
+    def q(spark, sf_dir):
+        return fx.answers(spark, sf_dir, labels_).withColumn(
+            "clean", normalize.clean_str(F.col("answer"), F.col("label_type")))
+    q.__doc__ = "K2 with the cleaners of " + ", ".join(labels_) + "."
+    return q
+
+
+NORMALIZED = {
+    "normalize_transfusion": ["transfusion amount", "transfusion type"],    # K4, K12
+    "normalize_laceration": ["laceration grade", "laceration anatomy"],     # K5, K13
+    "normalize_gestational_age": ["gestational age"],                       # K6
+    "normalize_times": ["time of delivery"],                                # K7, K10
+    "normalize_dates": ["date of delivery"],                                # K8, K9
+}
+LISTED = [x for names in NORMALIZED.values() for x in names] + ["estimated blood loss"]
+
+
+def q_normalize_blood_loss(spark, sf_dir):
+    """Answers of models and of annotators."""
+    a = F.col("answer")
+    return fx.answers(spark, sf_dir, ["estimated blood loss"]).select(
+        "*", normalize.clean_blood_loss(a).alias("clean_prediction"),
+        normalize.clean_blood_loss(a, "annotation").alias("clean_annotation"))
+
+
+def q_normalize_fractions(spark, sf_dir):
+    """K11."""
+    return fx.answers(spark, sf_dir, ["fraction"]).withColumn("value", normalize.frac_to_float(F.col("answer")))
+
+
+def q_normalize_lists(spark, sf_dir):
+    """K1: two answers of a note and label, cleaned, emptied and split together."""
+    before = fx.answers(spark, sf_dir, LISTED, shift=1).withColumnRenamed("answer", "before")
+    both = fx.answers(spark, sf_dir, LISTED).join(before, ["doc_id", "label_type"])
+    clean = normalize.clean_predictions(F.col("label_type"), F.array("before", "answer"))
+    return both.select("doc_id", "label_type", F.array_join(clean, " || ").alias("clean"))
+
+
 def q_subtypes(spark, sf_dir):
     """19-input subtype frame (J13 as one pivot aggregation)."""
     return phenotype.subtypes(_concept_preds(spark, sf_dir))
@@ -415,6 +454,10 @@ QUERIES: dict[str, Query] = {
     "composite_with_gaps": q_composite_with_gaps,
     "subtypes_with_gaps": q_subtypes_with_gaps,
     "normalize_predicates": q_normalize_predicates,
+    "normalize_blood_loss": q_normalize_blood_loss,
+    **{name: _q_normalize(labels_) for name, labels_ in NORMALIZED.items()},
+    "normalize_fractions": q_normalize_fractions,
+    "normalize_lists": q_normalize_lists,
     "zero_shot_extraction": q_zero_shot_extraction,
     "metrics_zero_shot_ie": q_metrics_zero_shot_ie,
 }
@@ -455,4 +498,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "composite_with_gaps": lambda: oracle.composite_with_gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE),
     "subtypes_with_gaps": lambda: oracle.subtypes(oracle.gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE)),
     "normalize_predicates": oracle.normalize_predicates,
+    "normalize_blood_loss": oracle_answers.blood_loss,
+    **{name: (lambda labels_=labels_: oracle_answers.cleaned(labels_)) for name, labels_ in NORMALIZED.items()},
+    "normalize_fractions": oracle_answers.fractions,
+    "normalize_lists": lambda: oracle_answers.lists(LISTED, normalize.MULTI_VALUE_LABELS + ["date of delivery"]),
 }

@@ -178,3 +178,61 @@ def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (start + F.length(F.col("_l.span"))).cast("int").alias("end"),
         "Report_Text",
     )
+
+
+# ---------------------------------------------------------------------------
+# Fixed values of the fixture: answers as models and annotators write them, with {fields} filled from each document.
+# ---------------------------------------------------------------------------
+ANSWERS = {
+    "estimated blood loss": [
+        "{ml} cc", "EBL {ml}", "{ml} EBL", "{lo}-{ml} ml", "{k} liters", "<{ml}", "{word}", "{th},{c3} ml", "{dd}",
+        "no blood loss noted", "1/2 liter", "1-1/2 liters", "0.5 l", "{word} liters", "{th}0000000"],
+    "transfusion amount": ["{word} units of prbc", "{one} units", "10 units", "1{one} units", "1/{one} unit", "not given"],
+    "transfusion type": [
+        "{one} units prbc", "{dd} ml saline", "{one} Units of Platelets", "packed red blood cells x{one}", "cryo {one} u"],
+    "laceration grade": ["{one}th degree", "second-degree", "severe", "1{one}th degree", "grade {one}"],
+    "laceration anatomy": ["second degree perineal, {one}", "2nd degree vaginal", "periurethral", "{one} degrees"],
+    "gestational age": [
+        "{ga} weeks", "{ga} {gd}/7 weeks", "{ga}w{gd}d", "{ga} wks", "term", "on {m}/{d}/{y} at {ga} weeks"],
+    "time of delivery": [
+        "{h}:{mm} PM", "born at {h}:{mm} am", "{H}:{mm}", "{HH}{mm}", "{H}:{mm}:{ss}", "{one} PM", "{h}:{mm}p.m. EST",
+        "{mo}/{da}/{y} at {h}:{mm} AM", "{H}:{mm} or {h}:{mm} PM", "3{one}:{mm}", "not recorded"],
+    "date of delivery": [
+        "{mo}/{da}/{y}", "{m}/{d}/{yy}", "{m}-{d}-{yy}", "{month} {d}, {y}", "{month} {d}", "{m}/{d}", "{m}/{y}",
+        "{m}/{d}/{y}, then {mo}/{da}/{yy}", "unknown"],
+    "fraction": ["{one}/8", "{k} {one}/8", "-{k} {one}/8", "{th},{c3}", "{ml}", "{one}/8/{one}"],
+}
+NUMBER_NAMES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+               "november", "december"]
+
+
+def _answer_fields(n: Column, size: Column) -> dict[str, Column]:
+    """Fields of the answers, from the document's number and the length of its text."""
+    def pad(c: Column, width: int = 2) -> Column:
+        return F.lpad(c.cast("string"), width, "0")
+
+    one, hour, month, day, year = 1 + (n + size) % 9, 1 + size % 12, 1 + size % 12, 1 + n % 28, 2010 + n % 9
+    plain = {"ml": 100 + (n * 37 + size) % 2900, "lo": 100 + n % 50, "k": 1 + size % 4, "th": 1 + n % 9,
+             "dd": 10 + size % 90, "one": one, "ga": 24 + size % 18, "gd": n % 7, "h": hour, "H": size % 24,
+             "m": month, "d": day, "y": year}
+    padded = {"c3": pad(size % 1000, 3), "mm": pad(n * 7 % 60), "ss": pad((n + size) % 60), "HH": pad(size % 24),
+              "mo": pad(month), "da": pad(day), "yy": pad(year % 100)}
+    named = {"word": _pick(NUMBER_NAMES, one - 1), "month": _pick(MONTH_NAMES, month - 1)}
+    return {**{k: v.cast("string") for k, v in plain.items()}, **padded, **named}
+
+
+def answers(spark: SparkSession, sf_dir: str, labels: list[str], shift: int = 0) -> DataFrame:
+    """doc_id, label_type, answer: for every document one answer to each label (``shift`` places before its own)."""
+    n = F.col("doc_id")
+    fields = _answer_fields(n, F.coalesce(F.length("text"), F.lit(0)))
+
+    def filled(label: str) -> Column:
+        size = len(ANSWERS[label])
+        out = _pick(ANSWERS[label], (n + (size - shift)) % size)
+        for name in sorted({f for a in ANSWERS[label] for f in fields if "{" + f + "}" in a}):
+            out = F.replace(out, F.lit("{" + name + "}"), fields[name])
+        return out
+
+    rows = F.array(*[F.struct(F.lit(x).alias("label_type"), filled(x).alias("answer")) for x in labels])
+    return _docs(spark, sf_dir).select("doc_id", F.inline(rows))

@@ -28,6 +28,31 @@ def concept_predictions(notes: DataFrame, concepts: list[str] | None = None, tex
                        F.element_at(prompts, F.col("concept")).alias("prompt_desc"), "prediction")
 
 
+def restrict_to_keys(preds: DataFrame, others: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Predictions whose EMPI, Report_Number and Report_Date_Time each occur among ``others``, tested one by one
+    as the reference does (not as a tuple). Null is a value like others."""
+    for k in key or ["EMPI", "Report_Number", "Report_Date_Time"]:
+        known = others.select(F.col(k).alias("_known")).distinct()
+        preds = preds.join(known, F.col(k).eqNullSafe(F.col("_known")), "left_semi")
+    return preds
+
+
+def same_count(preds: DataFrame, others: DataFrame) -> None:
+    """J14 check: raises if the restricted predictions are not as many as the others."""
+    a, b = preds.count(), others.count()
+    if a != b:
+        raise ValueError(f"{a} restricted predictions, {b} expected: the keys cross over between notes")
+
+
+def predictions_of_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """The predictions of several run types in one frame, told apart by ``run_type``."""
+    parts = [p.withColumn("run_type", F.lit(name)) for name, p in runs.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _sum_nonnull(cols: list[Column]) -> Column:
     out = F.lit(0)
     for c in cols:

@@ -82,9 +82,10 @@ def _with_day_diff(df: DataFrame) -> DataFrame:
 
 
 def proximity_join(notes: DataFrame, dx: DataFrame, window_days: int = WINDOW_DAYS,
-                   definition: str | None = "butwick", one_per_note: bool = False) -> DataFrame:
+                   definition: str | None = "butwick", one_per_note: bool = False, how: str = "inner") -> DataFrame:
     """J1 + J3 (+F12/F13, F16): every (note, diagnosis) pair of the same patient with
-    ``-window_days <= diff_days <= window_days``; ``one_per_note`` keeps the nearest (W1)."""
+    ``-window_days <= diff_days <= window_days``; ``one_per_note`` keeps the nearest (W1). With ``how='left'`` a note
+    without such a diagnosis (or without patient or time) stays once, its diagnosis columns null."""
     if definition:
         dx = dx.filter(definition_filter(definition))
     width = window_days * DAY_MICROS
@@ -93,8 +94,11 @@ def proximity_join(notes: DataFrame, dx: DataFrame, window_days: int = WINDOW_DA
     dx_b = dx.select("EMPI", *[c for c in dx.columns if c != "EMPI"],
                      F.explode(F.array(db - 1, db, db + 1)).alias("_bucket"))
     notes_b = notes.withColumn("_bucket", nb)
-    joined = _with_day_diff(notes_b.join(dx_b, ["EMPI", "_bucket"], "inner")).drop("_bucket")
-    joined = joined.filter(F.col("diff_days").between(-window_days, window_days))
+    # a pair meets in exactly one bucket, so the window belongs to the join condition
+    dx_b = dx_b.withColumnRenamed("EMPI", "_dx_empi").withColumnRenamed("_bucket", "_dx_bucket")
+    apart = _micros(F.col("Report_Date_Time")) - _micros(F.col("Date"))
+    near = (F.col("EMPI") == F.col("_dx_empi")) & (F.col("_bucket") == F.col("_dx_bucket")) & apart.between(-width, width)
+    joined = _with_day_diff(notes_b.join(dx_b, near, how).drop("_dx_empi", "_bucket", "_dx_bucket"))
     if one_per_note:
         joined = nearest_per_note(joined)
     return joined

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from cohortlens.functions.prompts import get_prompt
 from cohortlens.functions.rules import LABEL_RULES, EBL_GROUPS
 from cohortlens.functions.regex import java_regex
 from cohortlens.plans import oracle, oracle_answers
+from cohortlens.session import ensure_checkpoint_dir
 from cohortlens.sources import fixtures as fx
+from cohortlens.sources import readers
 from cohortlens.sources.stage import stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +68,11 @@ def q_cohort_linked(spark, sf_dir):
     return pairs.filter((F.col("Inpatient_Outpatient") == "Inpatient") & (F.col("abs_diff_days") == 0))
 
 
+def q_dx_left_join(spark, sf_dir):
+    """Every cohort note with its diagnoses within 14 days, or once without any."""
+    return proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition=None, how="left")
+
+
 def q_rules_binary_long(spark, sf_dir):
     """Every binary rule on every cohort note, long form."""
     return rules.rule_predictions(_cohort(spark, sf_dir))
@@ -189,6 +197,47 @@ def q_subtypes_with_gaps(spark, sf_dir):
     return phenotype.subtypes(_with_gaps(_concept_preds(spark, sf_dir)))
 
 
+def q_subtypes_by_run(spark, sf_dir):
+    """T1 + J14: subtypes of the annotated notes, and of the notes with a PPH prediction, whose c-section predictions
+    come from a run over all notes."""
+    _, annotated, _ = _prep(spark, sf_dir)
+    cohort_notes = _cohort(spark, sf_dir)
+    pph = cohort_notes.filter(F.col("Report_Text").rlike(java_regex(LABEL_RULES["PPH"], ignore_case=True)))
+    others = [c for c in CONCEPT_RUNS if c != "csection"]
+    own = phenotype.concept_predictions(pph, others)
+    csection = phenotype.restrict_to_keys(phenotype.concept_predictions(cohort_notes, ["csection"]),
+                                          own.filter("concept = 'manual_extraction'"))
+    preds = phenotype.predictions_of_runs({"subtype_annotated": phenotype.concept_predictions(annotated),
+                                           "model_predicted_PPH": own.unionByName(csection)})
+    return phenotype.subtypes(preds, key=[*labels.LABEL_KEY, "run_type"])
+
+
+def _scratch(spark, name):
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_io_notes_roundtrip(spark, sf_dir):
+    """IO1-IO4, IO6, F3, F17: all notes written as multi-line exports and read again."""
+    path = _scratch(spark, "exports")
+    readers.write_note_exports(fx.notes(spark, sf_dir), path)
+    return readers.read_notes(spark, path, name_filter="*.txt")
+
+
+def q_io_csv_roundtrip(spark, sf_dir):
+    """IO9, IO10: the cohort written as CSV and read again."""
+    path, notes = _scratch(spark, "csv"), _cohort(spark, sf_dir)
+    readers.write_table(notes, path, fmt="csv")
+    return readers.read_note_csv(spark, path, notes.schema)
+
+
+def q_io_split_export(spark, sf_dir):
+    """IO16: the split of each label in a folder of its own, all read again."""
+    path = _scratch(spark, "splits")
+    readers.write_splits(_split_binary(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def q_normalize_predicates(spark, sf_dir):
     """K14 on every cohort note."""
     t = F.col("Report_Text")
@@ -422,6 +471,7 @@ QUERIES: dict[str, Query] = {
     "dx_nearest": q_dx_nearest,
     "dx_nearest_window": q_dx_nearest_window,
     "cohort_linked": q_cohort_linked,
+    "dx_left_join": q_dx_left_join,
     "rules_binary_long": q_rules_binary_long,
     "annotations_flat": q_annotations_flat,
     "annotations_delivery": q_annotations_delivery,
@@ -453,6 +503,10 @@ QUERIES: dict[str, Query] = {
     "metrics_zero_shot_binary": q_metrics_zero_shot_binary,
     "composite_with_gaps": q_composite_with_gaps,
     "subtypes_with_gaps": q_subtypes_with_gaps,
+    "subtypes_by_run": q_subtypes_by_run,
+    "io_notes_roundtrip": q_io_notes_roundtrip,
+    "io_csv_roundtrip": q_io_csv_roundtrip,
+    "io_split_export": q_io_split_export,
     "normalize_predicates": q_normalize_predicates,
     "normalize_blood_loss": q_normalize_blood_loss,
     **{name: _q_normalize(labels_) for name, labels_ in NORMALIZED.items()},
@@ -492,11 +546,21 @@ ORACLE: dict[str, Callable[[], str]] = {
     "split_ie": oracle.split_ie,
     "chunk_notes": lambda: oracle.chunk_notes(chunk_budget()),
     "predict_concepts": oracle.predict_concepts,
+    "annotations_processed": oracle.annotations_processed,
+    "ebl_regex_predictions": oracle.ebl_regex_predictions,
+    "metrics_regex_ie": oracle.metrics_regex_ie,
+    "zero_shot_extraction": lambda: oracle.zero_shot_extraction(get_prompt(*EBL_RUN["ebl"])[0]),
+    "metrics_zero_shot_ie": lambda: oracle.metrics_zero_shot_ie(get_prompt(*EBL_RUN["ebl"])[0]),
     "spans_plain": oracle.spans_plain,
     "metrics_composites": oracle.metrics_composites,
     "metrics_zero_shot_binary": oracle.metrics_zero_shot_binary,
     "composite_with_gaps": lambda: oracle.composite_with_gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE),
     "subtypes_with_gaps": lambda: oracle.subtypes(oracle.gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE)),
+    "dx_left_join": oracle.dx_left_join,
+    "subtypes_by_run": oracle.subtypes_by_run,
+    "io_notes_roundtrip": oracle.io_notes_roundtrip,
+    "io_csv_roundtrip": oracle.cohort_delivery,
+    "io_split_export": oracle.io_split_export,
     "normalize_predicates": oracle.normalize_predicates,
     "normalize_blood_loss": oracle_answers.blood_loss,
     **{name: (lambda labels_=labels_: oracle_answers.cleaned(labels_)) for name, labels_ in NORMALIZED.items()},

@@ -177,6 +177,31 @@ def dx_proximity(definition: str) -> str:
                          select=f"SELECT * FROM pairs_14 WHERE {_def_cond(definition)}")
 
 
+def dx_left_join() -> str:
+    from cohortlens.operators import proximity as p
+    diff = "(epoch_us(c.Report_Date_Time) - epoch_us(f.Date)) / 86400000000.0"
+    return with_fixtures(cohort_ctes(), _dx_ctes(), select=f"""
+SELECT c.*, f.Date, f.Name, f.Code_Type, f.Code, f.Flag, f.Inpatient_Outpatient, f.Encounter_number, f.family,
+       {diff} AS diff_days, abs({diff}) AS abs_diff_days
+FROM cohort c LEFT JOIN fam f ON c.EMPI = f.EMPI AND {diff} BETWEEN -{p.WINDOW_DAYS} AND {p.WINDOW_DAYS}""")
+
+
+def io_notes_roundtrip() -> str:
+    """Every field as text (null: empty), each line of the text closed and the next one set off by a blank. A line of ten
+    fields opens a note, so a text ends before such a line; what it opens has no valid time."""
+    from cohortlens.operators.cohort import DATE_CUTOFF
+    fields = ", ".join(f"coalesce(CAST({f} AS VARCHAR), '') AS {f}" for f in fx.NOTE_FIELDS
+                       if f not in ("Report_Date_Time", "Report_Text"))
+    return with_fixtures(select=f"""
+SELECT * REPLACE (array_to_string(Report_Text, chr(10) || ' ') || chr(10) AS Report_Text) FROM (
+  SELECT {fields}, Report_Date_Time,
+    lines[1:coalesce(nullif(list_position(list_transform(lines, lambda x: len(string_split(x, '|')) = 10), true), 0),
+                     len(lines) + 1) - 1] AS Report_Text
+  FROM (SELECT *, string_split(Report_Text, chr(10)) AS lines FROM notes_v)
+  WHERE lines IS NOT NULL AND Report_Date_Time < TIMESTAMP '{DATE_CUTOFF}')
+WHERE len(Report_Text) > 0""")
+
+
 def dx_nearest() -> str:
     return with_fixtures(cohort_ctes(), _dx_ctes(), select="""
 SELECT * FROM pairs_all
@@ -492,13 +517,20 @@ def concept_predictions() -> str:
     return with_fixtures(cohort_ctes(), concept_ctes(), select="SELECT * FROM cpreds")
 
 
-def subtypes(where: str = "") -> str:
+def subtypes_by_run() -> str:
+    pph = f"""pph AS (SELECT * FROM (SELECT *, {positional_split_cols()} FROM cohort) WHERE {duck_rule('PPH')})"""
+    runs = {"subtype_annotated": subtypes(notes="annotated", before=[annotation_ctes()]),
+            "model_predicted_PPH": subtypes(notes="pph", before=[pph])}
+    return "\nUNION ALL\n".join(f"SELECT *, '{name}' AS run_type FROM ({sql})" for name, sql in runs.items())
+
+
+def subtypes(where: str = "", notes: str = "cohort", before: list[str] | None = None) -> str:
     from cohortlens.functions.concepts import SUBTYPE_INPUTS
     cols = ", ".join(f"max(CASE WHEN concept = {_sql_str(c)} THEN prediction END) AS predictions_{s}"
                      for s, c in SUBTYPE_INPUTS)
     names = ", ".join(f"predictions_{s}" for s, _ in SUBTYPE_INPUTS)
     nz = lambda s: f"coalesce(predictions_{s}, 0)"
-    return with_fixtures(cohort_ctes(), concept_ctes(where=where), f"""
+    return with_fixtures(cohort_ctes(), *(before or []), concept_ctes(notes, where), f"""
 sub_src AS (
   SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, concept, prediction FROM cpreds
   UNION ALL SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, 'accreta_composite', predictions
@@ -576,6 +608,10 @@ def split_binary() -> str:
                          select="SELECT * FROM split")
 
 
+def io_split_export() -> str:
+    return f"SELECT * REPLACE (replace(label, '/', '_') AS label) FROM ({split_binary()})"
+
+
 def split_label_counts() -> str:
     return with_fixtures(cohort_ctes(), annotation_ctes(), _split_ctes("labels_long", "y", False), select="""
 SELECT label, split, count(*) AS n_notes, CAST(sum(y) AS BIGINT) AS n_positive FROM split GROUP BY label, split""")
@@ -652,6 +688,132 @@ FROM ans GROUP BY Report_Number, EMPI, Report_Date_Time, MRN_Type, run, label, p
 
 # --- span pre-annotation (P-single rules without lookaround) ----------------------------------------------
 
+# --- blood-loss extraction (R28-R30, K1, K3, A9, A20) ----------------------------------------------------
+# RE2 has no lookahead. Where the rule asks that no digit follows, the next character is matched in a group of its own,
+# which is taken off what was found.
+
+_EBL_WORDS = "one|two|three|four|five|six|seven|eight|nine"
+
+
+def _ebl_rule() -> tuple[str, int]:
+    """The blood-loss rule for RE2 and the number of the group that holds the character too much."""
+    from cohortlens.functions.rules import LABEL_RULES
+    rx = LABEL_RULES["estimated blood loss"]
+    rx = rx.replace("(?![0-9]) (?:", " (?:")  # a blank follows anyway
+    rx = rx.replace("(?![0-9]) ?(?:liters| l )?)", "(?: (?:liters| l )?|liters| l |([^0-9])|$))")
+    if "(?!" in rx:
+        raise ValueError("the rule has changed")
+    return rx, 5
+
+
+def _groups(text: str, rx: str, n: int) -> str:
+    """What each match of ``rx`` holds in its one group."""
+    cols = [f"regexp_extract_all({text}, {_sql_str('(?i)' + rx)}, {g})" for g in range(1, n + 1)]
+    return f"list_transform(list_zip({', '.join(cols)}), lambda z: concat({', '.join(f'z[{g}]' for g in range(1, n + 1))}))"
+
+
+def _blood_loss_sql(text: str, annotation: bool) -> str:
+    """List of the millilitres, as text, that a blood-loss text holds."""
+    ell = r"(?:l(?:$|[^a-zA-Z])|liters?)"
+    number = (r"([\d./-]+)[^\n]ebl|ebl[^\n]([\d./-]+)|(?:([\d./-]+) ?" + ell + r")|(?:(\d,?\d\d\d?)+? ?(?:ml|cc|c))"
+              r"|(^[<>]?[\d.,/-]+$)|(^(?:" + _EBL_WORDS + r")$)|(?:^|[^a-zA-Z])(" + _EBL_WORDS + ") " + ell)
+    words = " ".join(f"WHEN '{w}' THEN '{i}000'" for i, w in enumerate(_EBL_WORDS.split("|"), 1))
+    count = lambda c: f"len(n) - len(replace(n, '{c}', ''))"
+    upper = (f"CASE WHEN {count('-')} = 1 AND {count('/')} = 0 THEN split_part(n, '-', 2) "
+             "ELSE replace(n, '-', ' ') END")
+    part = lambda g: f"TRY_CAST(regexp_extract(v, '^(?:([0-9.]+) )?([0-9.]+)/([0-9.]+)$', {g}) AS DOUBLE)"
+    frac = f"coalesce({part(1)}, 0) + {part(2)} / nullif({part(3)}, 0)"
+    value = f"CASE WHEN contains(v, '/') THEN {frac} ELSE TRY_CAST(replace(v, ',', '') AS DOUBLE) END"
+    nums = f"list_transform({_groups(text, number, 7)}, lambda n: {upper})"
+    nums = f"list_transform({nums}, lambda w: CASE w {words} ELSE w END)"
+    nums = f"list_filter({nums}, lambda w: NOT starts_with(w, '0'))"
+    nums = f"list_transform({nums}, lambda w: replace(replace(w, '>', ''), '<', ''))"
+    nums = f"list_filter(list_transform({nums}, lambda v: {value}), lambda x: x IS NOT NULL AND x <> 0)"
+    nums = f"list_transform({nums}, lambda x: CASE WHEN x < 10 THEN x * 1000 ELSE x END)"
+    if not annotation:
+        nums = f"list_filter({nums}, lambda x: NOT (x >= 10 AND x < 100))"
+    return f"list_transform({nums}, lambda x: CAST(x AS VARCHAR))"
+
+
+def annotations_processed() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), select=f"""
+SELECT *, CASE WHEN label_type = 'estimated blood loss'
+               THEN array_to_string({_blood_loss_sql('span', True)}, '|') ELSE span END AS clean_span FROM annot_deliv""")
+
+
+def _ebl_gold_ctes() -> str:
+    """ie (gold spans of each annotated note) as in ``labels_ie``, with the cleaned ones."""
+    ctes = labels_ie().split("grp AS (", 1)[1].rsplit("\nSELECT Report_Number", 1)[0]
+    clean = f"flatten(list_transform(spans, lambda s: {_blood_loss_sql('s', True)}))"
+    return f"grp AS ({ctes},\nebl_gold AS (SELECT *, {clean} AS clean_spans FROM ie)"
+
+
+def _ebl_eval_ctes() -> str:
+    rx, _ = _ebl_rule()
+    rx = rx.replace("([^0-9])", "[^0-9]")
+    return f"""
+{_ebl_gold_ctes()},
+ebl_found AS (SELECT Report_Number, EMPI, Report_Date_Time, list_filter({_groups('Report_Text', rx, 4)}, lambda x: x <> '')
+                AS predictions FROM annotated),
+ebl_ev AS (
+  SELECT g.*, f.predictions,
+    flatten(list_transform(f.predictions, lambda s: {_blood_loss_sql('s', False)})) AS clean_predictions
+  FROM ebl_gold g LEFT JOIN ebl_found f USING (Report_Number, EMPI, Report_Date_Time))"""
+
+
+def ebl_regex_predictions() -> str:
+    lists = ", ".join(f"array_to_string({c}, ' || ') AS {c}" for c in
+                      ("spans", "clean_spans", "predictions", "clean_predictions"))
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _ebl_eval_ctes(),
+                         select=f"SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, {lists} FROM ebl_ev")
+
+
+def _ie_metrics(src: str, gold: str, pred: str) -> str:
+    """The common values of both lists (as sets) against the lengths of the lists."""
+    return f"""
+SELECT sum(common) / nullif(sum(n_gold), 0) AS recall_labels, sum(common) / nullif(sum(n_pred), 0) AS precision_labels,
+       avg(CAST(common = n_gold AS INTEGER)) AS recall_notes, avg(CAST(same AS INTEGER)) AS exact_match_notes,
+       count(*) FILTER (n_gold > 0) AS total_notes_with_true_annotation
+FROM (SELECT len(list_intersect(list_distinct({gold}), {pred})) AS common, len({gold}) AS n_gold, len({pred}) AS n_pred,
+             list_sort(list_distinct({gold})) = list_sort(list_distinct({pred})) AS same FROM {src})"""
+
+
+def metrics_regex_ie() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _ebl_eval_ctes(),
+                         select=_ie_metrics("ebl_ev", "clean_spans", "clean_predictions"))
+
+
+def _zero_shot_ctes(prompt: str) -> str:
+    rx, extra = _ebl_rule()
+    m = lambda g: f"regexp_extract(chunk_text, {_sql_str('(?i)' + rx)}, {g})"
+    answer = (f"CASE WHEN regexp_matches(chunk_text, {_sql_str('(?i)' + rx)}) "
+              f"THEN left({m(0)}, len({m(0)}) - len({m(extra)})) ELSE 'unanswerable' END")
+    return f"""
+{_ebl_gold_ctes()},
+zs_chunks AS ({_chunk_sql("annotated", str(512 - len(prompt.split())))}),
+zs AS (SELECT Report_Number, EMPI, Report_Date_Time, list({answer} ORDER BY chunk_idx) AS raw_preds
+       FROM zs_chunks GROUP BY Report_Number, EMPI, Report_Date_Time),
+zs_found AS (SELECT *, list_sort(list_distinct(list_filter(raw_preds, lambda x: x <> 'unanswerable'))) AS extracted FROM zs),
+zs_ev AS (
+  SELECT g.Report_Number, g.EMPI, g.Report_Date_Time, g.MRN_Type, list_sort(list_distinct(g.clean_spans)) AS spans,
+    CASE WHEN f.raw_preds IS NOT NULL THEN {_sql_str(prompt)} END AS prompt, f.raw_preds, f.extracted,
+    coalesce(list_sort(list_distinct(flatten(list_transform(f.extracted, lambda s: {_blood_loss_sql('s', False)})))), [])
+      AS clean_predictions
+  FROM ebl_gold g LEFT JOIN zs_found f USING (Report_Number, EMPI, Report_Date_Time))"""
+
+
+def zero_shot_extraction(prompt: str) -> str:
+    lists = ", ".join(f"array_to_string({c}, ' || ') AS {c}" for c in
+                      ("spans", "raw_preds", "extracted", "clean_predictions"))
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _zero_shot_ctes(prompt),
+                         select=f"SELECT Report_Number, EMPI, Report_Date_Time, MRN_Type, prompt, {lists} FROM zs_ev")
+
+
+def metrics_zero_shot_ie(prompt: str) -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), _zero_shot_ctes(prompt),
+                         select=_ie_metrics("zs_ev", "spans", "clean_predictions"))
+
+
 def spans_plain() -> str:
     from cohortlens.operators.spans import _cui, single_rules
     parts = []

@@ -9,6 +9,7 @@ are ever gathered together.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +95,12 @@ def read_pipe_table(spark: SparkSession, path: str, name_filter: str, schema: st
     return r.csv(path)
 
 
+def read_note_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """IO9: a note table written by :func:`write_table` as CSV, line breaks and quotes inside fields kept."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').csv(path))
+
+
 def read_diagnoses(spark: SparkSession, path: str, name_filter: str = "*Dia.txt*", cutoff: str = "2015-05-01") -> DataFrame:
     """IO5 + F1/F2/F17: diagnoses with Code kept as text, parsed Date, ``Date < cutoff``."""
     d = read_pipe_table(spark, path, name_filter)
@@ -129,12 +136,43 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        w.option("header", True).csv(path)
+    if fmt == "csv":  # fields with quotes and line breaks, and blanks at their ends, come back as they were
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 
 
+def safe_label(label: str | F.Column) -> F.Column:
+    """IO16: a label as it may stand in a path ('/' becomes '_')."""
+    c = F.col(label) if isinstance(label, str) else label
+    return F.replace(c, F.lit("/"), F.lit("_"))
+
+
+def write_splits(split: DataFrame, path: str, label: str = "label") -> None:
+    """IO16: one folder for each label, named by :func:`safe_label`."""
+    write_table(split.withColumn(label, safe_label(label)), path, partition_by=[label])
+
+
+def write_note_exports(notes: DataFrame, path: str) -> None:
+    """Notes as multi-line export files (the layout that :func:`read_note_exports` reads): a column line at the head of
+    each file, then for each note a line of fields and the lines of its text. One file for each partition."""
+    columns = "|".join(NOTE_FIELDS)
+
+    def with_head(batches):
+        head = True
+        for b in batches:
+            lines = b["value"].tolist()
+            yield pd.DataFrame({"value": [columns, *lines] if head else lines})
+            head = False
+
+    fields = [F.coalesce(F.date_format("Report_Date_Time", "M/d/yyyy h:mm:ss a") if f == "Report_Date_Time"
+                         else F.col(f).cast("string"), F.lit("")) for f in NOTE_FIELDS[:-1]]
+    head = F.concat(F.concat_ws("|", *fields), F.lit("|"))
+    value = F.when(F.col("Report_Text").isNull(), head).otherwise(F.concat(head, F.lit("\n"), F.col("Report_Text")))
+    notes.select(value.alias("value")).mapInPandas(with_head, "value string").write.mode("overwrite").text(path)
+
+
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
     """IO14: metric records as JSON lines (one small file)."""
     metrics.coalesce(1).write.mode("overwrite").json(path)

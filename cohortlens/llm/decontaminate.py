@@ -28,6 +28,8 @@ from cohortlens.llm.words import as_bytes, cut, groups
 SHARD_WORDS = 1_000_000
 #: Words of the benchmark that are searched at a time.
 BLOCK_WORDS = 4_000_000
+#: Blocks that may be shipped to the tasks; a larger benchmark is to be given in parts.
+MOST_BLOCKS = 8
 
 
 @dataclass(frozen=True)
@@ -45,11 +47,14 @@ def load_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", w
     """The benchmark in blocks of at most BLOCK_WORDS words (a longer item is a block of its own).
 
     A window begins at each of the first n - window + 1 words of an item; an item of fewer words is one window. Items
-    without a word (or null) have none. Rows with the same id count as one item.
+    without a word (or null) have none. Rows with the same id count as one item. A benchmark that could need more than
+    MOST_BLOCKS blocks is an error, as it would not fit the driver and the tasks.
     """
     size = F.coalesce(F.length(text), F.lit(0))
     total = benchmark.select(F.sum(size).alias("n")).first()["n"] or 0
     blocks = 1 + total // (2 * BLOCK_WORDS)  # a word and its gap are two characters at least
+    if blocks > MOST_BLOCKS:
+        raise ValueError(f"a benchmark of {total} characters: give it in parts of {2 * MOST_BLOCKS * BLOCK_WORDS} at most")
     out = []
     for i in range(blocks):
         part = benchmark.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -203,7 +208,8 @@ def hits(texts: list[bytes], blocks: list[Items]) -> tuple[np.ndarray, list[list
             np.add.at(cover, found.place, 1)
             np.add.at(cover, found.place + block.window[found.at], -1)
             for d, i in set(zip(doc[found.place].tolist(), block.item[found.at].tolist(), strict=True)):
-                items[d].add(block.ids[i])
+                if block.ids[i] is not None:
+                    items[d].add(block.ids[i])
         inside = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -224,7 +230,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, key
     """Longest verbatim matches of at least a window, with their locations.
 
     A row for each maximal run of matching words: key, item_id (string), item_start, doc_start, length (words from 0).
-    Documents without such a match have no row.
+    Documents without such a match have no row. The matches of an item without an id have a null item_id.
     """
     blocks = load_items(benchmark, item_key, item_text, window)
 
@@ -243,9 +249,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, key
                     for i, n in zip(first, np.diff(np.append(first, len(p))), strict=True):
                         item = block.item[at[i]]
                         base = at[i] - np.searchsorted(block.item, item)
-                        out.add((int(doc[p[i]]), str(block.ids[item]), int(base), int(place[p[i]]),
+                        name = block.ids[item]
+                        out.add((int(doc[p[i]]), None if name is None else str(name), int(base), int(place[p[i]]),
                                  int(n) - 1 + int(block.window[at[i]])))
-            rows = sorted(out)
+            rows = sorted(out, key=lambda r: (r[0], r[1] or "", r[2:]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([keys[r[0]] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()),
                  *(pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3, 4))],
@@ -263,7 +270,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     A word is hit if it lies in any occurrence of a window of any item. Null and empty texts have no words. Repeated
     rows are judged alike and all stay. An empty benchmark hits nothing; an empty table gives no rows. Extra columns
     of any name pass through inside ``row``. items_sha256 is that of the occurring item ids, sorted as strings,
-    comma-joined (of the empty string if none occurs).
+    comma-joined (of the empty string if none occurs). The windows of an item without an id hit words, but the item is
+    not in n_items and items_sha256.
     """
     blocks = load_items(benchmark, item_key, item_text, window)
 

@@ -279,7 +279,7 @@ def brute_hits(text, items, window=10):
         for i in range(len(w) - n + 1) if wins else ():
             if tuple(w[i:i + n]) in wins:
                 hit.update(range(i, i + n))
-                found.add(str(item))
+                found.update([str(item)] if item is not None else [])  # an item without an id is not listed
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
@@ -320,10 +320,19 @@ def test_longest_matches(spark):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {tuple(r) for r in decontaminate.longest_matches(docs, bench).collect()}
     assert got == {(1, "7", 5, 1, 25), (1, "7", 0, 27, 12)}
+    unnamed = bench.selectExpr("CAST(NULL AS BIGINT) AS item_id", "text")
+    assert {r["item_id"] for r in decontaminate.longest_matches(docs, bench.union(unnamed)).collect()} == {"7", None}
     _, longest = decontaminate.search(np.append(words.word_hashes(item[5:30]), np.uint64(0)), decontaminate.load_items(bench)[0])
     assert longest.tolist() == [0] * 5 + list(range(25, 0, -1)) + [0] * 10
 
 
+def test_a_benchmark_beyond_the_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    with pytest.raises(ValueError, match="in parts"):
+        decontaminate.load_items(bench)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(0)
     rank = np.append(rng.integers(1, 3, 400), 0)

@@ -16,8 +16,6 @@ from cohortlens.functions.rules import LABEL_CATEGORIES
 REJECTED = ["rejected", "undecided"]
 NON_DELIVERY_LABEL = "not a delivery note"
 PUNCT_EDGES = r"[,:.]$|^[,:.]"
-ANNOTATION_COLUMNS = ["EMPI", "Report_Number", "Report_Date_Time", "label_type", "label_category",
-                      "start", "end", "span", "annotator"]
 
 
 def annotation_file_name(annotator, sample: str, empi, report_number, ts):

@@ -33,7 +33,6 @@ ZHEUTLIN_CODES = ['666.32', '666.24', '666.22', '666.20', '666.14', '666.12', '6
 BUTWICK_PREFIXES = ["666.0", "666.1", "666.2"]
 WINDOW_DAYS = 14
 
-DX_COLUMNS = ["Date", "Name", "Code_Type", "Code", "Flag", "Inpatient_Outpatient", "Encounter_number"]
 DAY_MICROS = 86_400_000_000
 
 

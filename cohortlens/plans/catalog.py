@@ -63,9 +63,10 @@ def q_dx_nearest_window(spark, sf_dir):
 
 
 def q_cohort_linked(spark, sf_dir):
-    """Families -> ±14 d join -> zheutlin codes -> inpatient -> same instant."""
+    """Families -> ±14 d join -> zheutlin codes -> inpatient -> same instant, in seeded order."""
     pairs = proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition="zheutlin")
-    return pairs.filter((F.col("Inpatient_Outpatient") == "Inpatient") & (F.col("abs_diff_days") == 0))
+    linked = pairs.filter((F.col("Inpatient_Outpatient") == "Inpatient") & (F.col("abs_diff_days") == 0))
+    return sampling.seeded_shuffle(linked, key=[*sampling.NOTE_KEY, "Date", "Code", "Encounter_number"])
 
 
 def q_dx_left_join(spark, sf_dir):
@@ -121,6 +122,28 @@ def q_annotator_stats(spark, sf_dir):
     return annotations.annotator_note_counts(_annotations_flat(spark, sf_dir))
 
 
+def q_annotations_empty(spark, sf_dir):
+    """annotator files that hold nothing once rejected and undecided annotations are gone."""
+    return annotations.empty_annotation_files(_annotation_files(spark, sf_dir))
+
+
+def q_non_delivery_notes(spark, sf_dir):
+    """IO17: the notes that annotators marked as not about a delivery."""
+    return annotations.non_delivery_notes(_annotations_flat(spark, sf_dir))
+
+
+def q_label_delivery_note(spark, sf_dir):
+    """L4: the delivery_note label of every exported note."""
+    marked = fx.notes(spark, sf_dir).withColumn(
+        "Is_Delivery_Note", F.coalesce(cohort.delivery_related(), F.lit(False)).cast("int"))
+    return labels.delivery_note_label(marked).select(*labels.LABEL_KEY, "delivery_note")
+
+
+def q_label_value_counts(spark, sf_dir):
+    """A2 on labels: notes for each label and value."""
+    return labels.label_value_counts(_labels_binary(spark, sf_dir))
+
+
 def q_labels_binary(spark, sf_dir):
     """L1 + L3 (J4, J6, F20, F21) for all binary labels."""
     ann, notes, _ = _prep(spark, sf_dir)
@@ -444,8 +467,8 @@ def _zero_shot_ebl(spark, sf_dir):
     model = predict.ExtractRuleModel(rules={"ebl": LABEL_RULES["estimated blood loss"]})
     preds = predict.zero_shot(notes, EBL_RUN, model)
     gold = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
-    gold = gold.withColumn("spans", F.array_sort(F.array_distinct(
-        normalize.clean_predictions("estimated blood loss", F.col("spans"), clean_type="annotation"))))
+    gold = gold.withColumn("spans", metrics.distinct_sorted(
+        normalize.clean_predictions("estimated blood loss", F.col("spans"), clean_type="annotation")))
     return gold.join(preds.drop("MRN_Type"), ["Report_Number", "EMPI", "Report_Date_Time"], "left") \
         .withColumn("clean_predictions", F.coalesce("clean_predictions", F.array().cast("array<string>")))
 
@@ -477,6 +500,10 @@ QUERIES: dict[str, Query] = {
     "annotations_delivery": q_annotations_delivery,
     "annotation_label_counts": q_annotation_label_counts,
     "annotator_stats": q_annotator_stats,
+    "annotations_empty": q_annotations_empty,
+    "non_delivery_notes": q_non_delivery_notes,
+    "label_delivery_note": q_label_delivery_note,
+    "label_value_counts": q_label_value_counts,
     "labels_binary": q_labels_binary,
     "labels_ie": q_labels_ie,
     "metrics_regex_binary": q_metrics_regex_binary,
@@ -530,6 +557,10 @@ ORACLE: dict[str, Callable[[], str]] = {
     "annotations_delivery": oracle.annotations_delivery,
     "annotation_label_counts": oracle.annotation_label_counts,
     "annotator_stats": oracle.annotator_stats,
+    "annotations_empty": oracle.annotations_empty,
+    "non_delivery_notes": oracle.non_delivery_notes,
+    "label_delivery_note": oracle.label_delivery_note,
+    "label_value_counts": oracle.label_value_counts,
     "labels_binary": oracle.labels_binary,
     "labels_ie": oracle.labels_ie,
     "metrics_regex_binary": oracle.metrics_regex_binary,

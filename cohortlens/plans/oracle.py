@@ -364,6 +364,30 @@ SELECT annotator, count(DISTINCT Report_Number) AS n_report_numbers, count(DISTI
 FROM annot_flat GROUP BY annotator""")
 
 
+def annotations_empty() -> str:
+    """A file is empty if each of its records is rejected or undecided; its name ends in .json."""
+    return with_fixtures(select="""
+SELECT annotator || '_notes_empi_' || CAST(EMPI AS VARCHAR) || '_note_' || Report_Number || '_time_'
+       || strftime(Report_Date_Time, '%Y-%m-%d %H:%M:%S') || '.json' AS file_name
+FROM annot_raw GROUP BY ALL HAVING bool_and(decision IN ('rejected', 'undecided'))""")
+
+
+def non_delivery_notes() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(), select="""
+SELECT EMPI, Report_Number FROM annot_flat WHERE label_type = 'not a delivery note'""")
+
+
+def label_delivery_note() -> str:
+    from cohortlens.operators.labels import LABEL_KEY
+    return with_fixtures(cohort_ctes(), select=f"""
+SELECT {', '.join(LABEL_KEY)}, CAST(p4 AS INTEGER) AS delivery_note FROM g1_flags""")
+
+
+def label_value_counts() -> str:
+    return with_fixtures(cohort_ctes(), annotation_ctes(),
+                         select="SELECT label, y, count(*) AS n FROM labels_long GROUP BY label, y")
+
+
 def labels_binary() -> str:
     return with_fixtures(cohort_ctes(), annotation_ctes(), select="SELECT * FROM labels_long")
 

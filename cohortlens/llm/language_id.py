@@ -106,10 +106,12 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
     languages, which predicts ``und``.
     """
     x = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = x.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    # copies do not count: the sample is of distinct texts, so its limit follows from their number
+    counts = x.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count() \
+        .limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    # hashes below a language's limit hold about SPARE times its sample, whatever the number of its texts
+    # hashes below a language's limit hold about SPARE times its sample, whatever the number of its distinct texts
     limits = [(r["lang"], min((1 << 63) - 1, -(1 << 63) + SPARE * per_language * (1 << 64) // r["count"])) for r in counts]
     table = x.sparkSession.createDataFrame(limits, "lang string, most bigint")
     slim = x.select("lang", F.xxhash64("text").alias("h")).join(F.broadcast(table), "lang") \

@@ -107,6 +107,21 @@ def test_language_id_rejects_other_scripts_and_odd_rows(spark, odd_docs, no_docs
     assert language_id.predict_texts(empty, ["a text"])[0] == ["und"]
 
 
+def test_language_sample_does_not_depend_on_copies(spark):
+    random.seed(5)
+
+    def texts(letters, n):
+        return [" ".join("".join(random.choices(letters, k=5)) for _ in range(30)) for _ in range(n)]
+
+    few, others = texts("abcdef", 30), texts("stuvwxyz", 40)
+    rows = [(t, "few") for t in few] + [(t, "other") for t in others]
+    plain = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    copied = language_id.fit(spark.createDataFrame(rows + [(few[0], "few")] * 20_000, "text string, lang string"))
+    assert copied.langs == plain.langs == ["few", "other"]
+    assert np.array_equal(copied.centroids, plain.centroids) and np.array_equal(copied.reach, plain.reach)
+    assert language_id.predict_texts(copied, few)[0] == ["few"] * 30
+
+
 def test_long_text_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Über den Wolken " * 500
     whole = language_id.gram_counts(text)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.layout import bounded, neighbour_ranges
+from cohortlens.llm.layout import MOST_COPIES, bounded, counted_copies, neighbour_ranges
 from cohortlens.llm.words import cut, groups, mix
 
 SEEDS = 16
@@ -30,6 +30,8 @@ LEVELS = 12
 LEAST_TERMS = 4
 #: Largest lexicon that is shipped to the tasks (8 bytes a term).
 LEXICON_BOUND = 4_000_000
+#: Characters of a text that order equal keys.
+LEAD = 64
 _SEEDS = mix(np.arange(1, SEEDS + 1, dtype=np.uint64))[:, None]
 #: A sample keeps the terms whose seeded draw is below its threshold.
 _THRESHOLDS = [np.uint64(1 << (64 - level)) for level in range(1, LEVELS + 1)]
@@ -159,41 +161,47 @@ def fingerprint_edits(docs: DataFrame, lexicon: np.ndarray, ranges: int, key: st
                       text: str = "text") -> DataFrame:
     """Fingerprint of each text, of its edited text, and their likeness, and that to the next document.
 
-    The next document is the next by ascending key (null first; equal keys in the order of their texts' bytes), and
-    the first one behind the last. Null is the empty text. Texts move once, compressed. Repeated rows all stay; an
-    empty table gives no rows; other columns are not read. Returns key, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    The next document is the next by ascending key (null first; equal keys by the first LEAD characters of their texts,
+    then by a hash of the whole text), and the first one behind the last. Null is the empty text. Texts move once,
+    compressed. Repeated rows all stay: of n equal rows, n - 1 are followed by an equal one, and a task sends those it
+    holds as one row for each MOST_COPIES, dealt apart from the order. An empty table gives no rows; other columns are
+    not read. Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [zlib.compress((t or "").encode(), 1) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["key", "data"])
-
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
+        "key", F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("h"), "text")
     kind = src.schema["key"].dataType.simpleString()
-    # the layout only moves what pack() made; its keys are read from the table itself, without the texts
-    dealt = neighbour_ranges(src, ["key"], ranges, lambda d: bounded(d).mapInArrow(pack, f"key {kind}, data binary"))
+
+    def pack(d: DataFrame) -> DataFrame:
+        return bounded(d).mapInArrow(lambda batches: counted_copies(batches, MOST_COPIES),
+                                     f"key {kind}, lead string, h bigint, data binary, copies bigint, spread int")
+
+    # a boundary is one text, and equal keys spread over ranges by their texts
+    dealt = neighbour_ranges(src, ["key", "lead", "h"], ranges, pack, "spread")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(range, role, key, text) with equal keys in the order of their texts."""
-        held: list[tuple] = []
         for b in batches:
-            for k, data, r, role in zip(*(b.column(n).to_pylist() for n in ("key", "data", "_range", "_role")),
-                                        strict=True):
-                now = (r, (role > 0) - (role < 0), k, data, role)
-                if held and held[0][:3] != now[:3]:
-                    yield from sorted(((*h[:3], zlib.decompress(h[3]), h[4]) for h in held), key=lambda h: h[3])
-                    held = []
-                held.append(now)
-        yield from sorted(((*h[:3], zlib.decompress(h[3]), h[4]) for h in held), key=lambda h: h[3])
+            columns = (b.column(n).to_pylist() for n in ("key", "data", "_range", "_role", "copies"))
+            for k, data, r, role, copies in zip(*columns, strict=True):
+                yield r, role, k, zlib.decompress(data), copies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
         before = None  # (range, key, text, fingerprint), waiting for its next document
-        for r, _, k, data, role in rows(batches):
+        for r, role, k, data, copies in rows(batches):
             if role < 0:
                 continue
+            if role == 3:  # rows that are followed by an equal one
+                t = data.decode()
+                edited = edited_text(t, t).encode()
+                fp, edited_fp = (signature(x, lexicon) for x in _terms([data, edited]))
+                out += [(k, len(t), hashlib.sha256(edited).hexdigest(), as_text(fp), as_text(edited_fp),
+                         likeness(fp, edited_fp), 1.0)] * copies
+                size += copies
+                if size >= 2000:
+                    yield _out(out)
+                    out, size = [], 0
+                continue
             waits = before is not None and before[0] == r
             if role > 0 and not waits:
                 continue

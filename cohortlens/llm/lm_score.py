@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.layout import bounded
+from cohortlens.llm.layout import bounded, counted_copies, repeated
 from cohortlens.llm.words import cut, groups, mix
 
 _ROTATE = np.uint64(0xD6E8FEB86659FD93)
@@ -65,8 +65,12 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.int64)
 
 
-def _texts(b: pa.Table) -> list[bytes]:
-    return [zlib.decompress(x) for x in b["data"].to_pylist()]
+def _merged(b: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
+    """Keys and texts of the distinct rows of a block, and how often each occurs."""
+    times: dict[tuple, int] = {}
+    for k, data, n in zip(*(b[c].to_pylist() for c in ("key", "data", "copies")), strict=True):
+        times[k, data] = times.get((k, data), 0) + max(n, 1)
+    return [k for k, _ in times], [zlib.decompress(x) for _, x in times], np.array(list(times.values()), np.int64)
 
 
 def _own_counts(grams: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -86,18 +90,15 @@ def _partition_edges(parts: int) -> np.ndarray:
 
 
 def block_texts(docs: DataFrame, blocks: int, key: str, text: str) -> DataFrame:
-    """(block, key, data): documents dealt into blocks by a hash of key and text, texts compressed."""
+    """(block, key, data, copies, spread): documents dealt into blocks by a hash of key and text, texts compressed.
+
+    Equal rows are in one block, but a task sends them as few rows with their number (see ``counted_copies``).
+    """
     src = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block"),
                       F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [zlib.compress((t or "").encode(), 1) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())],
-                                             names=["block", "key", "data"])
-
-    return bounded(src).mapInArrow(run, f"block int, key {src.schema['key'].dataType.simpleString()}, data binary") \
-        .repartition(blocks, "block")
+    return bounded(src).mapInArrow(
+        counted_copies, f"block int, key {src.schema['key'].dataType.simpleString()}, data binary, copies bigint, "
+                        "spread int").repartition(blocks, "block")
 
 
 def lm_scores(docs: DataFrame, blocks: int, order: int = 2, alpha: float = 0.4, key: str = "doc_id",
@@ -115,15 +116,18 @@ def lm_scores(docs: DataFrame, blocks: int, order: int = 2, alpha: float = 0.4,
     edges = _partition_edges(blocks)
 
     def send(b: pa.Table) -> pa.Table:
-        words, _, per_order = _block_grams(_texts(b), order)
-        h, n = np.unique(np.concatenate([g for g, _ in per_order]), return_counts=True)
+        _, texts, times = _merged(b)
+        words, which, per_order = _block_grams(texts, order)
+        h, at = np.unique(np.concatenate([g for g, _ in per_order]), return_inverse=True)
+        n = np.zeros(len(h), np.int64)
+        np.add.at(n, at, times[np.concatenate([which[end] for _, end in per_order])])
         cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         spans = list(zip(cuts, cuts[1:], strict=False))
         return pa.table({"block": pa.array([b["block"][0].as_py()] * len(spans), pa.int32()),
                          "part": pa.array(range(len(spans)), pa.int32()),
                          "grams": pa.array([h[x:y].tobytes() for x, y in spans], pa.binary()),
                          "counts": pa.array([_pack(n[x:y].astype(np.int64)) for x, y in spans], pa.binary()),
-                         "words": pa.array([len(words)] * len(spans), pa.int64())})
+                         "words": pa.array([int(times[which].sum())] * len(spans), pa.int64())})
 
     def total(b: pa.Table) -> pa.Table:
         h = [np.frombuffer(x, np.uint64) for x in b["grams"].to_pylist()]
@@ -139,14 +143,15 @@ def lm_scores(docs: DataFrame, blocks: int, order: int = 2, alpha: float = 0.4,
                          "corpus": pa.array([corpus] * len(h), pa.int64())})
 
     def score(own: pa.Table, back: pa.Table) -> pa.Table:
-        words, which, per_order = _block_grams(_texts(own), order)
+        keys, texts, times = _merged(own)
+        words, which, per_order = _block_grams(texts, order)
         h = np.unique(np.concatenate([g for g, _ in per_order]))
         order_of_parts = np.argsort(back["part"].to_numpy())
         totals = back["totals"].to_pylist()
         got = np.concatenate([_unpack(totals[i]) for i in order_of_parts])
         if len(got) != len(h):
             raise RuntimeError("a block came back with other n-grams than it sent")
-        n_words = np.bincount(which, minlength=len(own))
+        n_words = np.bincount(which, minlength=len(keys))
         others = np.maximum(back["corpus"][0].as_py() - n_words[which], 1)  # words of the other documents
         unknown = math.log(alpha) - np.log(others)
         value, level, most, context = unknown, np.zeros(len(words), np.int8), np.ones(len(words), np.int8), None
@@ -161,13 +166,14 @@ def lm_scores(docs: DataFrame, blocks: int, order: int = 2, alpha: float = 0.4,
             value = np.where(seen, np.log(np.maximum(rest, 1)) - np.log(below), backed_off)
             level, most, context = np.where(seen, n, level), np.where(fits, n, most), rest
         return pa.table({
-            "key": own["key"], "n_words": pa.array(n_words, pa.int64()),
-            "n_backoff": pa.array(np.bincount(which, weights=level < most, minlength=len(own)).astype(np.int64)),
-            "score": pa.array(np.bincount(which, weights=value, minlength=len(own)) / np.maximum(n_words, 1))})
+            "key": pa.array(keys, own["key"].type), "times": pa.array(times), "n_words": pa.array(n_words, pa.int64()),
+            "n_backoff": pa.array(np.bincount(which, weights=level < most, minlength=len(keys)).astype(np.int64)),
+            "score": pa.array(np.bincount(which, weights=value, minlength=len(keys)) / np.maximum(n_words, 1))})
 
     sent = texts.groupBy("block").applyInArrow(send, "block int, part int, grams binary, counts binary, words bigint")
     back = sent.repartition(blocks, "part").groupBy("part").applyInArrow(
         total, "block int, part int, totals binary, corpus bigint")
     kind = texts.schema["key"].dataType.simpleString()
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        score, f"key {kind}, n_words bigint, n_backoff bigint, score double").withColumnRenamed("key", key)
+    found = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        score, f"key {kind}, times bigint, n_words bigint, n_backoff bigint, score double")
+    return repeated(found, "times").select(F.col("key").alias(key), "n_words", "n_backoff", "score")

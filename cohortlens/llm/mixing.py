@@ -117,8 +117,14 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: i
     named are not read.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-                        F.xxhash64(F.lit(seed), F.col(key), F.col(source)).alias("h"))
+    from cohortlens.llm.layout import repeated
+
+    # equal rows are counted and numbered, so that the order hash spreads a key whatever its number of rows
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+                       F.xxhash64(F.col(text)).alias("text_hash"))
+    counted = rows.groupBy("key", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    sized = repeated(counted, "times").select(
+        "key", "source", "size", F.xxhash64(F.lit(seed), "key", "source", "text_hash", "_copy").alias("h"))
     return mix_sized(spark, sized, weights, share, max_epochs, block).withColumnRenamed("key", key)
 
 

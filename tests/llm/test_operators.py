@@ -284,6 +284,34 @@ def test_imatch_odd_rows(odd_docs, no_docs):
     assert imatch.fingerprint_edits(no_docs, lexicon, 3).count() == 0
 
 
+def test_imatch_equal_keys_and_rows_are_spread(spark):
+    from pyspark.sql import functions as F
+    random.seed(6)
+
+    def some():
+        return " ".join(random.choice("abcdefghijklmnop") * 3 + str(random.randint(0, 40)) for _ in range(20))
+
+    rows = [(i, some()) for i in range(300)] + [(None, some()) for _ in range(300)] + [(7, None), (7, "")] * 2
+    rows += [(5, some())] * 3 + [(None, "one text " * 9)] * 4000
+    random.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lexicon = imatch.band_lexicon(docs)
+    found = imatch.fingerprint_edits(docs, lexicon, 8)
+    got = found.collect()
+    ordered = sorted(((k is not None, k or 0, t or "") for k, t in rows),
+                     key=lambda r: (*r[:2], r[2][:64], xxhash.xxh64_intdigest(r[2].encode(), 42)))
+    want = Counter()
+    for (given, k, own), (_, _, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        a, b, c = (imatch.signature(t, lexicon) for t in imatch._terms(
+            [x.encode() for x in (own, imatch.edited_text(own, following), following)]))
+        want[k if given else None, len(own), hashlib.sha256(imatch.edited_text(own, following).encode()).hexdigest(),
+             imatch.as_text(a), imatch.as_text(b), imatch.likeness(a, b), imatch.likeness(a, c)] += 1
+    assert Counter(map(tuple, got)) == want
+    for part in (found.where("doc_id IS NULL AND n_chars <> 81"), found.where("n_chars = 81")):
+        by_task = [r["count"] for r in part.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(by_task) < 0.75 * sum(by_task)
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 def brute_hits(text, items, window=10):
     w = words_of(text)
@@ -441,6 +469,33 @@ def test_lm_odd_rows(odd_docs, no_docs):
     assert lm_score.lm_scores(no_docs, 3).count() == 0
 
 
+def test_lm_equal_rows_are_few_of_a_block(spark):
+    random.seed(7)
+    distinct = [(i, " ".join(random.choices(["a", "b", "c", "d", "e"], k=12))) for i in range(20)]
+    rows = distinct + [(None, "a b c a b zz")] * 3000 + [(3, distinct[3][1])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert lm_score.block_texts(docs, 3, "doc_id", "text").count() < 60
+    grams = [Counter(), Counter()]
+    for _, t in rows:
+        w = t.split()
+        grams[0].update(w)
+        grams[1].update(zip(w, w[1:], strict=False))
+    want, total = Counter(), sum(grams[0].values())
+    for k, t in rows:
+        w = t.split()
+        rest = [{g: grams[0][g] - n for g, n in Counter(w).items()},
+                {g: grams[1][g] - n for g, n in Counter(zip(w, w[1:], strict=False)).items()}]
+        score = math.log(rest[0][w[0]] / (total - len(w)))
+        backed = 0
+        for a, b in zip(w, w[1:], strict=False):
+            seen = rest[1][a, b] > 0
+            score += math.log(rest[1][a, b] / rest[0][a]) if seen else math.log(0.4 * rest[0][b] / (total - len(w)))
+            backed += not seen
+        want[k, len(w), backed, round(score / len(w), 9)] += 1
+    got = lm_score.lm_scores(docs, 3).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_backoff"], round(r["score"], 9)) for r in got) == want
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 def test_targets():
     assert mixing.share_out([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(250 * 2 / 3), pytest.approx(250 / 3)]
@@ -485,6 +540,19 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert mixing.mix(no_docs, [1.0]).count() == 0
 
 
+def test_mix_spreads_equal_keys_and_rows(spark, monkeypatch):
+    rows = [(None, f"text {'x ' * (i % 7)}{i}", "a") for i in range(2000)] + [(1, "one two", "a")] * 2500 + [(None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter((k, len(SPACED.findall(t or ""))) for k, t, _ in rows)
+    first, second = (mixing.mix(docs.repartition(n), [1.0]).collect() for n in (3, 7))
+    assert sorted(map(repr, first)) == sorted(map(repr, second))
+    assert Counter((r["doc_id"], r["size"]) for r in first) == sizes
+    assert sum(r["taken"] for r in first) == pytest.approx(1.5 * sum(r["size"] for r in first), rel=0.02)
+    monkeypatch.setattr(mixing, "mix_sized", lambda spark, sized, *_: sized)
+    sized = mixing.mix(docs, [1.0])
+    assert sized.select("h").distinct().count() == sized.count() == len(rows)
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 def test_license_base_against_brute_force(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in run(spark, "op10_license_scan", SF01)}

@@ -237,8 +237,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, out = b.column(0).to_pylist(), set()
+            runs: dict[tuple, list[tuple[int, int]]] = {}  # (text, block, item, diagonal): spans in the document
+            names: dict[tuple, str | None] = {}
             for words, doc, place in _shards(as_bytes(b.column(1)), window - 1):
-                for block in blocks:
+                for number, block in enumerate(blocks):
                     f, _ = search(words, block)
                     # windows on the same diagonal that follow each other are one match
                     by = np.lexsort((f.place, f.at - f.place))
@@ -250,8 +252,18 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, key
                         item = block.item[at[i]]
                         base = at[i] - np.searchsorted(block.item, item)
                         name = block.ids[item]
-                        out.add((int(doc[p[i]]), None if name is None else str(name), int(base), int(place[p[i]]),
-                                 int(n) - 1 + int(block.window[at[i]])))
+                        start = int(place[p[i]])
+                        runs.setdefault((int(doc[p[i]]), number, int(item), start - int(base)), []).append(
+                            (start, start + int(n) - 1 + int(block.window[at[i]])))
+                        names[number, int(item)] = None if name is None else str(name)
+            for (d, number, item, diagonal), own in runs.items():  # spans of a diagonal are equal words, so those that touch are one
+                merged: list[list[int]] = []
+                for x, y in sorted(own):
+                    if merged and x <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], y)
+                    else:
+                        merged.append([x, y])
+                out |= {(d, names[number, item], x - diagonal, x, y - x) for x, y in merged}
             rows = sorted(out, key=lambda r: (r[0], r[1] or "", r[2:]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([keys[r[0]] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()),

@@ -369,6 +369,21 @@ def test_longest_matches(spark):
     assert longest.tolist() == [0] * 5 + list(range(25, 0, -1)) + [0] * 10
 
 
+def test_longest_matches_go_over_shard_edges(spark, monkeypatch):
+    item = [f"w{i}" for i in range(100)]
+    text = " ".join([*(f"x{i}" for i in range(50)), *item, *(f"y{i}" for i in range(150))])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(decontaminate)  # so that the workers get the small shards
+    try:
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
+        got = [tuple(r) for r in decontaminate.longest_matches(docs, bench).collect()]
+    finally:
+        cloudpickle.unregister_pickle_by_value(decontaminate)
+    assert got == [(1, "7", 0, 50, 100)]
+
+
 def test_a_benchmark_beyond_the_bound_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
     bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")

@@ -156,7 +156,8 @@ def write_splits(split: DataFrame, path: str, label: str = "label") -> None:
 
 def write_note_exports(notes: DataFrame, path: str) -> None:
     """Notes as multi-line export files (the layout that :func:`read_note_exports` reads): a column line at the head of
-    each file, then for each note a line of fields and the lines of its text. One file for each partition."""
+    each file, then for each note a line of fields and the lines of its text. One file for each partition. W2: sorted by
+    EMPI (null first) over the files in their order; a patient's notes follow by number and time, over files if many."""
     columns = "|".join(NOTE_FIELDS)
 
     def with_head(batches):
@@ -170,7 +171,9 @@ def write_note_exports(notes: DataFrame, path: str) -> None:
                          else F.col(f).cast("string"), F.lit("")) for f in NOTE_FIELDS[:-1]]
     head = F.concat(F.concat_ws("|", *fields), F.lit("|"))
     value = F.when(F.col("Report_Text").isNull(), head).otherwise(F.concat(head, F.lit("\n"), F.col("Report_Text")))
-    notes.select(value.alias("value")).mapInPandas(with_head, "value string").write.mode("overwrite").text(path)
+    order = ["EMPI", "Report_Number", "Report_Date_Time"]
+    ordered = notes.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select(value.alias("value")).mapInPandas(with_head, "value string").write.mode("overwrite").text(path)
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:

@@ -60,3 +60,18 @@ def test_annotation_files(spark, tmp_path):
     assert (r.EMPI, r.Report_Number, r.label_type, r.label_category, r.span, r.annotator) == \
         ("7", "BWH_3", "estimated blood loss", "PPH Definiton", "800 cc", "annA")
     assert str(r.Report_Date_Time) == "2014-01-02 00:00:00"
+
+
+def test_note_exports_are_sorted_by_empi(spark, tmp_path):
+    from datetime import datetime
+
+    from cohortlens.sources import readers
+
+    rows = [(str(1000 + i * 37 % 101), "1", "MGB", "2", str(i), datetime(2020, 1, 1), "d", "Final", "DIS", f"text {i}")
+            for i in range(300)]
+    types = ", ".join(f"{f} {'timestamp' if f == 'Report_Date_Time' else 'string'}" for f in readers.NOTE_FIELDS)
+    readers.write_note_exports(spark.createDataFrame(rows, types).repartition(4), str(tmp_path / "notes"))
+    heads = [line.split("|") for file in sorted((tmp_path / "notes").glob("part-*"))
+             for line in file.read_text().splitlines() if line.count("|") == 9 and not line.startswith("EMPI")]
+    empi = [h[0] for h in heads]
+    assert empi == sorted(empi) and sorted(h[4] for h in heads) == sorted(r[4] for r in rows)

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express (1, 6 and 8); the others are tested against brute force."""
+"""DuckDB SQL for the queries that SQL can express (1, 6, 8, 12 and 13); the others are tested against brute force."""
 
 from __future__ import annotations
 
@@ -91,4 +91,51 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE = {"op1_url_filter": OP1, "op6_decontaminate": OP6, "op8_lm_score": OP8}
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM w, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, 6)) AS u(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+t AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+inside AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS longer
+           FROM c, unnest(range(1, 5)) AS t(i), unnest(range(2, 5)) AS u(s) WHERE s < m AND i + s - 1 <= m GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < f),
+cuts AS (SELECT kept.lang, kept.phrase, kept.f AS a, k, x.f AS l, y.f AS r, n,
+    (1000::HUGEINT * kept.f * n) // (x.f::HUGEINT * y.f) AS score
+    FROM kept JOIN t USING (lang) JOIN unnest(range(1, 5)) AS u(k) ON k < m
+    JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+    JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+    n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP13 = """
+WITH crc(t) AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(0, 256) AS r(i)),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295, list_transform(
+        string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])),
+        4294967295) % 6 AS h FROM own, crc),
+again AS (SELECT h.conv_id, list_concat(coalesce(base.own[1:h], []), h.own[h + 1:]) AS turns
+          FROM h LEFT JOIN own base ON base.conv_id = h.conv_id - h.conv_id % 100),
+members AS (SELECT conv_id, d, turns[1:d] AS k, d = len(turns) AS ends FROM again, unnest(range(0, len(turns) + 1)) AS t(d)),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM members GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children,
+    CASE WHEN d > 0 THEN (n_convs - 1) * length(k[d].t) ELSE 0 END AS saved FROM nodes LEFT JOIN kids USING (k, d)),
+sub AS (SELECT k[1:e] AS k, e AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+        FROM full_, unnest(range(0, d + 1)) AS t(e) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_ n JOIN sub ON sub.k = n.k AND sub.d = n.d LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op6_decontaminate": OP6, "op8_lm_score": OP8, "op12_collocations": OP12,
+          "op13_prefix_trie": OP13}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, html_text, imatch, language_id, licenses, lm_score, mixing, simhash
-from cohortlens.llm import token_count, url_filter
+from cohortlens.llm import bpe, collocations, decontaminate, html_text, imatch, language_id, licenses, lm_score, mixing
+from cohortlens.llm import prefix_trie, simhash, token_count, url_filter
 
 #: Rules of the URL query.
 URL_RULES = [
@@ -96,6 +96,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 _partitions(spark))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), min_count=100, top=2000)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_language_id, op3_simhash_near_dedup, op4_token_counts, op5_imatch,
-                            op6_decontaminate, op7_html_extract, op8_lm_score, op9_mix, op10_license_scan)}
+                            op6_decontaminate, op7_html_extract, op8_lm_score, op9_mix, op10_license_scan, op11_bpe,
+                            op12_collocations, op13_prefix_trie)}

@@ -6,10 +6,7 @@ Scale notes
   all rows): both sides carry a time bucket of N days and the diagnosis side is replicated to the
   three buckets a match can fall in, so the equi-key is (EMPI, bucket) and the band is a residual
   predicate. The note side (which carries the text) is shuffled once and never replicated.
-* Nearest diagnosis at any distance is an as-of lookup, not a join-then-rank: diagnoses are first
-  reduced to one best row per (patient, date); the previous/next diagnosis date of every note is
-  found with running windows over (patient, coarse bucket) plus a window over per-bucket summaries,
-  so no task ever holds all rows of one patient.
+* Joins at any distance are in :mod:`cohortlens.operators.asof`.
 """
 
 from __future__ import annotations
@@ -108,55 +105,3 @@ def nearest_per_note(pairs: DataFrame, key: list[str] | None = None) -> DataFram
     key = key or NOTE_KEY
     w = Window.partitionBy(*key).orderBy("abs_diff_days", "Date", "Code", "Encounter_number")
     return pairs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def nearest_diagnosis(notes: DataFrame, dx: DataFrame, bucket_days: int = 32) -> DataFrame:
-    """Nearest diagnosis at any distance for every note with at least one diagnosis of the
-    same patient; ties go to the earlier date, then the smaller Code / Encounter_number."""
-    # 1. one best diagnosis row per (patient, date): map-side partial aggregation, so a hot
-    #    patient/date never ships its copies.
-    rest = [c for c in dx.columns if c not in ("EMPI", "Date")]
-    order_first = ["Code", "Encounter_number"]
-    best = F.min(F.struct(*[F.col(c) for c in order_first + [c for c in rest if c not in order_first]]))
-    dx_day = dx.filter(F.col("Date").isNotNull()).groupBy("EMPI", "Date").agg(best.alias("_best"))
-
-    bw = bucket_days * DAY_MICROS
-    ts_notes = notes.select("EMPI", F.col("Report_Date_Time").alias("_ts")).filter(
-        F.col("_ts").isNotNull()).distinct()
-    events = (ts_notes.withColumn("_kind", F.lit(1))
-              .unionByName(dx_day.select("EMPI", F.col("Date").alias("_ts"), F.lit(0).alias("_kind"))))
-    events = events.withColumn("_b", F.floor(_micros(F.col("_ts")) / F.lit(bw)))
-    # 2. previous / next diagnosis date inside the same (patient, bucket)
-    w_in = Window.partitionBy("EMPI", "_b").orderBy("_ts", "_kind")
-    dx_ts = F.when(F.col("_kind") == 0, F.col("_ts"))
-    inb = events.select(
-        "EMPI", "_b", "_ts", "_kind",
-        F.last(dx_ts, ignorenulls=True).over(w_in.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-        F.first(dx_ts, ignorenulls=True).over(w_in.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
-    ).filter(F.col("_kind") == 1)
-    # 3. nearest diagnosis dates in earlier / later buckets: window over per-bucket summaries
-    summ = (dx_day.withColumn("_b", F.floor(_micros(F.col("Date")) / F.lit(bw)))
-            .groupBy("EMPI", "_b").agg(F.max("Date").alias("_bmax"), F.min("Date").alias("_bmin")))
-    nb = ts_notes.select("EMPI", F.floor(_micros(F.col("_ts")) / F.lit(bw)).alias("_b")).distinct()
-    bucket_rows = nb.join(summ, ["EMPI", "_b"], "full")
-    w_b = Window.partitionBy("EMPI").orderBy("_b")
-    across = bucket_rows.select(
-        "EMPI", "_b",
-        F.last("_bmax", ignorenulls=True).over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"),
-        F.first("_bmin", ignorenulls=True).over(w_b.rowsBetween(1, Window.unboundedFollowing)).alias("_nb"),
-    )
-    near = inb.join(across, ["EMPI", "_b"], "left").select(
-        "EMPI", "_ts",
-        F.coalesce("_prev", "_pb").alias("_p"), F.coalesce("_next", "_nb").alias("_n"))
-    dp = _micros(F.col("_ts")) - _micros(F.col("_p"))
-    dn = _micros(F.col("_n")) - _micros(F.col("_ts"))
-    chosen = F.when(F.col("_n").isNull(), F.col("_p")).when(F.col("_p").isNull(), F.col("_n")) \
-        .when(dp <= dn, F.col("_p")).otherwise(F.col("_n"))
-    near = near.select("EMPI", F.col("_ts").alias("Report_Date_Time"), chosen.alias("Date")) \
-        .filter(F.col("Date").isNotNull())
-    # 4. attach the chosen diagnosis row and the notes
-    out = (notes.join(near, ["EMPI", "Report_Date_Time"], "inner")
-           .join(dx_day, ["EMPI", "Date"], "inner")
-           .select("*", *[F.col(f"_best.{c}").alias(c) for c in order_first + [c for c in rest if c not in order_first]])
-           .drop("_best"))
-    return _with_day_diff(out)

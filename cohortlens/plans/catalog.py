@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import annotations, cohort, labels, metrics, phenotype, predict, proximity, rules, sampling, spans
+from cohortlens.operators import annotations, asof, cohort, labels, metrics, phenotype, predict, proximity, rules, sampling, spans
 from cohortlens.functions import normalize
 from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
 from cohortlens.functions.prompts import get_prompt
@@ -54,7 +54,7 @@ def q_dx_proximity_zheutlin(spark, sf_dir):
 
 
 def q_dx_nearest(spark, sf_dir):
-    return proximity.nearest_diagnosis(_cohort(spark, sf_dir), _families(spark, sf_dir))
+    return asof.nearest(_cohort(spark, sf_dir), _families(spark, sf_dir))
 
 
 def q_dx_nearest_window(spark, sf_dir):
@@ -74,6 +74,12 @@ def q_dx_left_join(spark, sf_dir):
     return proximity.proximity_join(_cohort(spark, sf_dir), _families(spark, sf_dir), definition=None, how="left")
 
 
+def q_dx_left_all(spark, sf_dir):
+    """J1 at any distance: every cohort note with every diagnosis of its patient, or once without any; patients with
+    over 100 rows on a side are split into cells."""
+    return asof.all_pairs(_cohort(spark, sf_dir).drop("Report_Text"), _families(spark, sf_dir), cell_rows=100)
+
+
 def q_rules_binary_long(spark, sf_dir):
     """Every binary rule on every cohort note, long form."""
     return rules.rule_predictions(_cohort(spark, sf_dir))
@@ -495,6 +501,7 @@ QUERIES: dict[str, Query] = {
     "dx_nearest_window": q_dx_nearest_window,
     "cohort_linked": q_cohort_linked,
     "dx_left_join": q_dx_left_join,
+    "dx_left_all": q_dx_left_all,
     "rules_binary_long": q_rules_binary_long,
     "annotations_flat": q_annotations_flat,
     "annotations_delivery": q_annotations_delivery,
@@ -588,6 +595,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "composite_with_gaps": lambda: oracle.composite_with_gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE),
     "subtypes_with_gaps": lambda: oracle.subtypes(oracle.gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE)),
     "dx_left_join": oracle.dx_left_join,
+    "dx_left_all": oracle.dx_left_all,
     "subtypes_by_run": oracle.subtypes_by_run,
     "io_notes_roundtrip": oracle.io_notes_roundtrip,
     "io_csv_roundtrip": oracle.cohort_delivery,

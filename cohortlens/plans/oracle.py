@@ -186,6 +186,14 @@ SELECT c.*, f.Date, f.Name, f.Code_Type, f.Code, f.Flag, f.Inpatient_Outpatient,
 FROM cohort c LEFT JOIN fam f ON c.EMPI = f.EMPI AND {diff} BETWEEN -{p.WINDOW_DAYS} AND {p.WINDOW_DAYS}""")
 
 
+def dx_left_all() -> str:
+    diff = "(epoch_us(c.Report_Date_Time) - epoch_us(f.Date)) / 86400000000.0"
+    return with_fixtures(cohort_ctes(), _dx_ctes(), select=f"""
+SELECT c.* EXCLUDE (Report_Text), f.Date, f.Name, f.Code_Type, f.Code, f.Flag, f.Inpatient_Outpatient, f.Encounter_number,
+       f.family, {diff} AS diff_days, abs({diff}) AS abs_diff_days
+FROM cohort c LEFT JOIN fam f ON c.EMPI = f.EMPI""")
+
+
 def io_notes_roundtrip() -> str:
     """Every field as text (null: empty), each line of the text closed and the next one set off by a blank. A line of ten
     fields opens a note, so a text ends before such a line; what it opens has no valid time."""

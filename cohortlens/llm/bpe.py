@@ -2,10 +2,11 @@
 
 1. Texts are split into the tokenizer's words in the scan. A block (the texts of a task, up to BLOCK_CHARS) holds the
    number of the word at each position, and its distinct words. Blocks are written once to the shared folder.
-2. The distinct words go to the buckets of their hash, a packed list for each block and bucket. A bucket is the distinct-
-   word table's part: each word is encoded once by the library, whatever the number of blocks that hold it, and its ids
-   are decoded through the id-to-piece table (a row for each id of the vocabulary, so it is joined map-side).
-3. Ids and pieces return to the blocks by word number and are joined to the positions.
+2. The distinct words go to the buckets of their hash, a packed list for each block and bucket. A bucket is the part
+   of the distinct-word table: each word is encoded once by the library, whatever the number of blocks that hold it, and
+   its ids are sent back to the blocks.
+3. In a block, ids meet their pieces (the id-to-piece table has a row for each id of the vocabulary, so that join is
+   map-side), and ids and pieces of words are joined to the positions by word number.
 
 Why words can be encoded alone: merges never cross the words of the pre-tokenizer, and a word cut from a text is cut the
 same way when it stands alone. Special strings are cut out first, as the library does, and are words of their own.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.layout import bounded
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import bucketed
 from cohortlens.llm.token_count import load
 
 #: Characters of a block, unless one text is longer; and of a packed row of texts.
@@ -175,13 +176,12 @@ def blocks(docs: DataFrame, path: str, key: str, text: str, buckets: int) -> Dat
 
 
 def encode_words(lists: DataFrame, path: str, partitions: int) -> DataFrame:
-    """block, numbers, ids and pieces (packed) of every packed word list (block, bucket, words, numbers).
+    """block, numbers, counts and ids (all ids of its words, one after the other) of every word list (block, bucket, words, numbers).
 
     Lists of a bucket meet in one task, which encodes each distinct word once."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pieces = load(path), piece_table(path)
-        name = list(map(str, range(len(pieces))))
-        memo: dict[bytes, tuple[bytes, bytes]] = {}
+        tokenizer = load(path)
+        memo: dict[bytes, list[int]] = {}
         for b in batches:
             for i in range(b.num_rows):
                 words = _unpack(b.column(2)[i].as_py())
@@ -192,16 +192,16 @@ def encode_words(lists: DataFrame, path: str, partitions: int) -> DataFrame:
                 for first in range(0, len(new), 4096):
                     part = new[first:first + 4096]
                     found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                    for w, e in zip(part, found, strict=True):
-                        ids = e.ids
-                        memo[w] = ",".join([name[x] for x in ids]).encode(), b"".join([pieces[x] for x in ids])
-                both = [memo[w] for w in words]
+                    memo.update((w, e.ids) for w, e in zip(part, found, strict=True))
+                own = [memo[w] for w in words]
+                counts = np.fromiter(map(len, own), np.uint32, len(own))
+                ids = np.fromiter((x for word in own for x in word), np.uint32, int(counts.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), b.column(3).slice(i, 1), pa.array([_pack([x[0] for x in both])], pa.binary()),
-                     pa.array([_pack([x[1] for x in both])], pa.binary())], names=["block", "numbers", "ids", "pieces"])
+                    [b.column(0).slice(i, 1), b.column(3).slice(i, 1), pa.array([_planes(counts)], pa.binary()),
+                     pa.array([_planes(ids)], pa.binary())], names=["block", "numbers", "counts", "ids"])
 
     dealt = lists.select("block", "bucket", "words", "numbers").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(encode, "block bigint, numbers binary, ids binary, pieces binary")
+    return dealt.mapInArrow(encode, "block bigint, numbers binary, counts binary, ids binary")
 
 
 def encode_and_decode(docs: DataFrame, path: str, partitions: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,49 +210,48 @@ def encode_and_decode(docs: DataFrame, path: str, partitions: int, key: str = "d
     ids are those of the library for ``path`` without added special tokens, special strings in texts handled as its
     default; the decoded text is that of its decode without skipping any. Null is the empty text (no ids). Repeated
     rows are all kept, keys need not be unique, an empty table gives no rows, other columns are not read. A task
-    holds the words of one block, or MEMO words of a bucket; a text is one row, however long.
+    holds the words and positions of one block, or MEMO words of a bucket; a text is one row, however long.
+
+    Blocks are a bucketed table, so that only words and their ids are shuffled and the positions stay where they are.
     """
     special_strings(path)
-    found = written(blocks(docs, path, key, text, partitions), "bpe-blocks")
+    found = bucketed(blocks(docs, path, key, text, partitions), "bpe_blocks", partitions, "block")
     back = encode_words(found.where("bucket IS NOT NULL"), path, partitions)
-    rows = found.where("bucket IS NULL").select("block", "keys", "sizes", "seq").unionByName(back, allowMissingColumns=True)
-    kind = rows.schema["keys"].dataType.elementType.simpleString()
+    places = found.where("bucket IS NULL").select("block", "keys", "sizes", "seq")
+    kind = places.schema["keys"].dataType.elementType.simpleString()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, pieces = None, [], []
-        lists: list[tuple[np.ndarray, list[bytes], list[bytes]]] = []
-        for b in batches:
-            for i in range(b.num_rows):
-                block, keys, sizes, seq, numbers, own, piece = (b.column(c)[i] for c in range(7))
-                if block.as_py() != now:
-                    now, lists, ids, pieces = block.as_py(), [], [], []
-                if numbers.is_valid:
-                    lists.append((_numbers(numbers.as_py()), _unpack(own.as_py()), _unpack(piece.as_py())))
-                    continue
-                if lists:  # the words of a block come before its texts
-                    n = sum(len(x[0]) for x in lists)
-                    ids, pieces = [b""] * n, [b""] * n
-                    for place, a, p in lists:
-                        for j, x, y in zip(place.tolist(), a, p, strict=True):
-                            ids[j], pieces[j] = x, y
-                    lists = []
-                at, out = 0, []
-                place = _numbers(seq.as_py())
-                for size in np.frombuffer(zlib.decompress(sizes.as_py()), np.int64).tolist():
-                    mine = place[at:at + size].tolist()
-                    at += size
-                    text_ids = b",".join([ids[x] for x in mine])
-                    decoded = b"".join([pieces[x] for x in mine]).decode("utf-8", "replace").encode()
-                    out.append((text_ids.count(b",") + 1 if mine else 0, hashlib.sha256(text_ids).hexdigest(),
-                                hashlib.sha256(decoded).hexdigest()))
-                n_tokens, ids_sha, text_sha = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                                                 names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    meet = rows.repartition(partitions, "block").withColumn("_last", F.col("keys").isNotNull()) \
-        .sortWithinPartitions("block", "_last").drop("_last")
-    return meet.mapInArrow(join, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string") \
-        .withColumnRenamed("key", key)
+    def join(texts: pa.Table, words: pa.Table) -> pa.Table:
+        pieces = piece_table(path)
+        name = list(map(str, range(len(pieces))))
+        lists = [tuple(_numbers(c.as_py()) for c in row) for row in zip(*words.select(["numbers", "counts", "ids"]).columns, strict=True)]
+        n = sum(len(x[0]) for x in lists)
+        as_ids, as_text, count = [b""] * n, [b""] * n, np.zeros(n, np.int64)
+        for place, counts, ids in lists:
+            count[place] = counts
+            own, end = ids.tolist(), np.cumsum(counts).tolist()
+            for j, a, b in zip(place.tolist(), [0, *end], end):
+                mine = own[a:b]
+                as_ids[j] = ",".join([name[x] for x in mine]).encode()
+                as_text[j] = b"".join([pieces[x] for x in mine])
+        keys, n_tokens, ids_sha, text_sha = [], [], [], []
+        for own_keys, sizes, seq in zip(*texts.select(["keys", "sizes", "seq"]).columns, strict=True):
+            keys.append(own_keys.values)
+            place, at = _numbers(seq.as_py()), 0
+            for size in np.frombuffer(zlib.decompress(sizes.as_py()), np.int64).tolist():
+                mine = place[at:at + size]
+                at += size
+                n_tokens.append(int(count[mine].sum()))
+                mine = mine.tolist()
+                ids_sha.append(hashlib.sha256(b",".join([as_ids[x] for x in mine])).hexdigest())
+                decoded = b"".join([as_text[x] for x in mine]).decode("utf-8", "replace")
+                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+        return pa.table([pa.chunked_array(keys, texts.schema.field("keys").type.value_type), pa.array(n_tokens, pa.int64()),
+                         pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                        names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    met = places.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        join, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return met.withColumnRenamed("key", key)
 
 
 def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids") -> DataFrame:

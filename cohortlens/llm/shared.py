@@ -21,6 +21,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Like :func:`written`, as a table in ``buckets`` buckets of ``key``: what groups or joins by it need not shuffle it."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("path", folder).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def prefix_sums(df: DataFrame, place: str, sums: dict[str, Column], size: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with, for each name of ``sums``, the sum of its column over all rows of smaller or equal ``place``.
 

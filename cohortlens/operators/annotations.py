@@ -88,7 +88,7 @@ def flatten_annotations(files: DataFrame, annotators: list[str], empi_type: str
     return x.select(
         "EMPI", "Report_Number", "Report_Date_Time",
         F.col("p.label.title").alias("label_type"),
-        F.element_at(F.col("p.label.categories"), 1).alias("label_category"),
+        F.get(F.col("p.label.categories"), F.lit(0)).alias("label_category"),
         start.alias("start"), end.alias("end"),
         F.regexp_replace(span, PUNCT_EDGES, "").alias("span"),
         "annotator",

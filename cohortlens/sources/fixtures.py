@@ -180,6 +180,53 @@ def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Every so many documents, an annotator file that is no JSON.
+BROKEN_FILE = 41
+
+
+def annotator_file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_name, Report_Text, json: annotator files as three versions of a tool write them.
+
+    One record for each label; or one record for all labels of a note, with offsets as text and a label too many; or
+    one record with categories as plain names and a span too many, and fields that the others do not have."""
+    from cohortlens.operators.annotations import _category_map, annotation_file_name
+    raw = raw_annotations(spark, sf_dir)
+    name = F.regexp_replace(annotation_file_name(F.col("annotator"), "", F.col("EMPI"), F.col("Report_Number"),
+                                                 F.col("Report_Date_Time")), r"\.txt$", ".json")
+    category = F.coalesce(F.element_at(_category_map(), F.col("label_type")), F.lit("Other"))
+    files = raw.groupBy(name.alias("file_name"), "doc_id", "decision").agg(
+        F.min("Report_Text").alias("Report_Text"),
+        F.sort_array(F.collect_list(F.struct("start", "end", "label_type", category.alias("category")))).alias("m"))
+
+    def label(x: Column, plain: bool = False) -> Column:
+        kinds = F.array(x["category"]) if plain else F.array(F.struct(x["category"].alias("type")))
+        return F.struct(F.lit(1).alias("labelId"), x["label_type"].alias("title"), kinds.alias("categories"))
+
+    def span(x: Column, kind: str = "int") -> Column:
+        return F.struct(x["start"].cast(kind).alias("start"), x["end"].cast(kind).alias("end"))
+
+    own = F.transform("m", lambda x: F.struct(F.col("decision"), F.lit(True).alias("CUIMode"), F.array(label(x)).alias("labels"),
+                                              F.array(span(x)).alias("spans")))
+    more = F.concat(F.transform("m", lambda x: label(x)), F.transform(F.slice("m", 1, 1), lambda x: label(x)))
+    textual = F.array(F.struct("decision", more.alias("labels"), F.transform("m", lambda x: span(x, "string")).alias("spans")))
+    spans = F.concat(F.transform("m", lambda x: span(x)), F.transform(F.slice("m", 1, 1), lambda x: span(x)))
+    named = F.array(F.struct("decision", F.lit("v3").alias("tool"), F.transform("m", lambda x: label(x, True)).alias("labels"),
+                             spans.alias("spans"), F.array(F.lit(1), F.lit(2)).alias("history")))
+    kind = F.col("doc_id") % 3
+    text = F.when(kind == 0, F.to_json(own)).when(kind == 1, F.to_json(textual)).otherwise(F.to_json(named))
+    return files.select("file_name", "Report_Text",
+                        F.when(F.col("doc_id") % BROKEN_FILE == 0, F.lit("[{")).otherwise(text).alias("json"))
+
+
+def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demographic export from ``customer``: a patient number, a name with a ``|`` now and then, a segment, an address."""
+    c = F.col("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        c.alias("EMPI"), F.when(c % 5 == 0, F.concat(F.col("c_name"), F.lit(' | "'))).otherwise(F.col("c_name")).alias("Name"),
+        F.col("c_mktsegment").alias("Segment"), F.when(c % 7 != 0, F.date_add(F.lit("1950-01-01").cast("date"), (c % 20000).cast("int")))
+        .cast("string").alias("Date_of_Birth"))
+
+
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture: answers as models and annotators write them, with {fields} filled from each document.
 # ---------------------------------------------------------------------------

@@ -1,81 +1,98 @@
 """Readers and sinks for the raw hospital exports and annotation files (IO1-IO17).
 
-Multi-line note exports (IO1) are read as text lines and re-assembled without putting a whole
-file in one task: lines are ordered by (file, split start, position in split); a note's record
-number is the count of header lines before it, computed as (headers in earlier splits of the
-file, from a one-row-per-split table) + (running count inside the split). Only one note's lines
-are ever gathered together.
+Multi-line note exports (IO1) are read as text lines and re-assembled without putting a whole file in one task: each
+split of a file finds its own notes, and only the pieces at its edges meet those of its neighbours.
+Annotator files and other files of one row each are in :mod:`cohortlens.sources.annotation_files`.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.sources.note_files import write_files
+
 NOTE_FIELDS = ["EMPI", "EPIC_PMRN", "MRN_Type", "MRN", "Report_Number", "Report_Date_Time",
                "Report_Description", "Report_Status", "Report_Type", "Report_Text"]
 DATE_FORMATS = ["M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
                 "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
 
-ANNOTATION_FILE_SCHEMA = T.StructType([
-    T.StructField("decision", T.StringType()),
-    T.StructField("CUIMode", T.BooleanType()),
-    T.StructField("experimentMode", T.BooleanType()),
-    T.StructField("labels", T.ArrayType(T.StructType([
-        T.StructField("labelId", T.LongType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("categories", T.ArrayType(T.StructType([T.StructField("type", T.StringType())]))),
-    ]))),
-    T.StructField("spans", T.ArrayType(T.StructType([
-        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-])
-
-
 def parse_timestamp(col: str) -> F.Column:
     """first format that parses (NULL otherwise), TIMESTAMP_NTZ."""
     c = F.trim(F.col(col))
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS]).cast("timestamp_ntz")
 
 
+def _fields(line: str) -> list[str] | None:
+    """The fields of a line that opens a note (ten of them), else None."""
+    return line.split("|") if line.count("|") == len(NOTE_FIELDS) - 1 else None
+
+
+def _note_rows(batches):
+    """Notes of each file split, in one pass over its lines. Rows: file, blk, kind, header, body.
+
+    kind 0: a note that ends in its split; 1: lines before the first note of the split, which belong to the last note of
+    an earlier one; 2: the last note that begins in the split, which may go on in the next."""
+    at, header, body, kind, out = None, None, [], 1, []
+
+    def close(last: bool) -> None:
+        if at is not None and (header is not None or body):
+            out.append((*at, 2 if last and header is not None else kind, header, body))
+
+    def rows() -> pa.RecordBatch:
+        files, blks, kinds, headers, bodies = zip(*out, strict=True) if out else ([],) * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(files, pa.string()), pa.array(blks, pa.int64()), pa.array(kinds, pa.int32()),
+             pa.array(headers, pa.string()), pa.array(bodies, pa.list_(pa.string()))], names=["file", "blk", "kind", "header", "body"])
+    for b in batches:
+        for file, blk, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (file, blk) != at:
+                close(True)
+                at, header, body, kind = (file, blk), None, [], 1
+                if blk == 0:
+                    continue  # the column line of the file
+            if _fields(line) is not None:
+                close(False)
+                header, body, kind = line, [], 0
+            else:
+                body.append(line)
+        yield rows()
+    close(True)
+    yield rows()
+
+
 def read_note_exports(spark: SparkSession, path: str, name_filter: str = "*Dis*.txt",
                       drop_last: bool = False) -> DataFrame:
     """IO1-IO4, IO6: note exports -> one row per note with the 10 note fields.
 
-    A line opens a note when it has at least two ``|`` and splits into exactly 10 fields; the
-    following lines are the note body, joined by a space, each keeping its line break, and
-    replace field 10. The first line of each file (column header) is skipped; notes without
-    body lines are dropped; ``drop_last`` reproduces the reference's loss of each file's last note.
+    A line opens a note when it splits into exactly 10 fields; the following lines are the note body, joined by a
+    space, each keeping its line break, and replace field 10. The first line of each file (column header) is skipped;
+    lines before the first note and notes without body lines are dropped; ``drop_last`` reproduces the reference's loss
+    of each file's last note.
+
+    One pass over the lines of each split finds its notes; only the first and the last piece of a split (at most two
+    rows) are stitched to those of the splits beside it, so no line is shuffled or sorted.
     """
-    lines = (spark.read.option("pathGlobFilter", name_filter).text(path)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"),
-                     F.monotonically_increasing_id().alias("pos"), F.col("value")))
-    wblk = Window.partitionBy("file", "blk")
-    nfields = F.size(F.split(F.col("value"), r"\|", -1))
-    pipes = F.length("value") - F.length(F.replace(F.col("value"), F.lit("|"), F.lit("")))
-    first_line = (F.col("blk") == 0) & (F.col("pos") == F.min("pos").over(wblk))
-    lines = lines.withColumn("_hdr", ((pipes >= 2) & (nfields == 10) & ~first_line).cast("int")) \
-                 .withColumn("_skip", first_line)
-    # headers in earlier splits of the same file: one row per split
-    per_blk = lines.groupBy("file", "blk").agg(F.sum("_hdr").alias("_n"))
-    wfile = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    per_blk = per_blk.select("file", "blk", F.coalesce(F.sum("_n").over(wfile), F.lit(0)).alias("_before"))
-    win = wblk.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.join(per_blk, ["file", "blk"]) \
-                 .withColumn("rec", F.col("_before") + F.sum("_hdr").over(win))
-    lines = lines.filter(~F.col("_skip") & (F.col("rec") > 0))
-    recs = lines.groupBy("file", "rec").agg(
-        F.max(F.when(F.col("_hdr") == 1, F.col("value"))).alias("_header"),
-        F.sort_array(F.collect_list(F.when(F.col("_hdr") == 0, F.struct("blk", "pos", "value")))).alias("_body"))
-    recs = recs.filter(F.size("_body") > 0)
+    lines = spark.read.option("pathGlobFilter", name_filter).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), "value")
+    found = lines.mapInArrow(_note_rows, "file string, blk bigint, kind int, header string, body array<string>")
+    edges = found.where("kind > 0").withColumn(
+        "note", F.sum((F.col("kind") == 2).cast("long")).over(Window.partitionBy("file").orderBy("blk", "kind")))
+    pieces = F.sort_array(F.collect_list(F.struct("blk", "kind", "body")))
+    stitched = edges.where("note > 0").groupBy("file", "note").agg(
+        F.max("header").alias("header"), F.flatten(F.transform(pieces, lambda x: x["body"])).alias("body"))
     if drop_last:
-        last = recs.groupBy("file").agg(F.max("rec").alias("rec"))
-        recs = recs.join(last, ["file", "rec"], "left_anti")
-    fields = F.split(F.col("_header"), r"\|", -1)
-    body = F.concat_ws(" ", F.transform("_body", lambda b: F.concat(b["value"], F.lit("\n"))))
+        last = stitched.groupBy("file").agg(F.max("note").alias("note"))
+        stitched = stitched.join(last, ["file", "note"], "left_anti")
+    notes = found.where("kind = 0").select("header", "body").unionByName(stitched.select("header", "body"))
+    fields = F.split(F.col("header"), r"\|", -1)
+    body = F.concat_ws(" ", F.transform("body", lambda x: F.concat(x, F.lit("\n"))))
     cols = [F.element_at(fields, i + 1).alias(n) for i, n in enumerate(NOTE_FIELDS[:-1])]
-    return recs.select(*cols, body.alias("Report_Text"))
+    return notes.where(F.size("body") > 0).select(*cols, body.alias("Report_Text"))
 
 
 def read_notes(spark: SparkSession, path: str, name_filter: str = "*Dis*.txt", cutoff: str = "2015-05-01") -> DataFrame:
@@ -87,7 +104,7 @@ def read_notes(spark: SparkSession, path: str, name_filter: str = "*Dis*.txt", c
 
 def read_pipe_table(spark: SparkSession, path: str, name_filter: str, schema: str | None = None) -> DataFrame:
     """IO3/IO4/IO9: every matching pipe-delimited file with a header, concatenated."""
-    r = spark.read.option("pathGlobFilter", name_filter).option("header", True).option("sep", "|")
+    r = spark.read.option("pathGlobFilter", name_filter).option("header", True).option("sep", "|").option("escape", '"')
     if schema:
         r = r.schema(schema)
     else:
@@ -116,19 +133,6 @@ def read_demographics(spark: SparkSession, path: str, name_filter: str = "*Dem.t
     return read_pipe_table(spark, path, name_filter)
 
 
-def read_annotation_files(spark: SparkSession, path: str) -> DataFrame:
-    """IO11 + IO12: one row per annotator file: file_name, annotations (D4 array), Report_Text
-    (the ``.txt`` of the same name). A file's annotations are gathered per file only."""
-    ann = (spark.read.schema(ANNOTATION_FILE_SCHEMA).option("multiLine", True)
-           .option("pathGlobFilter", "*.json").json(path)
-           .select(F.col("_metadata.file_name").alias("file_name"), F.struct(*[F.col(f.name) for f in ANNOTATION_FILE_SCHEMA.fields]).alias("a")))
-    files = ann.groupBy("file_name").agg(F.collect_list("a").alias("annotations"))
-    texts = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
-             .select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", ".json").alias("file_name"),
-                     F.col("value").alias("Report_Text")))
-    return files.join(texts, "file_name", "inner")
-
-
 # --- sinks -----------------------------------------------------------------------------------------
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -176,13 +180,23 @@ def write_note_exports(notes: DataFrame, path: str) -> None:
     ordered.select(value.alias("value")).mapInPandas(with_head, "value string").write.mode("overwrite").text(path)
 
 
-def write_metrics_json(metrics: DataFrame, path: str) -> None:
-    """IO14: metric records as JSON lines (one small file)."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+def write_diagnoses(dx: DataFrame, path: str) -> None:
+    """Diagnoses as pipe-delimited files with a header, in the layout that :func:`read_diagnoses` reads, sorted by EMPI."""
+    named = dx.withColumnsRenamed({"Name": "Diagnosis_Name", "Flag": "Diagnosis_Flag"}) \
+        .withColumn("Date", F.date_format("Date", "M/d/yyyy h:mm:ss a"))
+    _write_pipes(named, path)
+
+
+def write_demographics(people: DataFrame, path: str) -> None:
+    """IO7's layout: pipe-delimited with a header, sorted by EMPI."""
+    _write_pipes(people, path)
+
+
+def _write_pipes(df: DataFrame, path: str) -> None:
+    df.repartitionByRange("EMPI").sortWithinPartitions("EMPI").write.mode("overwrite").option("header", True) \
+        .option("sep", "|").option("escape", '"').csv(path)
 
 
-def export_note_files(notes: DataFrame, directory: str, name_col: str = "file_name", text_col: str = "Report_Text") -> None:
-    """IO13: one text file per note below ``directory``/``name_col``=<name>/, written by Spark's own text writer, so any
-    file system that Spark can write works and a lost executor's notes are written again."""
-    one = notes.select(name_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    one.repartition(name_col).write.mode("overwrite").option("lineSep", "\n").partitionBy(name_col).text(directory)
+def export_note_files(notes: DataFrame, path: str, name: str = "file_name", text: str = "Report_Text") -> None:
+    """IO13: one text file per note, by its name, in one job."""
+    write_files(notes.select(F.lit("").alias("folder"), F.col(name).alias("file_name"), F.col(text).alias("content")), path)

@@ -124,8 +124,7 @@ def test_note_files_and_model_factory(spark, tmp_path):
     from cohortlens.sources import readers
     df = spark.createDataFrame([("a_1.txt", "one\nline"), ("b_2.txt", None)], "file_name string, Report_Text string")
     readers.export_note_files(df, str(tmp_path / "notes"))
-    back = spark.read.text(str(tmp_path / "notes"), wholetext=True).collect()
-    assert {(r.file_name, r.value.rstrip("\n")) for r in back} == {("a_1.txt", "one\nline"), ("b_2.txt", "")}
+    assert {(f.name, f.read_text()) for f in (tmp_path / "notes").iterdir()} == {("a_1.txt", "one\nline"), ("b_2.txt", "")}
 
     def load():
         return lambda prompts, chunks: ["Yes" if "line" in c else f"{len(chunks)}" for c in chunks]

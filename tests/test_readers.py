@@ -3,6 +3,7 @@
 import json
 
 from cohortlens.operators import annotations as A
+from cohortlens.sources import annotation_files as AF
 from cohortlens.sources import readers as R
 
 HEADER = "EMPI|EPIC_PMRN|MRN_Type|MRN|Report_Number|Report_Date_Time|Report_Description|Report_Status|Report_Type|Report_Text"
@@ -42,8 +43,7 @@ def test_diagnoses_keep_code_text(spark, tmp_path):
 def test_annotation_files(spark, tmp_path):
     d = tmp_path / "ann"
     d.mkdir()
-    # Hadoop paths cannot hold ':' so the time part here is a date (midnight notes are written so)
-    name = "annA_notes_empi_7_note_BWH_3_time_2014-01-02"
+    name = "annA_notes_empi_7_note_BWH_3_time_2014-01-02 10:15:00"
     text = "EBL: 800 cc, atony."
     (d / f"{name}.txt").write_text(text)
     recs = [{"decision": "accepted", "CUIMode": False, "experimentMode": False,
@@ -53,13 +53,13 @@ def test_annotation_files(spark, tmp_path):
              "labels": [{"labelId": 2, "title": "uterine atony", "categories": [{"type": "Problem"}]}],
              "spans": [{"start": 14, "end": 19}]}]
     (d / f"{name}.json").write_text(json.dumps(recs))
-    files = R.read_annotation_files(spark, str(d))
+    files = AF.read_annotation_files(spark, str(d))
     flat = A.flatten_annotations(files, ["annA", "annB"]).collect()
     assert len(flat) == 1
     r = flat[0]
     assert (r.EMPI, r.Report_Number, r.label_type, r.label_category, r.span, r.annotator) == \
         ("7", "BWH_3", "estimated blood loss", "PPH Definiton", "800 cc", "annA")
-    assert str(r.Report_Date_Time) == "2014-01-02 00:00:00"
+    assert str(r.Report_Date_Time) == "2014-01-02 10:15:00"
 
 
 def test_note_exports_are_sorted_by_empi(spark, tmp_path):

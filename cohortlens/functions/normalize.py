@@ -59,6 +59,11 @@ def _ci(p: str) -> str:
     return java_regex(p, ignore_case=True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` written and evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sub(c: Column, pattern: str, repl: str = "") -> Column:
     return F.regexp_replace(c, F.lit(_ci(pattern)), F.lit(repl))
 
@@ -71,6 +76,13 @@ def _findall(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(_ci(pattern)), group)
 
 
+def matched_groups(c: Column, pattern: str, n_groups: int) -> Column:
+    """What the groups of ``pattern`` (Java) hold, without empty ones, match by match and group by group."""
+    by_group = F.transform(F.sequence(F.lit(1), F.lit(n_groups)), lambda g: F.regexp_extract_all(c, F.lit(pattern), g))
+    return _let(by_group, lambda groups: F.flatten(F.transform(F.get(groups, F.lit(0)), lambda _, i: F.filter(
+        F.transform(groups, lambda g: F.get(g, i)), lambda x: x != ""))))
+
+
 def _has(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(_ci(pattern)), F.lit(False))
 
@@ -93,18 +105,17 @@ def is_text_number(c: Column) -> Column:
 
 def frac_to_float(c: Column) -> Column:
     """K11: "1/2" -> 0.5, "1 1/2" -> 1.5, "-1 1/2" -> -1.5 (commas removed); NULL when Python fails."""
-    s = F.replace(c, F.lit(","), F.lit(""))
-    direct = s.try_cast("double")
-    parts = F.split(s, "/")
-    num_part = F.try_element_at(parts, F.lit(1))
-    den = F.try_element_at(parts, F.lit(2)).try_cast("double")
-    sp = F.split(num_part, " ")
-    two = F.size(sp) == 2
-    whole = F.when(two, F.coalesce(F.try_element_at(sp, F.lit(1)).try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
-    num = F.when(two, F.try_element_at(sp, F.lit(2))).otherwise(num_part).try_cast("double")
-    frac = F.when(den != 0, num / den)
-    val = F.when(whole < 0, whole - frac).otherwise(whole + frac)
-    return F.coalesce(direct, F.when(F.size(parts) == 2, val))
+    def value(parts: Column) -> Column:
+        den = F.get(parts, F.lit(1)).try_cast("double")
+
+        def of(sp: Column) -> Column:
+            two = F.size(sp) == 2
+            whole = F.when(two, F.coalesce(F.get(sp, F.lit(0)).try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+            last = F.when(F.size(sp) <= 2, F.get(sp, F.size(sp) - 1)).try_cast("double")
+            frac = F.when(den != 0, last / den)
+            return whole + F.when(whole < 0, -frac).otherwise(frac)
+        return F.when(F.size(parts) == 2, _let(F.split(F.get(parts, F.lit(0)), " "), of))
+    return _let(F.replace(c, F.lit(","), F.lit("")), lambda s: F.coalesce(s.try_cast("double"), _let(F.split(s, "/"), value)))
 
 
 def float_text(v: Column) -> Column:
@@ -122,22 +133,13 @@ def clean_blood_loss(c: Column, clean_type: str = "prediction", lenient: bool =
     """K3: blood-loss text -> millilitres joined by '|' ('' when none)."""
     pat = _ci(EBL_NUMBER_PATTERN_LENIENT if lenient else EBL_NUMBER_PATTERN)
     n_groups = EBL_NUMBER_GROUPS_LENIENT if lenient else EBL_NUMBER_GROUPS
-    groups = [F.regexp_extract_all(c, F.lit(pat), g) for g in range(1, n_groups + 1)]
-    per_match = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
-    nums = F.flatten(F.transform(per_match, lambda m: F.filter(
-        F.array(*[m[f"g{i}"] for i in range(n_groups)]), lambda x: x != "")))
-
-    def step(n: Column) -> Column:
-        dashes = F.length(n) - F.length(F.replace(n, F.lit("-"), F.lit("")))
-        slashes = F.length(n) - F.length(F.replace(n, F.lit("/"), F.lit("")))
-        n = F.when((dashes == 1) & (slashes == 0), F.try_element_at(F.split(n, "-"), F.lit(2))) \
-             .otherwise(F.replace(n, F.lit("-"), F.lit(" ")))
-        words = F.create_map(*[F.lit(x) for kv in NUMBER_WORD_ML.items() for x in kv])
-        return F.coalesce(F.try_element_at(words, n), n)
-
-    mapped = F.transform(nums, step)
-    kept = F.transform(F.filter(mapped, lambda n: ~n.startswith("0")),
-                       lambda n: F.replace(F.replace(n, F.lit(">"), F.lit("")), F.lit("<"), F.lit("")))
+    nums = matched_groups(c, pat, n_groups)
+    words = F.create_map(*[F.lit(x) for kv in NUMBER_WORD_ML.items() for x in kv])
+    # "500-800" is its upper number, other dashes are blanks
+    undashed = F.transform(nums, lambda n: F.when(n.rlike("^[^-/]*-[^-/]*$"), F.get(F.split(n, "-"), F.lit(1)))
+                           .otherwise(F.replace(n, F.lit("-"), F.lit(" "))))
+    mapped = F.transform(undashed, lambda n: F.coalesce(F.try_element_at(words, n), n))
+    kept = F.transform(F.filter(mapped, lambda n: ~n.startswith("0")), lambda n: F.translate(n, "<>", ""))
     as_float = F.transform(kept, lambda n: F.when(n.contains("/"), frac_to_float(n))
                            .otherwise(F.replace(n, F.lit(","), F.lit("")).try_cast("double")))
     vals = F.filter(as_float, lambda v: v.isNotNull() & (v != 0))
@@ -197,8 +199,7 @@ def _hms(h: Column, m: Column, s: Column | None = None) -> Column:
 
 
 def _ampm(i: Column, p: Column) -> Column:
-    h = i.try_cast("int") % 12
-    return F.when(F.lower(p) == "pm", h + 12).otherwise(h)
+    return i.try_cast("int") % 12 + F.when(F.lower(p) == "pm", 12).otherwise(0)
 
 
 def clean_time(c: Column) -> Column:
@@ -215,11 +216,10 @@ def clean_time(c: Column) -> Column:
     f5 = _I + _WS + _p
     f6 = _I + _M + _WS + _p
     f7 = _H + _M
-    sec_ok = F.coalesce(F.regexp_extract(c, _ci("^" + f4 + "$"), 3).try_cast("int") <= 59, F.lit(False))
     return (F.when(ok(f1), _hms(_ampm(grab(f1, 1), grab(f1, 3)), grab(f1, 2)))
             .when(ok(f2), _hms(grab(f2, 1), grab(f2, 2)))
             .when(ok(f3), _hms(_ampm(grab(f3, 1), grab(f3, 3)), grab(f3, 2)))
-            .when(ok(f4) & sec_ok, _hms(grab(f4, 1), grab(f4, 2), grab(f4, 3)))
+            .when(ok(_H + ":" + _M + ":(?!6[0-9])" + _S), _hms(grab(f4, 1), grab(f4, 2), grab(f4, 3)))
             .when(ok(f5), _hms(_ampm(grab(f5, 1), grab(f5, 2)), F.lit(0)))
             .when(ok(f6), _hms(_ampm(grab(f6, 1), grab(f6, 3)), grab(f6, 2)))
             .when((F.length(c) > 2) & ok(f7), _hms(grab(f7, 1), grab(f7, 2))))
@@ -250,8 +250,7 @@ def _month_no(name: Column) -> Column:
 
 def _yy(y2: Column) -> Column:
     """strptime %y: 69-99 -> 19xx, 00-68 -> 20xx."""
-    v = y2.try_cast("int")
-    return F.when(v >= 69, v + 1900).otherwise(v + 2000).cast("string")
+    return (F.lit(1969) + F.pmod(y2.try_cast("int") - 69, F.lit(100))).cast("string")
 
 
 def clean_date(c: Column) -> Column:
@@ -262,8 +261,6 @@ def clean_date(c: Column) -> Column:
     def g(p: str, i: int) -> Column:
         return F.regexp_extract(c, rx(p), i)
 
-    def ok(p: str) -> Column:
-        return F.coalesce(c.rlike(rx(p)), F.lit(False))
     f1, f2, f3 = _m + "/" + _d + "/" + _y2, _m + "/" + _d + "/" + _y4, _m + "-" + _d + "-" + _y2
     f4, f5 = _B + _WS + _d + "," + _WS + _y4, _d + _WS + _B + "," + _WS + _y4
     f6, f7, f8 = _d + _WS + _B, _B + _WS + _d, _m + "/" + _d
@@ -281,12 +278,8 @@ def clean_date(c: Column) -> Column:
     ymd = lambda d: F.date_format(d, "yyyy-MM-dd")
     md = lambda d: F.date_format(d, "MM-dd")
     my = lambda d: F.date_format(d, "MM-yyyy")
-    return (F.when(ok(f1) & d1.isNotNull(), ymd(d1)).when(ok(f2) & d2.isNotNull(), ymd(d2))
-            .when(ok(f3) & d3.isNotNull(), ymd(d3)).when(ok(f4) & d4.isNotNull(), ymd(d4))
-            .when(ok(f5) & d5.isNotNull(), ymd(d5)).when(ok(f6) & d6.isNotNull(), md(d6))
-            .when(ok(f7) & d7.isNotNull(), md(d7)).when(ok(f8) & d8.isNotNull(), md(d8))
-            .when(ok(f9) & d9.isNotNull(), my(d9)).when(ok(f10) & d10.isNotNull(), my(d10))
-            .otherwise(c))
+    # where a format does not match, its parts are empty, and so is no date
+    return F.coalesce(ymd(d1), ymd(d2), ymd(d3), ymd(d4), ymd(d5), md(d6), md(d7), md(d8), my(d9), my(d10), c)
 
 
 def clean_dates_in(c: Column) -> Column:

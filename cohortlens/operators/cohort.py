@@ -127,27 +127,33 @@ def funnel_stats(notes: DataFrame) -> DataFrame:
     """Rows, distinct patients / report numbers / (report, patient) / full keys per step,
     plus rows and patients removed by the step. A null counts as a value, as in the reference.
 
-    A patient (or report number) reaches the furthest step that one of its notes reaches, so each count is the
-    number of groups whose largest step is at least the row's: aggregations of the small table by note key."""
+    A patient (or report number) reaches the furthest step that one of its notes reaches, so each count is the number of
+    groups whose largest step is at least the row's. The table by note key (one scan of the notes) gives a row for each
+    of the four groupings, and all of them are reduced in one aggregation by (grouping, key)."""
     n = len(FUNNEL_STEPS)
     pre = n - 3
+    names = {"n_patients": ["EMPI"], "n_report_numbers": ["Report_Number"], "n_patient_reports": ["Report_Number", "EMPI"],
+             "n_notes": NOTE_KEY}
     keyed = note_steps(notes)
 
-    def at_least(col: str) -> list[Column]:
-        return [F.count(F.when(F.col(col) >= i, 1)).alias(f"c{i}") for i in range(n)]
-
-    def distinct_counts(cols: list[str], name: str) -> DataFrame:
-        top = keyed.groupBy(*cols).agg(F.max("_reached").alias("_top")) if set(cols) != set(NOTE_KEY) \
-            else keyed.withColumnRenamed("_reached", "_top")
-        one = top.agg(*at_least("_top"))
-        return one.select(F.posexplode(F.array(*[f"c{i}" for i in range(n)])).alias("step_idx", name))
-
-    rows = keyed.agg(*[F.sum(F.col("_rows")[i]).alias(f"c{i}") for i in range(pre)],
-                     *[F.count(F.when(F.col("_reached") >= i, 1)).alias(f"c{i}") for i in range(pre, n)])
-    out = rows.select(F.posexplode(F.array(*[F.coalesce(f"c{i}", F.lit(0)) for i in range(n)])).alias("step_idx", "n_rows"))
-    for cols, name in ((["EMPI"], "n_patients"), (["Report_Number"], "n_report_numbers"),
-                       (["Report_Number", "EMPI"], "n_patient_reports"), (NOTE_KEY, "n_notes")):
-        out = out.join(distinct_counts(cols, name), "step_idx")
+    def group(name: str, cols: list[str]) -> Column:
+        none = {c: F.lit(None).cast(keyed.schema[c].dataType) for c in NOTE_KEY}
+        rows = F.col("_rows") if name == "n_notes" else F.lit(None).cast(keyed.schema["_rows"].dataType)
+        return F.struct(F.lit(name).alias("of"), *[(F.col(c) if c in cols else none[c]).alias(c) for c in NOTE_KEY],
+                        rows.alias("_rows"), "_reached")
+
+    grouped = keyed.select(F.inline(F.array(*[group(k, v) for k, v in names.items()]))).groupBy("of", *NOTE_KEY).agg(
+        F.max("_reached").alias("_top"), F.first("_rows").alias("_rows"))
+
+    def counts(name: str) -> Column:
+        return F.array(*[F.count(F.when((F.col("of") == name) & (F.col("_top") >= i), 1)) for i in range(n)]).alias(name)
+
+    # rows before the de-duplication are added up, behind it each key is one row
+    rows = [F.coalesce(F.sum(F.col("_rows")[i]), F.lit(0)) for i in range(pre)] \
+        + [F.count(F.when((F.col("of") == "n_notes") & (F.col("_top") >= i), 1)) for i in range(pre, n)]
+    one = grouped.agg(F.array(*rows).alias("n_rows"), *[counts(k) for k in names])
+    zipped = F.arrays_zip("n_rows", *names)
+    out = one.select(F.posexplode(zipped).alias("step_idx", "c")).select("step_idx", "c.*")
     names = F.array(*[F.lit(s) for s in FUNNEL_STEPS])
     # one row per funnel step (9 rows): an unpartitioned lag is bounded by the step count
     w = Window.orderBy("step_idx")

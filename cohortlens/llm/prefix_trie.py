@@ -2,10 +2,11 @@
 
 A node is a distinct sequence of first turns. It is found by its depth and two 64-bit sums of its turns' hashes, which
 prefix sums give for all prefixes of a conversation at once. Every node has an enter and an exit arc; the arcs of the
-whole trie form one list (enter, then the children from first to last, then exit). The list is ranked by pointer
-doubling over all arcs, a join for each doubling, which takes a number of rounds that grows with the logarithm of the
-arcs, whatever the depth or the width of the trie. What a subtree holds is then the difference of two prefix sums, at
-its exit and at its enter arc.
+whole trie form one list (enter, then the children from first to last, then exit). The list is ranked distributedly:
+nodes are numbered in ranges of (smallest member, depth), so that much of the list stays within a range; each range
+follows its own arcs, and pointer doubling, a join for each doubling, ranks the list of the arcs between ranges. That takes
+a number of rounds that grows with the logarithm of the arcs, whatever the depth or the width of the trie. What a
+subtree holds is then the difference of two prefix sums, at its exit and at its enter arc.
 
 Turns become hashes and lengths in the scan; no text is shuffled. Long conversations, wide nodes and the tour itself are
 summed and linked in blocks of 1,024 (:mod:`cohortlens.llm.shared`), and the members that end at a node are written to
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from cohortlens.llm.shared import BLOCK, prefix_sums
 
 #: Most turns that a conversation takes over from the first conversation of its hundred.
 SHARED_TURNS = 5
+#: Arcs between ranges that are joined map-side (24 bytes each).
+SHIP_ROWS = 200_000
 _SUM = "decimal(38,0)"
 
 
@@ -94,7 +98,7 @@ def prefixes(turns: DataFrame, longest: int) -> DataFrame:
 
 
 def _next_sibling(nodes: DataFrame) -> DataFrame:
-    """id, parent, next (the next child of the same parent by id, or null) and first (its parent's first child)."""
+    """id, parent and next (the next child of the same parent by id, or null) of every node but the root."""
     kids = nodes.where("parent IS NOT NULL").select("id", "parent", F.shiftright("id", 10).alias("block"))
     inside = Window.partitionBy("parent", "block").orderBy("id")
     blocks = kids.groupBy("parent", "block").agg(F.min("id").alias("head"))
@@ -104,32 +108,84 @@ def _next_sibling(nodes: DataFrame) -> DataFrame:
         "id", "parent", F.coalesce("next", "_next").alias("next"))
 
 
-def tour(nodes: DataFrame) -> DataFrame:
-    """The arcs of the Euler tour of ``nodes`` (id, parent; the root's is null): arc, next (null at the end).
+def tour(nodes: DataFrame, siblings: DataFrame) -> DataFrame:
+    """The arcs of the Euler tour: arc, next (null at the end). nodes: id, parent (the root's is null), child (the first,
+    null for a leaf); siblings: see :func:`_next_sibling`.
 
     Node v enters by arc 2v and leaves by arc 2v + 1."""
-    siblings = _next_sibling(nodes)
-    first = siblings.groupBy("parent").agg(F.min("id").alias("child")).withColumnRenamed("parent", "id")
-    enter = nodes.select("id").join(first, "id", "left").select(
-        (2 * F.col("id")).alias("arc"), F.coalesce(2 * F.col("child"), 2 * F.col("id") + 1).alias("next"))
+    enter = nodes.select((2 * F.col("id")).alias("arc"), F.coalesce(2 * F.col("child"), 2 * F.col("id") + 1).alias("next"))
     leave = siblings.select((2 * F.col("id") + 1).alias("arc"),
                             F.coalesce(2 * F.col("next"), 2 * F.col("parent") + 1).alias("next"))
     end = nodes.where("parent IS NULL").select((2 * F.col("id") + 1).alias("arc"), F.lit(None).cast("long").alias("next"))
     return enter.unionByName(leave).unionByName(end)
 
 
-def list_rank(arcs: DataFrame, size: int) -> DataFrame:
-    """arc, place (from 0 at the head) of every arc of a list (arc, next) of ``size`` arcs, by pointer doubling.
+def local_chains(arcs: DataFrame) -> DataFrame:
+    """arc, target, far: each arc of a list (arc, next) followed as long as the list stays in the arc's own block.
+
+    target is the first arc of another block (null: the list ended) and far the steps to it (to the last arc). A block
+    is the arcs of one range of nodes (:func:`_node_table`); its arcs meet in one task."""
+    def follow(arc: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(arc)
+        arc, after = arc[order], after[order]
+        at = np.minimum(np.searchsorted(arc, after), len(arc) - 1)
+        inside = arc[at] == after
+        to, far = np.where(inside, at, np.arange(len(arc))), inside.astype(np.int64)
+        while True:
+            again = to[to]
+            if np.array_equal(again, to):
+                break
+            far, to = far + far[to], again
+        target = after[to]
+        return pa.RecordBatch.from_arrays([pa.array(arc), pa.array(target, mask=target < 0), pa.array(far + (target >= 0))],
+                                          names=["arc", "target", "far"])
+
+    def chase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            blocks, arc, after = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edges = np.flatnonzero(np.diff(blocks, prepend=-1 if now is None else now))
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)], strict=True):
+                if first in edges and held:
+                    yield follow(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                if last > first:
+                    held.append((arc[first:last], after[first:last]))
+                    now = int(blocks[first])
+        if held:
+            yield follow(*map(np.concatenate, zip(*held, strict=True)))
+
+    block = F.shiftright("arc", 34)  # the partition in both arcs of an id of monotonically_increasing_id
+    return arcs.select(block.alias("block"), "arc", F.coalesce("next", F.lit(-1).cast("long")).alias("next")) \
+        .repartition("block").sortWithinPartitions("block").mapInArrow(chase, "arc bigint, target bigint, far bigint")
 
-    Each round an arc's pointer becomes that of the arc it points to, and the distances add up; after as many rounds as
-    ``size`` has bits, all point past the end. Arcs that do so already wait without being joined again."""
-    now = cut_lineage(arcs.select("arc", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("far")))
-    for _ in range(max(size - 1, 0).bit_length()):
+
+def list_rank(arcs: DataFrame, size: int) -> DataFrame:
+    """arc, place (from 0 at the head) of every arc of a list (arc, next) of ``size`` arcs.
+
+    Each block of arcs is followed by itself first; what is left is the list of the arcs that a block is entered by, with
+    the steps between them. That list is ranked by pointer doubling: each round an arc's pointer becomes that of the arc
+    it points to, and the steps add up; after as many rounds as the list's length has bits, all point past the end. Arcs
+    that do so already wait without being joined again. Were no two arcs of a block neighbours, the doubling would run
+    over all arcs."""
+    chains = cut_lineage(local_chains(arcs))
+    entered = chains.where("target IS NOT NULL").select(F.col("target").alias("arc"))
+    now = cut_lineage(chains.join(entered, "arc", "left_semi").select("arc", F.col("target").alias("next"), "far"))
+    left = now.count()
+
+    def shipped(df: DataFrame) -> DataFrame:  # three longs a row; beyond, both sides are shuffled by arc
+        return F.broadcast(df) if left <= SHIP_ROWS else df
+
+    parts = min(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + left // SHIP_ROWS)
+    now = now.coalesce(parts)
+    for _ in range(max(left - 1, 0).bit_length()):
         ahead = now.select(F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"))
-        jumped = now.where("next IS NOT NULL").join(ahead, "next").select(
+        jumped = now.where("next IS NOT NULL").join(shipped(ahead), "next").select(
             "arc", F.col("_next").alias("next"), (F.col("far") + F.col("_far")).alias("far"))
-        now = cut_lineage(jumped.unionByName(now.where("next IS NULL")))
-    return now.select("arc", (F.lit(size - 1) - F.col("far")).alias("place"))
+        now = cut_lineage(jumped.unionByName(now.where("next IS NULL")).coalesce(parts))  # else each round adds some
+    rest = shipped(now.select(F.col("arc").alias("target"), F.col("far").alias("_far")))
+    return chains.where("target IS NULL").select("arc", (F.lit(size - 1) - F.col("far")).alias("place")).unionByName(
+        chains.join(rest, "target").select("arc", (F.lit(size - 1) - F.col("far") - F.col("_far")).alias("place")))
 
 
 def ends_digest(ends: DataFrame) -> DataFrame:
@@ -188,7 +244,8 @@ def _node_table(convs: DataFrame, found: DataFrame) -> DataFrame:
     nodes = found.groupBy("depth", "s1", "s2").agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.min("p1").alias("p1"),
         F.min("p2").alias("p2"), F.min("size").alias("size"))
-    nodes = cut_lineage(nodes.unionByName(root).withColumn("id", F.monotonically_increasing_id()))
+    nodes = nodes.unionByName(root).repartitionByRange("conv_id", "depth").sortWithinPartitions("conv_id", "depth")
+    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("s1").alias("p1"), F.col("s2").alias("p2"),
                          F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     linked = nodes.where("depth > 0").join(above, ["depth", "p1", "p2"])
@@ -209,9 +266,11 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     found = cut_lineage(prefixes(again, max(longest, 1)))
     nodes = _node_table(convs, found)
     size = 2 * nodes.count()
-    kids = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    siblings = _next_sibling(nodes)
+    kids = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_children"), F.min("id").alias("child"))
     nodes = cut_lineage(nodes.join(kids, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long")))
-    ranked = list_rank(tour(nodes.select("id", "parent")), size)
+    ranked = list_rank(tour(nodes, siblings), size)
 
     enters = (F.col("arc") % 2) == 0
     values = nodes.select((2 * F.col("id")).alias("arc"), (F.col("n_children") == 0).cast("long").alias("leaf"),

@@ -196,6 +196,18 @@ def test_trie_odd_rows_hot_and_deep_conversations(spark, monkeypatch):
     assert prefix_trie.prefix_trie(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n,blocks,run", [(1, 1, 1), (2, 2, 1), (500, 7, 1), (500, 7, 20), (300, 300, 1), (400, 1, 50)])
+def test_list_rank(spark, n, blocks, run):
+    random.seed(n + blocks)
+    block = [b for _ in range(0, n, run) for b in [random.randrange(blocks)] * run][:n]  # runs of the list share a block
+    random.shuffle(ids := list(range(n)))
+    arcs = [(b << 34) + i for i, b in zip(ids, block, strict=True)]
+    rows = [(a, b) for a, b in zip(arcs, [*arcs[1:], None], strict=True)]
+    random.shuffle(rows)
+    got = prefix_trie.list_rank(spark.createDataFrame(rows, "arc long, next long").repartition(3), n).collect()
+    assert sorted((r["place"], r["arc"]) for r in got) == list(enumerate(arcs))
+
+
 def test_turns_of_equal_number_have_one_order(spark):
     rows = [(1, 0, "user", x) for x in "abcabc"] + [(1, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

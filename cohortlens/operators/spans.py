@@ -1,6 +1,7 @@
 """Regex pre-annotation with character offsets.
 
-All rules run in one Arrow pass over the notes: Spark has no function that returns the offset of a regex group, and
+All rules run in one Arrow pass over the notes, and on a note only those whose literals it holds
+(:mod:`cohortlens.operators.rule_index`): Spark has no function that returns the offset of a regex group, and
 offsets built from split lengths cost the square of the number of matches. A pass is linear in the text for each rule,
 and both kinds of rules see the same (Python) dialect. Multi-group rules give the first participating group.
 Output: ``key + [start, end, cui]`` (0-based, half-open), one row per suggested span.
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.rules import LABEL_ALIASES, SPAN_RULES
+from cohortlens.operators.rule_index import possible
 
 NOTE_KEY = ["EMPI", "Report_Number", "Report_Date_Time"]
 SPAN_TYPE = "array<struct<start:int,end:int,cui:string>>"
@@ -47,7 +49,8 @@ def single_group_spans(notes: DataFrame, rules: list[tuple[str, str]] | None = N
 
 
 def _multi_udf(rules: list[tuple[str, str, int]]):
-    compiled = [(re.compile(p, flags=re.IGNORECASE), _cui(l), n) for l, p, n in rules]
+    patterns = tuple(p for _, p, _ in rules)
+    compiled = [(1 << i, re.compile(p, flags=re.IGNORECASE), _cui(l), n) for i, (l, p, n) in enumerate(rules)]
 
     @F.pandas_udf(SPAN_TYPE)
     def spans(texts: pd.Series) -> pd.Series:
@@ -55,8 +58,9 @@ def _multi_udf(rules: list[tuple[str, str, int]]):
         for t in texts:
             found = []
             if isinstance(t, str):
-                for rx, cui, n in compiled:
-                    for m in rx.finditer(t):
+                mask = possible(t, patterns)
+                for bit, rx, cui, n in compiled:
+                    for m in rx.finditer(t) if mask & bit else ():
                         g = next((i for i in range(1, n + 1) if m.group(i) is not None), None)
                         if g is not None:
                             s, e = m.span(g)

@@ -68,6 +68,14 @@ COMPOSITES = {
                          'manual_without_csection'),
 }
 
+# The annotation label that each composite stands for.
+COMPOSITE_GOLD = {
+    'accreta_composite': 'placenta accreta spectrum',
+    'dic_composite': 'disseminated intravascular coagulation (DIC)',
+    'surgical_composite': 'PPH - surgical causes',
+    'manual_composite': 'manual extraction of placenta',
+}
+
 # Subtype inputs (T1): pivot column suffix -> concept feeding it (composites for accreta and dic).
 SUBTYPE_INPUTS = [
     ('atony', 'atony'), ('methergine', 'methergine'), ('cytotec', 'cytotec'), ('hemabate', 'hemabate'),

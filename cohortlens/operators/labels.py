@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.rules import BINARY_LABELS, TRANSFUSION_SOURCE_LABEL, TRANSFUSION_SPAN_RULES
 from cohortlens.functions.regex import java_regex
+from cohortlens.session import ensure_checkpoint_dir
 
 NOTE_KEY = ["EMPI", "Report_Number", "Report_Date_Time"]
 LABEL_KEY = ["Report_Number", "EMPI", "Report_Date_Time", "MRN_Type"]
 
 
-def prep_data(notes: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """L1: (annotations, annotated notes, annotations left-joined to notes).
+def prep_data(notes: DataFrame, annotations: DataFrame, restricted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L1: (annotations, annotated notes, annotations left-joined to notes). ``restricted``: ``notes`` are the annotated
+    ones already.
 
     J4 uses a semi join on de-duplicated (EMPI, Report_Number), so a note with several annotations is not multiplied.
     J5 joins on the whole note key: an annotation carries the time of its note, and two notes may share patient and
     report number. As the note key is unique in the cohort, the join keeps the number of annotations, which
     :func:`join_keeps_count` checks."""
     keys = annotations.select("EMPI", "Report_Number").distinct()
-    annotated = notes.join(keys, ["EMPI", "Report_Number"], "left_semi")
+    annotated = notes if restricted else notes.join(keys, ["EMPI", "Report_Number"], "left_semi")
     joined = annotations.join(annotated, [c for c in NOTE_KEY if c in annotations.columns], "left")
     return annotations, annotated, joined
 
@@ -111,6 +113,8 @@ def ie_labels(joined: DataFrame, notes: DataFrame, label: str, clean_span: bool
               .agg(F.first("MRN_Type", ignorenulls=True).alias("MRN_Type"),
                    F.sort_array(F.collect_list(F.struct("start", "end", F.col(span_col).alias("s")))).alias("_s"))
               .withColumn("spans", F.transform("_s", lambda x: x["s"])).drop("_s"))
+    ensure_checkpoint_dir(notes.sparkSession)
+    groups = groups.checkpoint()  # a row per labelled note, used four times
     in_e = notes.select("EMPI").distinct()
     in_r = notes.select("Report_Number").distinct()
     labelled = groups.join(in_e, ["EMPI"], "left_semi").join(in_r, ["Report_Number"], "left_semi")

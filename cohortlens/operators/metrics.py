@@ -65,24 +65,22 @@ def class_report(df: DataFrame, group: list[str] | None = None, y: str = "y", pr
     classes = F.array(
         F.struct(F.lit("0").alias("cls"), tn.alias("hit"), (tn + fn).alias("npred"), (tn + fp).alias("ntrue")),
         F.struct(F.lit("1").alias("cls"), tp.alias("hit"), (tp + fp).alias("npred"), (tp + fn).alias("ntrue")))
-    per = c.select(*group, F.inline(classes)).filter((F.col("npred") + F.col("ntrue")) > 0)
-    p = _ratio(F.col("hit"), F.col("npred"))
-    r = _ratio(F.col("hit"), F.col("ntrue"))
-    f = _ratio(2 * F.col("hit"), F.col("npred") + F.col("ntrue"))
-    per = per.select(*group, "cls", p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
-                     F.col("ntrue").cast("long").alias("support"))
-    avg = per.groupBy(*group).agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-        F.sum("support").alias("s"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("wf"))
-    macro = avg.select(*group, F.lit("macro avg").alias("cls"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1_score"), F.col("s").alias("support"))
-    weighted = avg.select(*group, F.lit("weighted avg").alias("cls"), _ratio(F.col("wp"), F.col("s")).alias("precision"),
-                          _ratio(F.col("wr"), F.col("s")).alias("recall"), _ratio(F.col("wf"), F.col("s")).alias("f1_score"),
-                          F.col("s").alias("support"))
-    return per.unionByName(macro).unionByName(weighted)
+    seen = F.filter(classes, lambda x: x["npred"] + x["ntrue"] > 0)
+    per = F.transform(seen, lambda x: F.struct(
+        x["cls"].alias("cls"), _ratio(x["hit"], x["npred"]).alias("precision"), _ratio(x["hit"], x["ntrue"]).alias("recall"),
+        _ratio(2 * x["hit"], x["npred"] + x["ntrue"]).alias("f1_score"), x["ntrue"].cast("long").alias("support")))
+
+    def total(field: str, weighted: bool = False) -> Column:
+        values = F.transform("_per", lambda x: (x[field] * x["support"] if weighted else x[field]).cast("double"))
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    support = total("support").cast("long")
+    scores = ["precision", "recall", "f1_score"]
+    macro = F.struct(F.lit("macro avg").alias("cls"), *[(total(f) / F.size("_per")).alias(f) for f in scores],
+                     support.alias("support"))
+    weighted = F.struct(F.lit("weighted avg").alias("cls"), *[
+        _ratio(total(f, True), support).alias(f) for f in scores], support.alias("support"))
+    return c.select(*group, per.alias("_per")).select(*group, F.inline(F.concat("_per", F.array(macro, weighted))))
 
 
 def ie_metrics(df: DataFrame, gold: str = "spans", pred: str = "clean_predictions",

@@ -98,6 +98,34 @@ def _composite_expr(name: str, col_of) -> Column:
     return F.when(present, pred)
 
 
+def composite_inputs(names: list[str]) -> list[str]:
+    """The concepts that the composites are made of."""
+    return sorted({c for n in names for c, _, _ in COMPOSITES[n][0]})
+
+
+def _pivot(preds: DataFrame, concepts: list[str], key: list[str]) -> DataFrame:
+    """One row per note: ``_p_<concept>`` (its prediction) and ``_has_<concept>`` (1 if there is one)."""
+    aggs = []
+    for c in concepts:
+        hit = F.col("concept") == c
+        aggs.append(F.max(F.when(hit, F.col("prediction"))).alias(f"_p_{c}"))
+        aggs.append(F.max(hit.cast("int")).alias(f"_has_{c}"))
+    return preds.filter(F.col("concept").isin(concepts)).groupBy(*key).agg(*aggs)
+
+
+def composites_against_gold(preds: DataFrame, gold: DataFrame, stands_for: dict[str, str]) -> DataFrame:
+    """Label (the composite), prediction and y, a row for each note and composite that exists and has a gold label.
+
+    One pivot of the predictions gives all composites, one pivot of the gold labels (key, label, y) their truth; the two
+    meet in one join on the note key."""
+    key = ["Report_Number", "EMPI", "Report_Date_Time"]
+    wide = _pivot(preds, composite_inputs(list(stands_for)), key)
+    made = wide.select(*key, *[_composite_expr(n, lambda c: F.col(f"_p_{c}")).alias(n) for n in stands_for])
+    truth = gold.groupBy(*key).agg(*[F.max(F.when(F.col("label") == lab, F.col("y"))).alias(f"_y_{n}") for n, lab in stands_for.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("prediction"), F.col(f"_y_{n}").alias("y")) for n in stands_for])
+    return made.join(truth, key).select(*key, F.inline(rows)).where("prediction IS NOT NULL AND y IS NOT NULL")
+
+
 def subtypes(preds: DataFrame, key: list[str] | None = None, anchor: str = "atony") -> DataFrame:
     """One pivot of all concept predictions per note (composites for accreta and DIC are
     computed inside the same row), anchored on atony, plus the four subtype flags.
@@ -105,13 +133,7 @@ def subtypes(preds: DataFrame, key: list[str] | None = None, anchor: str = "aton
     key = [c for c in (key or PRED_KEY) if c in preds.columns]
     needed = sorted({c for _, c in SUBTYPE_INPUTS if c not in COMPOSITES}
                     | {c for n in ("accreta_composite", "dic_composite") for c, _, _ in COMPOSITES[n][0]})
-    aggs = []
-    for c in needed:
-        hit = F.col("concept") == c
-        aggs.append(F.max(F.when(hit, F.col("prediction"))).alias(f"_p_{c}"))
-        aggs.append(F.max(hit.cast("int")).alias(f"_has_{c}"))
-    wide = (preds.filter(F.col("concept").isin(needed)).groupBy(*key).agg(*aggs)
-            .filter(F.col(f"_has_{anchor}") == 1))
+    wide = _pivot(preds, needed, key).filter(F.col(f"_has_{anchor}") == 1)
     col_of = lambda c: F.col(f"_p_{c}")
     src = {s_: (_composite_expr(c, col_of) if c in COMPOSITES else col_of(c)) for s_, c in SUBTYPE_INPUTS}
     wide = wide.select(*key, *[v.alias(f"predictions_{k}") for k, v in src.items()])

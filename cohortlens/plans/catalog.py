@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import annotations, asof, cohort, labels, metrics, phenotype, predict, proximity, rules, sampling, spans
+from cohortlens.operators import annotations, asof, cohort, extraction, labels, metrics, phenotype, predict, proximity, rules, sampling, spans
 from cohortlens.functions import normalize
-from cohortlens.functions.concepts import CONCEPT_RULES, CONCEPT_RUNS
+from cohortlens.functions.concepts import COMPOSITE_GOLD, CONCEPT_RULES, CONCEPT_RUNS
 from cohortlens.functions.prompts import get_prompt
-from cohortlens.functions.rules import LABEL_RULES, EBL_GROUPS
+from cohortlens.functions.rules import LABEL_RULES
 from cohortlens.functions.regex import java_regex
 from cohortlens.plans import oracle, oracle_answers
 from cohortlens.session import ensure_checkpoint_dir
@@ -104,8 +104,16 @@ def _annotations_delivery(spark, sf_dir):
                        inputs=[f"{sf_dir}/documents.parquet"])
 
 
+def _annotated(spark, sf_dir):
+    """The annotated notes of the cohort as a stage table: labels, scoring and runs read them."""
+    def build():
+        return labels.prep_data(_cohort(spark, sf_dir), _annotations_delivery(spark, sf_dir))[1]
+    return stage_table(spark, "annotated_notes", sf_dir, build, inputs=[f"{sf_dir}/documents.parquet"])
+
+
 def _prep(spark, sf_dir):
-    return labels.prep_data(_cohort(spark, sf_dir), _annotations_delivery(spark, sf_dir))
+    """L1 on the stage tables: (annotations, annotated notes, annotations joined to notes)."""
+    return labels.prep_data(_annotated(spark, sf_dir), _annotations_delivery(spark, sf_dir), restricted=True)
 
 
 def q_annotations_flat(spark, sf_dir):
@@ -156,15 +164,18 @@ def q_labels_binary(spark, sf_dir):
     return labels.binary_labels(notes, ann)
 
 
+def _ie_labels(spark, sf_dir):
+    _, notes, joined = _prep(spark, sf_dir)
+    return labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
+
+
 def q_labels_ie(spark, sf_dir):
     """L2 (A4, J7, U2, J8, L5) for the blood-loss extraction label, raw spans."""
-    _, notes, joined = _prep(spark, sf_dir)
-    out = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
-    return out.withColumn("spans", F.array_join("spans", " || "))
+    return _ie_labels(spark, sf_dir).withColumn("spans", F.array_join("spans", " || "))
 
 
 def _regex_eval(spark, sf_dir):
-    _, notes, _ = _prep(spark, sf_dir)
+    notes = _annotated(spark, sf_dir)
     gold = _labels_binary(spark, sf_dir)
     preds = rules.rule_predictions(notes, labels=[l for l in rules.BINARY_RULE_LABELS
                                                   if l in set(labels.BINARY_LABELS)])
@@ -229,7 +240,7 @@ def q_subtypes_with_gaps(spark, sf_dir):
 def q_subtypes_by_run(spark, sf_dir):
     """T1 + J14: subtypes of the annotated notes, and of the notes with a PPH prediction, whose c-section predictions
     come from a run over all notes."""
-    _, annotated, _ = _prep(spark, sf_dir)
+    annotated = _annotated(spark, sf_dir)
     cohort_notes = _cohort(spark, sf_dir)
     pph = cohort_notes.filter(F.col("Report_Text").rlike(java_regex(LABEL_RULES["PPH"], ignore_case=True)))
     others = [c for c in CONCEPT_RUNS if c != "csection"]
@@ -333,8 +344,10 @@ def _labels_binary(spark, sf_dir):
 
 
 def _labels_ie(spark, sf_dir):
-    return stage_table(spark, "labels_ie", sf_dir, lambda: q_labels_ie(spark, sf_dir),
-                       inputs=[f"{sf_dir}/documents.parquet"])
+    """The extraction labels (spans as arrays) with their label, as a stage table."""
+    def build():
+        return _ie_labels(spark, sf_dir).withColumn("label", F.lit("estimated blood loss"))
+    return stage_table(spark, "labels_ie", sf_dir, build, inputs=[f"{sf_dir}/documents.parquet"])
 
 
 def _split_binary(spark, sf_dir):
@@ -353,8 +366,8 @@ def q_split_label_counts(spark, sf_dir):
 
 def q_split_ie(spark, sf_dir):
     """W9 + F19: patient split for the blood-loss extraction label."""
-    ie = _labels_ie(spark, sf_dir).withColumn("label", F.lit("estimated blood loss"))
-    return sampling.stratified_patient_split(ie, y="span_extracted", ie=True)
+    out = sampling.stratified_patient_split(_labels_ie(spark, sf_dir), y="span_extracted", ie=True)
+    return out.withColumn("spans", F.array_join("spans", " || "))
 
 
 CHUNK_RUN = ("c-section", "disch_summary_curr_delivery_V2")
@@ -378,24 +391,8 @@ def q_predict_concepts(spark, sf_dir):
                       F.array_join("raw_preds", "|").alias("raw_preds"), F.size("raw_preds").cast("long").alias("n_chunks"))
 
 
-def ebl_regex_predictions(notes):
-    """Every blood-loss rule match, non-empty groups in match order, then K1/K3."""
-    pat = F.lit(java_regex(LABEL_RULES["estimated blood loss"], ignore_case=True))
-    groups = [F.regexp_extract_all("Report_Text", pat, g).alias(f"g{g}") for g in range(1, EBL_GROUPS + 1)]
-    found = F.flatten(F.transform(F.arrays_zip(*groups), lambda m: F.filter(
-        F.array(*[m[f"g{g}"] for g in range(1, EBL_GROUPS + 1)]), lambda x: x != "")))
-    return notes.withColumn("predictions", found).withColumn(
-        "clean_predictions", normalize.clean_predictions("estimated blood loss", F.col("predictions")))
-
-
 def _ebl_eval(spark, sf_dir):
-    _, notes, joined = _prep(spark, sf_dir)
-    gold = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
-    gold = gold.withColumn("clean_spans", normalize.clean_predictions("estimated blood loss", F.col("spans"),
-                                                                       clean_type="annotation"))
-    preds = ebl_regex_predictions(notes).select("Report_Number", "EMPI", "Report_Date_Time", "predictions",
-                                                "clean_predictions")
-    return gold.join(preds, ["Report_Number", "EMPI", "Report_Date_Time"], "left")
+    return extraction.regex_against_gold(_labels_ie(spark, sf_dir), _annotated(spark, sf_dir))
 
 
 def q_ebl_regex_predictions(spark, sf_dir):
@@ -412,50 +409,34 @@ def q_metrics_regex_ie(spark, sf_dir):
 
 def q_annotations_processed(spark, sf_dir):
     """Processed annotation table with ``clean_span`` (K3, annotation mode, for blood loss)."""
-    a = _annotations_delivery(spark, sf_dir)
-    return a.withColumn("clean_span", F.when(F.col("label_type") == "estimated blood loss",
-                                             normalize.clean_str(F.col("span"), "estimated blood loss", "annotation"))
-                        .otherwise(F.col("span")))
+    return extraction.with_clean_span(_annotations_delivery(spark, sf_dir))
 
 
 def q_spans_plain(spark, sf_dir):
-    """P-single rules without lookaround: native offsets."""
+    """P-single rules without lookaround."""
     return spans.single_group_spans(_cohort(spark, sf_dir), spans.single_rules(lookaround=False))
 
 
 def q_spans_lookaround(spark, sf_dir):
-    """P-single rules with lookaround (Java regex, native offsets)."""
+    """P-single rules with lookaround."""
     return spans.single_group_spans(_cohort(spark, sf_dir), spans.single_rules(lookaround=True))
 
 
 def q_spans_multi(spark, sf_dir):
-    """P-multi rules: offsets of the first participating group (Arrow UDF)."""
+    """P-multi rules: offsets of the first participating group."""
     return spans.multi_group_spans(_cohort(spark, sf_dir))
 
 
-COMPOSITE_GOLD = oracle.COMPOSITE_GOLD
-
-
 def q_metrics_composites(spark, sf_dir):
     """Each composite scored against the annotation label it stands for (annotated notes)."""
-    ann, notes, _ = _prep(spark, sf_dir)
-    gold = labels.binary_labels(notes, ann, labels=sorted(set(COMPOSITE_GOLD.values())))
-    parts = []
-    for name, lab in COMPOSITE_GOLD.items():
-        inputs = [c for c, _, _ in phenotype.COMPOSITES[name][0]]
-        c = phenotype.composite(phenotype.concept_predictions(notes, inputs), name).select("Report_Number", "EMPI", "Report_Date_Time",
-                                                      F.col("predictions").alias("prediction"))
-        y = gold.filter(F.col("label") == lab).select("Report_Number", "EMPI", "Report_Date_Time", "y")
-        parts.append(c.join(y, ["Report_Number", "EMPI", "Report_Date_Time"]).withColumn("label", F.lit(name)))
-    ev = parts[0]
-    for p_ in parts[1:]:
-        ev = ev.unionByName(p_)
-    return metrics.binary_metrics(ev)
+    preds = phenotype.concept_predictions(_annotated(spark, sf_dir), phenotype.composite_inputs(list(COMPOSITE_GOLD)))
+    gold = _labels_binary(spark, sf_dir).where(F.col("label").isin(list(COMPOSITE_GOLD.values())))
+    return metrics.binary_metrics(phenotype.composites_against_gold(preds, gold, COMPOSITE_GOLD))
 
 
 def q_metrics_zero_shot_binary(spark, sf_dir):
     """M5, binary path: the concept runs on annotated notes, joined to their gold labels and scored, a row per run."""
-    _, notes, _ = _prep(spark, sf_dir)
+    notes = _annotated(spark, sf_dir)
     model = predict.RuleModel(rules=dict(CONCEPT_RULES))
     key = ["Report_Number", "EMPI", "Report_Date_Time"]
     preds = predict.predict_runs(notes, dict(CONCEPT_RUNS), model).select(
@@ -469,14 +450,9 @@ EBL_RUN = {"ebl": ("estimated blood loss", "disch_summary")}
 
 
 def _zero_shot_ebl(spark, sf_dir):
-    _, notes, joined = _prep(spark, sf_dir)
     model = predict.ExtractRuleModel(rules={"ebl": LABEL_RULES["estimated blood loss"]})
-    preds = predict.zero_shot(notes, EBL_RUN, model)
-    gold = labels.ie_labels(joined, notes, "estimated blood loss", clean_span=False)
-    gold = gold.withColumn("spans", metrics.distinct_sorted(
-        normalize.clean_predictions("estimated blood loss", F.col("spans"), clean_type="annotation")))
-    return gold.join(preds.drop("MRN_Type"), ["Report_Number", "EMPI", "Report_Date_Time"], "left") \
-        .withColumn("clean_predictions", F.coalesce("clean_predictions", F.array().cast("array<string>")))
+    preds = predict.zero_shot(_annotated(spark, sf_dir), EBL_RUN, model)
+    return extraction.answers_against_gold(_labels_ie(spark, sf_dir), preds)
 
 
 def q_zero_shot_extraction(spark, sf_dir):

@@ -866,15 +866,8 @@ FROM sp, unnest(range(1, len(ml) + 1)) AS r(i)""")
 
 # --- composite metrics (C5) --------------------------------------------------------------------------------
 
-COMPOSITE_GOLD = {
-    'accreta_composite': 'placenta accreta spectrum',
-    'dic_composite': 'disseminated intravascular coagulation (DIC)',
-    'surgical_composite': 'PPH - surgical causes',
-    'manual_composite': 'manual extraction of placenta',
-}
-
-
 def metrics_composites() -> str:
+    from cohortlens.functions.concepts import COMPOSITE_GOLD
     union = " UNION ALL ".join(
         f"SELECT {_sql_str(name)} AS label, y.y, c.predictions AS prediction FROM {_composite_sql(name)} c "
         f"JOIN labels_long y ON y.label = {_sql_str(gold)} AND y.EMPI = c.EMPI AND y.Report_Number = c.Report_Number "

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from cohortlens.functions.rules import LABEL_RULES, SPAN_RULES
-from cohortlens.operators import cohort, spans
+from cohortlens.operators import cohort, extraction, spans
 from cohortlens.plans import catalog
 from cohortlens.sources import fixtures as fx
 from tests.conftest import SF001
@@ -34,7 +34,7 @@ def test_single_group_offsets_equal_python_finditer(spark):
 def test_blood_loss_groups_equal_python_findall(spark):
     notes = _cohort(spark)
     got = {(r.EMPI, r.Report_Number, r.Report_Date_Time): list(r.predictions)
-           for r in catalog.ebl_regex_predictions(notes).collect()}
+           for r in extraction.ebl_regex_predictions(notes).collect()}
     for r in notes.collect():
         found = re.findall(LABEL_RULES["estimated blood loss"], r.Report_Text, flags=re.IGNORECASE)
         exp = [str(i) for s in found for i in s if i != ""]

@@ -422,9 +422,18 @@ def q_spans_lookaround(spark, sf_dir):
     return spans.single_group_spans(_cohort(spark, sf_dir), spans.single_rules(lookaround=True))
 
 
+#: The one rule with groups and lookaround at once, which has no SQL.
+ANATOMY = "laceration anatomy"
+
+
 def q_spans_multi(spark, sf_dir):
     """P-multi rules: offsets of the first participating group."""
-    return spans.multi_group_spans(_cohort(spark, sf_dir))
+    return spans.multi_group_spans(_cohort(spark, sf_dir), [r for r in spans.multi_rules() if r[0] != ANATOMY])
+
+
+def q_spans_anatomy(spark, sf_dir):
+    """P31, the rule with groups and lookaround."""
+    return spans.multi_group_spans(_cohort(spark, sf_dir), [r for r in spans.multi_rules() if r[0] == ANATOMY])
 
 
 def q_metrics_composites(spark, sf_dir):
@@ -509,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "spans_plain": q_spans_plain,
     "spans_lookaround": q_spans_lookaround,
     "spans_multi": q_spans_multi,
+    "spans_anatomy": q_spans_anatomy,
     "metrics_composites": q_metrics_composites,
     "metrics_zero_shot_binary": q_metrics_zero_shot_binary,
     "composite_with_gaps": q_composite_with_gaps,
@@ -566,6 +576,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "zero_shot_extraction": lambda: oracle.zero_shot_extraction(get_prompt(*EBL_RUN["ebl"])[0]),
     "metrics_zero_shot_ie": lambda: oracle.metrics_zero_shot_ie(get_prompt(*EBL_RUN["ebl"])[0]),
     "spans_plain": oracle.spans_plain,
+    "spans_multi": oracle.spans_multi,
+    "spans_lookaround": oracle.spans_lookaround,
     "metrics_composites": oracle.metrics_composites,
     "metrics_zero_shot_binary": oracle.metrics_zero_shot_binary,
     "composite_with_gaps": lambda: oracle.composite_with_gaps(GAPS_WITHOUT_SITE, GAP_SITE, GAPS_AT_SITE),

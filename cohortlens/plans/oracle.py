@@ -54,7 +54,9 @@ notes_v AS (
          Report_Status, Report_Type, Report_Text FROM notes0 WHERE doc_id % 25 = 0),
 dx_v AS (
   SELECT e.user_id AS EMPI,
-    CAST(DATE '{fx.BASE_DATE}' + CAST((e.event_id * 13) % 700 AS INTEGER) AS TIMESTAMP) AS Date,
+    CAST(DATE '{fx.BASE_DATE}' + CAST(CASE WHEN e.event_id % {fx.DATED_LIKE_A_NOTE} = 0
+      THEN ((e.user_id * {fx.DOCS_PER_PATIENT} + e.event_id % {fx.DOCS_PER_PATIENT}) * 37) % 700
+      ELSE (e.event_id * 13) % 700 END AS INTEGER) AS TIMESTAMP) AS Date,
     'Diagnosis ' || ({codes})[CAST(e.event_id % {len(fx.CODES)} AS INTEGER) + 1] AS Name,
     'ICD9' AS Code_Type,
     ({codes})[CAST(e.event_id % {len(fx.CODES)} AS INTEGER) + 1] AS Code,
@@ -864,6 +866,84 @@ SELECT EMPI, Report_Number, Report_Date_Time,
 FROM sp, unnest(range(1, len(ml) + 1)) AS r(i)""")
 
 
+# --- spans with groups or lookaround (P1-P7, P11, P15-P18, P28-P30, P32) ---------------------------------------
+# A rule with groups is stated as alternatives (before, group, behind), each part a group of its own: where a match
+# begins is the sum of the pieces and matches before it, and the group begins behind its "before". A rule with lookaround
+# is matched without it, and each occurrence is tested by the characters around it.
+
+_GA, _HOUR = r"[0-9]{1,2}w[0-9]{1,2}d", r"[0-9]{1,2}:[0-9]{1,2} (?:AM|PM)"
+_DAY = r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"
+_GROUP_RULES = {
+    "gestational age": [("", r"[0-9./]+", r"\s+(?:weeks|wk|wks|week)\s+gestation"), (r"gestational age:\s+", _GA, ""),
+                        ("", _GA, " gestation"), ("", r"[0-9 /+-]+", "(?:wk|w|wks|week|weeks) ga")],
+    "date of delivery": [("delivery date: ", _DAY, ""), ("delivered.*on ", _DAY, ""), ("(?:date of delivery|delivery date).*?", _DAY, "")],
+    "time of delivery": [(" delivery time: ", _HOUR, ""), ("delivered.*at ", _HOUR, ""), ("(?:time of delivery|delivery date).*?", _HOUR, "")],
+    "estimated date of delivery": [("edc.{0,10}?", "[0-9/-]+", ""), ("estimated date of delivery.*?", "[0-9/-]+", ""),
+                                   ("estimated edc.*?", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{1,2}", "")],
+    "last menstrual period": [("last menstrual period.{0,50}?", _DAY, ""), ("lmp ", _DAY, "")],
+    "estimated blood loss": [("", "[0-9]+", " ?(?:ml)? blood loss"), ("blood loss.*?", "[0-9]+", "(?: *cc)?"),
+                             (r"ebl:?\s*", "[0-9]+", ""), ("pph.{0,10}", "[0-9]+", " ?cc")],
+    "transfusion amount": [("transfusion.*", "[0-9]", " units"), ("", "[0-9]", " units prbc")],
+    "laceration grade": [("", "[a-z0-9]*", " degree (?:laceration|tear)"), ("laceration.*?", "[a-z0-9]*", " degrees?")],
+}
+# label -> (core without lookaround, what each occurrence is tested for)
+_LOOK_RULES = {
+    "PPH": (r"pphemorrhage|pph |postpartum\s*hemorrhage|post-partum\s*hemorrhage", "no, hx"),
+    "uterine atony": ("uterine atony|atony", "no"), "placenta previa": (r"placenta\s*previa", "no"),
+    "placenta accreta spectrum": (r"placenta\s*accreta|placenta\s*percreta|placenta\s*increta", "no"),
+    "retained products of conception": ("retained poc|retained products of conception", "no"),
+    "abruption of the placenta": ("placental abruption|abruptio placenta|abruptio placentae", "no"),
+    "laceration": ("laceration|tear", "no, no behind"),
+    "transfusion type": (r"packed\s*red\s*blood\s*cells|red\s*blood\s*cells|plasma|platelets|prbc|cryoprecipitate|cryo|ffp", "count"),
+}
+_SPAN_KEY = "EMPI, Report_Number, Report_Date_Time"
+
+
+def _matches(label: str, rx: str, extra: str = "") -> str:
+    """Rows (key, cui, text, lengths of pieces and matches) of one rule."""
+    full = _sql_str("(?i)" + rx)
+    return f"""
+SELECT {_SPAN_KEY}, {_sql_str(label)} AS cui, Report_Text AS t{extra},
+       list_transform(string_split_regex(Report_Text, {full}), lambda x: length(x)) AS pl,
+       list_transform(regexp_extract_all(Report_Text, {full}), lambda x: length(x)) AS ml
+FROM cohort WHERE Report_Text IS NOT NULL"""
+
+
+_AT = "CAST(coalesce(list_sum(list_slice(pl, 1, i)), 0) + coalesce(list_sum(list_slice(ml, 1, i - 1)), 0) AS BIGINT)"
+
+
+def spans_multi() -> str:
+    parts = []
+    for label, alternatives in _GROUP_RULES.items():
+        rx = "|".join(f"({a})({g})({b})" for a, g, b in alternatives)
+        full = _sql_str("(?i)" + rx)
+
+        def lens(offset: int, n: int = len(alternatives), full: str = full) -> str:
+            lists = ", ".join(f"regexp_extract_all(Report_Text, {full}, {3 * k + offset})" for k in range(n))
+            return f"list_transform(list_zip({lists}), lambda z: length(concat({', '.join(f'z[{k + 1}]' for k in range(n))})))"
+        parts.append(_matches(label, rx, f", {lens(1)} AS bl, {lens(2)} AS gl"))
+    return with_fixtures(cohort_ctes(), "sp AS (" + " UNION ALL ".join(parts) + ")", select=f"""
+SELECT {_SPAN_KEY}, CAST({_AT} + bl[i] AS INTEGER) AS start, CAST({_AT} + bl[i] + gl[i] AS INTEGER) AS "end", cui
+FROM sp, unnest(range(1, len(ml) + 1)) AS r(i)""")
+
+
+def spans_lookaround() -> str:
+    parts = [_matches(label, rx, f", {_sql_str(kind)} AS kind") for label, (rx, kind) in _LOOK_RULES.items()]
+    no = "(a >= 3 AND lower(substr(t, a - 2, 3)) = 'no ')"
+    return with_fixtures(cohort_ctes(), "sp AS (" + " UNION ALL ".join(parts) + ")", f"""
+occ AS (SELECT *, a + ml[i] AS z FROM (SELECT sp.*, i, {_AT} AS a FROM sp, unnest(range(1, len(ml) + 1)) AS r(i))),
+tested AS (SELECT *, CASE kind
+    WHEN 'no' THEN NOT {no}
+    WHEN 'no, hx' THEN NOT {no} AND NOT (a >= 6 AND lower(substr(t, a - 5, 6)) = 'hx of ')
+    WHEN 'no, no behind' THEN NOT {no} AND NOT regexp_matches(substr(t, z + 1, 12), '^[^\n]{{0,10}}(?i:no)')
+    ELSE lower(substr(t, a + 1, 9)) <> 'platelets' OR (NOT (a >= 3 AND regexp_matches(substr(t, a - 2, 3), '^[0-9]{{2}} $'))
+         AND NOT regexp_matches(substr(t, z + 1, 12), '^[^\n]{{0,10}}[0-9]{{2}}')) END AS ok FROM occ)""", select=f"""
+SELECT {_SPAN_KEY}, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS "end", cui FROM tested WHERE ok
+UNION ALL
+SELECT {_SPAN_KEY}, CAST(a + 8 AS INTEGER), CAST(z AS INTEGER), cui FROM tested
+WHERE NOT ok AND cui = 'uterine atony' AND z - a = 13""")
+
+
 # --- composite metrics (C5) --------------------------------------------------------------------------------
 
 def metrics_composites() -> str:

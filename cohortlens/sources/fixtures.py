@@ -46,7 +46,11 @@ PHRASES = [
     "B-Lynch and O'Leary sutures placed at cesarean section for uterine atony.",
     "Vacuum extraction, then forceps delivery of a vertex infant.",
     "Extension of the uterine incision, extension into the vagina; delivery with PPH .",
+    "Vaginal laceration and a tear of the perineal body, no tear periurethral region; perineal delivery, vaginal laceration.",
+    "Delivery: transfusion of 2 units, platelets 30 after; no uterine atony, no placental abruption; time of delivery 3:05 AM.",
 ]
+#: One diagnosis in so many is dated like a note of its patient.
+DATED_LIKE_A_NOTE = 3
 CODES = ["666.02", "666.12", "666.22", "666.32", "665.24", "664.01",
          "656.03", "641.11", "650", "V27.0", "669.71", "641.91"]
 # (phrase index, label_type, span text inside that phrase)
@@ -136,7 +140,8 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _pick(CODES, eid % len(CODES))
     return e.select(
         F.col("user_id").alias("EMPI"),
-        _base_day((eid * 13) % 700).alias("Date"),
+        _base_day(F.when(eid % DATED_LIKE_A_NOTE == 0, ((F.col("user_id") * DOCS_PER_PATIENT + eid % DOCS_PER_PATIENT) * 37) % 700)
+                  .otherwise((eid * 13) % 700)).alias("Date"),
         F.concat(F.lit("Diagnosis "), code).alias("Name"),
         F.lit("ICD9").alias("Code_Type"),
         code.alias("Code"),

@@ -2,12 +2,12 @@
 
 Each page is cut into text lines (the blocks of its markup). Pages are paired by URL path within their host: with the
 next page in path order, else the one before. The lines of the two pages are aligned by a longest common subsequence;
-a shared line is template text.
+a shared line is template text. Two pages whose shared lines are nearly all of their text are mirrors of one page: they
+are not differenced against each other but against the last other page of the host before them, if there is one.
 
 Two things decide what stays. Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments (by
 element, or by a word of class, id or role) go. Of the others, lines inside an article or main element stay: they are
-the article by markup, and pages that carry the same article must not delete each other's text. On pages without such
-an element, the lines shared with the nearest page go.
+the article by markup. All other lines stay if they are not shared with the nearest page.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import json
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlens.llm.layout import bounded, neighbour_ranges
 from cohortlens.llm.url_filter import host_of, path_of
@@ -45,15 +47,33 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>?", re.S | re.I)
+#: Class words by which an article is none of the page's own, but a reader's comment or a teaser.
+OTHER_ARTICLE = frozenset("ad advert advertisement comment comments promo related replies reply sidebar sponsored teaser widget".split())
+#: Words of parts that stay apart with the articles inside them.
+READERS = re.compile(r"comment|repl(?:y|ies)|disqus|sidebar|related|footer|\bnav|advert|sponsor")
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the text of the shorter page that two pages share if they are mirrors.
+MIRROR = 0.8
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def _apart(name: str, attrs: str) -> bool:
+def _marks(attrs: str) -> list[str]:
+    """The words of class, id and role, without those that only say what a part has or has not."""
+    if not attrs:
+        return []
+    words = [w for _, a, b, c in ATTR.findall(attrs) for w in (a or b or c).lower().split()]
+    return [w for w in words if not w.startswith(("no-", "has-", "with-", "without-"))]
+
+
+def _apart(name: str, attrs: str, inside: bool) -> bool:
+    """Whether an element holds no main text; ``inside`` an article or main element."""
     if name in APART:
-        return True
-    if not attrs or name in ("body", "html", "main"):
+        return not (name == "header" and inside)  # an article's own head holds its title
+    if name in LANDMARK:
+        return any(w in OTHER_ARTICLE for w in _marks(attrs))
+    if name in ("body", "html") or name in HEADING:
         return False
-    return any(APART_WORD.search((a or b or c).lower()) for _, a, b, c in ATTR.findall(attrs))
+    return any(APART_WORD.search(a) for a in _marks(attrs))
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
@@ -66,6 +86,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     stack: list[str] = []
     apart_at: int | None = None  # depth of the outermost element that holds no main text
+    lifted: list[tuple[int, int]] = []  # (depth of an article, apart_at around it): the article counts nevertheless
+    loose = False  # the part is apart by a word alone, and not by one of readers or other articles
     marks: list[int] = []  # depths of open article and main elements
     text: list[str] = []
 
@@ -79,6 +101,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     def close(depth: int) -> None:
         nonlocal apart_at
         del stack[depth:]
+        while lifted and lifted[-1][0] >= depth:
+            apart_at = lifted.pop()[1]
         if apart_at is not None and apart_at >= depth:
             apart_at = None
         while marks and marks[-1] >= depth:
@@ -108,8 +132,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             close(len(stack) - 1 - stack[::-1].index("p"))
         if name == "body" and "head" in stack:
             close(stack.index("head"))
-        if apart_at is None and _apart(name, m["attrs"] or ""):
+        attrs = m["attrs"] or ""
+        if apart_at is not None and loose and name in LANDMARK and not _apart(name, attrs, bool(marks)):
+            lifted.append((len(stack), apart_at))
+            apart_at = None
+        if apart_at is None and _apart(name, attrs, bool(marks)):
             apart_at = len(stack)
+            loose = name not in APART and name not in LANDMARK and not any(READERS.search(a) for a in _marks(attrs))
         elif name in LANDMARK or 'role="main"' in (m["attrs"] or ""):
             marks.append(len(stack))
         stack.append(name)
@@ -156,30 +185,37 @@ def shared_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
 def main_text(lines: list[tuple[str, bool, bool]], shared: set[int]) -> tuple[str, int]:
     """(main text, number of lines that differencing deleted)."""
     kept = [(i, t, inside) for i, (t, apart, inside) in enumerate(lines) if not apart]
-    marked = any(inside for _, _, inside in kept)
-    if marked:
-        own = [t for _, t, inside in kept if inside]
-        return "\n\n".join(own), 0
-    own = [t for i, t, _ in kept if i not in shared]
+    own = [t for i, t, inside in kept if inside or i not in shared]
     return "\n\n".join(own), len(kept) - len(own)
 
 
+def mirrors(a: list, b: list, shared: set[int]) -> bool:
+    """Whether two pages (lines of :func:`lines_of`; ``shared``: places in ``a``) show the same text: what they share is
+    nearly all that the shorter one says outside the parts that hold no main text."""
+    own = [sum(len(t) for t, apart, _ in lines if not apart) for lines in (a, b)]
+    return sum(len(a[i][0]) for i in shared if not a[i][1]) >= MIRROR * min(own)
+
+
 def extract(pages: DataFrame, ranges: int, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """key, url, text, n_chars, n_lines, n_shared (lines shared with the nearest page) and n_deleted (by differencing).
 
     Null html is empty and gives an empty text. A null url has an empty host and path, and is paired among its like.
-    A page that is alone in its host has no pair and loses no line to differencing. Repeated rows are pages of their
-    own and all stay. An empty table gives no rows; other columns are not read. The lines of each page move once,
+    A page that is alone in its host has no pair and loses no line to differencing, nor do mirrors without another page of
+    the host before them. Repeated rows have the same text and all stay; equal rows of an Arrow batch move as one. An
+    empty table gives no rows; other columns are not read. The lines of each page move once,
     compressed; a host of any size is spread over ranges of its paths.
     """
     def pack(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                data = [zlib.compress(json.dumps(lines_of(t or "")).encode(), 1) for t in b.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(data, pa.binary())],
-                                                 names=["host", "path", "key", "url", "data"])
+                rows = Counter(zip(*(c.to_pylist() for c in b.columns), strict=True))
+                columns = [*zip(*rows, strict=True)] if rows else [()] * 5
+                data = [zlib.compress(json.dumps(lines_of(t or "")).encode(), 1) for t in columns[4]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(columns[i], b.schema.field(i).type) for i in range(4)), pa.array(data, pa.binary()),
+                     pa.array(rows.values(), pa.int64())], names=["host", "path", "key", "url", "data", "copies"])
 
-        return bounded(df).mapInArrow(run, f"host string, path string, key {kind}, url string, data binary")
+        return bounded(df).mapInArrow(run, f"host string, path string, key {kind}, url string, data binary, copies bigint")
 
     src = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(key).alias("key"),
                        F.col(url).alias("url"), F.col(page).alias("html"))
@@ -188,26 +224,38 @@ def extract(pages: DataFrame, ranges: int, key: str = "page_id", url: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        before = after = None  # rows (range, host, key, url, lines, role, shared with the row before)
+        # rows (range, host, key, url, lines, role, copies, places shared with the row before or None)
+        before = after = other = None  # other: the last row of the host that is no mirror of ``before``
+
+        def shared_with(row: tuple, neighbour: tuple) -> tuple[set[int], set[int]]:
+            return shared_lines([x[0] for x in row[4]], [x[0] for x in neighbour[4]])
 
         def done(row: tuple, follower: tuple | None) -> set[int] | None:
             """Judge ``row``; returns the lines that it and its follower share, as places in the follower."""
+            nonlocal other
             paired = follower is not None and follower[:2] == row[:2]
-            mine, theirs = shared_lines([x[0] for x in row[4]], [x[0] for x in follower[4]]) if paired else (set(), None)
+            mine, theirs = shared_with(row, follower) if paired else (None, None)
+            if paired and mirrors(row[4], follower[4], mine):
+                mine = theirs = None
             if row[5] == 0:
-                shared = mine if paired else row[6] or set()
+                shared = mine if mine is not None else row[7]
+                if shared is None and other is not None and other[:2] == row[:2]:
+                    shared = shared_with(row, other)[0]
+                shared = shared or set()
                 text, deleted = main_text(row[4], shared)
-                out.append((row[2], row[3], text, len(text), len(row[4]), len(shared), deleted))
+                out.extend([(row[2], row[3], text, len(text), len(row[4]), len(shared), deleted)] * row[6])
+            if mine is not None or not paired:
+                other = row
             return theirs
 
         for b in batches:
-            for host, k, u, data, r, role in zip(
-                    *(b.column(n).to_pylist() for n in ("host", "key", "url", "data", "_range", "_role")), strict=True):
+            for host, k, u, data, copies, r, role in zip(
+                    *(b.column(n).to_pylist() for n in ("host", "key", "url", "data", "copies", "_range", "_role")), strict=True):
                 if role == 2:
                     continue
-                after = (r, host, k, u, json.loads(zlib.decompress(data)), role, None)
+                after = (r, host, k, u, json.loads(zlib.decompress(data)), role, copies, None)
                 if before is not None:
-                    after = (*after[:6], done(before, after))
+                    after = (*after[:7], done(before, after))
                 before = after
                 if len(out) >= 1000:
                     yield _out(out)
@@ -217,8 +265,7 @@ def extract(pages: DataFrame, ranges: int, key: str = "page_id", url: str = "url
         if out:
             yield _out(out)
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    kinds = [key_type, pa.string(), pa.string()] + [pa.int64()] * 4
+    kinds = [to_arrow_type(src.schema["key"].dataType), pa.string(), pa.string()] + [pa.int64()] * 4
     names = ["key", "url", "text", "n_chars", "n_lines", "n_shared", "n_deleted"]
 
     def _out(found: list[tuple]) -> pa.RecordBatch:

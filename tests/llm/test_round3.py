@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm import bpe, collocations, prefix_trie, queries, shared
+from cohortlens.llm import bpe, collocations, html_text, prefix_trie, queries, shared
 from tests.conftest import SF001, SF01
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -35,6 +35,68 @@ def test_prefix_sums_over_several_levels(spark, monkeypatch):
         (g, p): sum((2 * q + g) * 7 % 11 for q in range(p + 1)) for g in (0, 1) for p in range(50)}
 
 
+# -- 7 -----------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("page,text", [
+    ('<article class="post no-comments"><p>Body text</p></article>', "Body text"),
+    ('<div class="search-page"><p>Found</p><article><p>Body</p></article><p>Below</p></div>', "Body"),
+    ('<div class="has-sidebar page"><article><p>Body</p></article><div class="sidebar">S</div></div>', "Body"),
+    ('<header>Site</header><article><header><h1 class="page-header">Title</h1></header><p>Body</p></article>', "Title\n\nBody"),
+    ('<main><p>A</p></main><div class="story"><p>Real</p></div>', "A\n\nReal"),
+    ('<article><p>Body</p></article><section id="comments"><article><p>Reader</p></article></section>', "Body"),
+    ('<article><p>Body</p><article class="comment"><p>Reader</p></article></article>', "Body"),
+    ('<div class="related-posts"><article><p>Other</p></article></div><p>Own</p>', "Own"),
+])
+def test_main_text_by_markup(page, text):
+    assert html_text.main_text(html_text.lines_of(page), set())[0] == text
+
+
+def html_brute(rows):
+    """The method stated plainly over all pages of a host in order."""
+    out, hosts = Counter(), defaultdict(list)
+    for key, url, page in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        hosts[m[1].translate(LOWER) if m else ""].append((m[2] if m else "", key is not None, key or 0, url, page))
+    for pages in hosts.values():
+        pages.sort(key=lambda p: p[:3])
+        pages = [p for i, p in enumerate(pages) if not i or p != pages[i - 1]]  # equal rows are one page
+        lines = [html_text.lines_of(p[4] or "") for p in pages]
+
+        def shared(i, j, lines=lines):
+            mine = html_text.shared_lines([x[0] for x in lines[i]], [x[0] for x in lines[j]])[0]
+            return None if html_text.mirrors(lines[i], lines[j], mine) else mine
+        for i, p in enumerate(pages):
+            found = shared(i, i + 1) if i + 1 < len(pages) else None
+            back = i - 1
+            while found is None and back >= 0:
+                both = html_text.shared_lines([x[0] for x in lines[back]], [x[0] for x in lines[back + 1]])[0]
+                if not html_text.mirrors(lines[back], lines[back + 1], both):
+                    found = html_text.shared_lines([x[0] for x in lines[back]], [x[0] for x in lines[i]])[1]
+                back -= 1
+            text = html_text.main_text(lines[i], found or set())[0]
+            out[p[2] if p[1] else None, p[3], text] += sum((k, u, h) == (p[2] if p[1] else None, p[3], p[4]) for k, u, h in rows)
+    return out
+
+
+def test_mirrors_and_repeated_rows_keep_their_text(spark):
+    page = "<body><div>Site title</div><div>{}</div><p>Call us</p></body>"
+    story = "A long story that two addresses show, with more words than the frame around it has. " * 3
+    rows = [(1, "http://a.example/1", page.format(story)), (2, "http://a.example/1?p=2", page.format(story))]
+    rows += [(3, "http://b.example/x", page.format(story))] * 3000
+    rows += [(10 + i, f"http://c.example/{i:02}", page.format(f"{story} {i} {story}" if i % 3 else story)) for i in range(12)]
+    rows += [(100 + i, f"http://d.example/{i:02}", page.format(f"{i} " * 30 + story[:40 * i])) for i in range(9)] + [(None, None, None), (7, None, "")]
+    random.seed(7)
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = Counter((r["page_id"], r["url"], r["text"]) for r in html_text.extract(df, 1).collect())
+    assert got == html_brute(rows)
+    many = Counter((r["page_id"], r["url"], r["text"]) for r in html_text.extract(df, 5).collect())
+    assert sum(many.values()) == len(rows)
+    for (key, _, text), n in (many | got).items():
+        if key in (1, 2, 3):
+            assert story.strip() in text
+    assert html_text.extract(df.select(F.col("page_id").cast("short").alias("page_id"), "url", "html"), 2).count() == len(rows)
+
+
 # -- 11 ----------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():

@@ -8,7 +8,7 @@ per-file Python and no driver loops.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.rules import LABEL_CATEGORIES
@@ -118,6 +118,20 @@ def label_counts(annotations: DataFrame, by: str = "label_type") -> DataFrame:
     return annotations.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_table(spark: SparkSession) -> DataFrame:
+    """label_type, label_category, number (from 1, as the annotation tool lists the label) and place (from 0, as its
+    lookup does), in the order of the label table."""
+    rows = [(label, category, i + 1, i) for i, (label, category) in enumerate(LABEL_CATEGORIES.items())]
+    return spark.createDataFrame(rows, "label_type string, label_category string, number int, place int")
+
+
+def numbered_label_counts(annotations: DataFrame) -> DataFrame:
+    """A2 with N9: every label of the table with its number and its annotations (0 if none), and labels beyond the table,
+    whose number is null."""
+    return label_table(annotations.sparkSession).join(label_counts(annotations), "label_type", "full").select(
+        "label_type", "label_category", "number", "place", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def annotator_note_counts(annotations: DataFrame) -> DataFrame:
     """A3: distinct report numbers and patients per annotator."""
     return annotations.groupBy("annotator").agg(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.annotations import annotation_file_name
+from cohortlens.session import ensure_checkpoint_dir
 
 NOTE_KEY = ["EMPI", "Report_Number", "Report_Date_Time"]
 SEED = 42
@@ -49,6 +50,19 @@ def seeded_shuffle(df: DataFrame, seed: int = SEED, key: list[str] | None = None
     return df.withColumn("_h", seeded_hash(seed, *key)).orderBy("_h").drop("_h")
 
 
+def ranked(df: DataFrame, name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in its order (from 1), as a global sort left it.
+
+    Rows are numbered inside their partition and shifted by the rows of the partitions before (one row each), so no
+    task holds more than its partition. The frame is written to the checkpoint folder first: its order is then fixed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    fixed = df.checkpoint().withColumns({
+        "_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return fixed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_in") + 1).alias(name))
+
+
 def single_site_patients(notes: DataFrame, ie: bool = False, site: str = SITE) -> DataFrame:
     """F18 (binary): notes at ``site`` of patients never seen elsewhere (null site counts as elsewhere).
     F19 (ie=True): null site does not count as elsewhere, and null-site notes whose Report_Number

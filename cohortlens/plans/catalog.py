@@ -131,6 +131,22 @@ def q_annotation_label_counts(spark, sf_dir):
     return annotations.label_counts(_annotations_delivery(spark, sf_dir))
 
 
+def q_annotation_label_numbers(spark, sf_dir):
+    """N9 + A2: the label table with its numbers, and how often each label was given."""
+    return annotations.numbered_label_counts(_annotations_flat(spark, sf_dir))
+
+
+def q_notes_by_patient(spark, sf_dir):
+    """The place of every exported note in the order that the note sink writes."""
+    keys = fx.notes(spark, sf_dir).select(*sampling.NOTE_KEY)
+    return sampling.ranked(readers.by_patient(keys))
+
+
+def q_cohort_shuffled(spark, sf_dir):
+    """The place of every cohort note in the seeded shuffle."""
+    return sampling.ranked(sampling.seeded_shuffle(_cohort(spark, sf_dir).select(*sampling.NOTE_KEY)))
+
+
 def q_annotator_stats(spark, sf_dir):
     """A3 (before the non-delivery removal, as in the reference)."""
     return annotations.annotator_note_counts(_annotations_flat(spark, sf_dir))
@@ -491,6 +507,9 @@ QUERIES: dict[str, Query] = {
     "annotations_flat": q_annotations_flat,
     "annotations_delivery": q_annotations_delivery,
     "annotation_label_counts": q_annotation_label_counts,
+    "annotation_label_numbers": q_annotation_label_numbers,
+    "notes_by_patient": q_notes_by_patient,
+    "cohort_shuffled": q_cohort_shuffled,
     "annotator_stats": q_annotator_stats,
     "annotations_empty": q_annotations_empty,
     "non_delivery_notes": q_non_delivery_notes,
@@ -549,6 +568,9 @@ ORACLE: dict[str, Callable[[], str]] = {
     "annotations_flat": oracle.annotations_flat,
     "annotations_delivery": oracle.annotations_delivery,
     "annotation_label_counts": oracle.annotation_label_counts,
+    "annotation_label_numbers": oracle.annotation_label_numbers,
+    "notes_by_patient": oracle.notes_by_patient,
+    "cohort_shuffled": oracle.cohort_shuffled,
     "annotator_stats": oracle.annotator_stats,
     "annotations_empty": oracle.annotations_empty,
     "non_delivery_notes": oracle.non_delivery_notes,

@@ -368,6 +368,28 @@ def annotation_label_counts() -> str:
                          select="SELECT label_type, count(*) AS n FROM annot_deliv GROUP BY label_type")
 
 
+def annotation_label_numbers() -> str:
+    from cohortlens.functions.rules import LABEL_CATEGORIES
+    rows = ", ".join(f"({_sql_str(k)}, {_sql_str(v)}, {i})" for i, (k, v) in enumerate(LABEL_CATEGORIES.items(), 1))
+    return with_fixtures(cohort_ctes(), annotation_ctes(), f"""
+tab(label_type, label_category, number) AS (VALUES {rows}),
+cnt AS (SELECT label_type, count(*) AS n FROM annot_flat GROUP BY label_type)""", select="""
+SELECT label_type, t.label_category, CAST(number AS INTEGER) AS number, CAST(number - 1 AS INTEGER) AS place, coalesce(n, 0) AS n
+FROM tab t FULL JOIN cnt USING (label_type)""")
+
+
+def notes_by_patient() -> str:
+    return with_fixtures(select="""
+SELECT EMPI, Report_Number, Report_Date_Time,
+  row_number() OVER (ORDER BY EMPI NULLS FIRST, Report_Number NULLS FIRST, Report_Date_Time NULLS FIRST) AS rank FROM notes_v""")
+
+
+def cohort_shuffled(seed: int = 42) -> str:
+    return with_fixtures(cohort_ctes(), select=f"""
+SELECT EMPI, Report_Number, Report_Date_Time, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', CAST(EMPI AS VARCHAR),
+  Report_Number, CAST(Report_Date_Time AS VARCHAR)))) AS rank FROM cohort""")
+
+
 def annotator_stats() -> str:
     return with_fixtures(cohort_ctes(), annotation_ctes(), select="""
 SELECT annotator, count(DISTINCT Report_Number) AS n_report_numbers, count(DISTINCT EMPI) AS n_patients

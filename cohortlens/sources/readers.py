@@ -158,6 +158,12 @@ def write_splits(split: DataFrame, path: str, label: str = "label") -> None:
     write_table(split.withColumn(label, safe_label(label)), path, partition_by=[label])
 
 
+def by_patient(notes: DataFrame) -> DataFrame:
+    """Notes in order of EMPI (null first), number and time, in ranges over the partitions."""
+    order = ["EMPI", "Report_Number", "Report_Date_Time"]
+    return notes.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_note_exports(notes: DataFrame, path: str) -> None:
     """Notes as multi-line export files (the layout that :func:`read_note_exports` reads): a column line at the head of
     each file, then for each note a line of fields and the lines of its text. One file for each partition. W2: sorted by
@@ -175,9 +181,7 @@ def write_note_exports(notes: DataFrame, path: str) -> None:
                          else F.col(f).cast("string"), F.lit("")) for f in NOTE_FIELDS[:-1]]
     head = F.concat(F.concat_ws("|", *fields), F.lit("|"))
     value = F.when(F.col("Report_Text").isNull(), head).otherwise(F.concat(head, F.lit("\n"), F.col("Report_Text")))
-    order = ["EMPI", "Report_Number", "Report_Date_Time"]
-    ordered = notes.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.select(value.alias("value")).mapInPandas(with_head, "value string").write.mode("overwrite").text(path)
+    by_patient(notes).select(value.alias("value")).mapInPandas(with_head, "value string").write.mode("overwrite").text(path)
 
 
 def write_diagnoses(dx: DataFrame, path: str) -> None:

@@ -31,8 +31,11 @@ UNDETERMINED = "und"
 PIECE = 1 << 20
 #: Languages that a model may have; and how many times the sample a language's share of hashes holds.
 MOST_LANGUAGES, SPARE = 10_000, 3
-#: Least accepted cosine of texts under 64 n-grams, which prove little.
-FEW_GRAMS_REACH = 0.02
+#: Length class from which a distance is fitted, and the share of the sample that may be farther than it allows for.
+LONG_CLASS, FAR_SHARE = 3, 0.01
+#: Least accepted cosine of the shorter classes (under 16, 64 and 256 n-grams), which prove little: random letters of
+#: such a length reach about as much.
+SHORT_REACH = (0.02, 0.02, 0.055)
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII: upper to lower case, all that is no letter to a blank; bytes of other characters stay.
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -98,12 +101,13 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds: int = 8,
-        slack: float = 0.25) -> Model:
+        slack: float = 0.6) -> Model:
     """Fit on ``labelled`` (text, lang; rows with a null in either are left out).
 
-    ``per_language`` bounds the sample. ``slack``: a text is rejected if its cosine is under this share of the least
-    cosine that texts of the language and length class had in the sample. No usable row gives a model without
-    languages, which predicts ``und``.
+    ``per_language`` bounds the sample. ``slack``: a text of 256 n-grams or more is rejected if its cosine is under
+    this share of what all but FAR_SHARE of the language's sample texts of such a length reach, so single odd or wrongly
+    labelled texts do not move the bound; a shorter text is rejected under SHORT_REACH, or under that bound if it is
+    less. No usable row gives a model without languages, which predicts ``und``.
     """
     x = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     # copies do not count: the sample is of distinct texts, so its limit follows from their number
@@ -138,12 +142,10 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, rounds
         m = _unit(m * idf)
         c = _kmeans(m, centroids, rounds)
         near, size = (m @ c.T).max(axis=1), length_class(np.array([sum(r["n"]) for r in own]))
-        for s in range(6):
-            if (size == s).any():
-                reach[i, s] = near[size == s].min() * slack
-        # a class without a sample takes the least of the others: it accepts more
-        reach[i, np.isinf(reach[i])] = reach[i][~np.isinf(reach[i])].min()
-        reach[i, :2] = np.minimum(reach[i, :2], FEW_GRAMS_REACH)
+        far = near[size >= LONG_CLASS]
+        bound = slack * float(np.quantile(far, FAR_SHARE)) if len(far) else SHORT_REACH[-1]
+        reach[i] = bound
+        reach[i, :LONG_CLASS] = np.minimum(SHORT_REACH, bound)
         parts.append(c)
         owner += [i] * len(c)
     return Model(langs, idf, np.concatenate(parts).T.astype(np.float32), np.array(owner), reach)

@@ -12,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm import bpe, collocations, html_text, prefix_trie, queries, shared
+from cohortlens.llm import bpe, collocations, html_text, language_id, prefix_trie, queries, shared
 from tests.conftest import SF001, SF01
 
+SF1 = "/root/testdata/sf0.1"
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +37,43 @@ def test_prefix_sums_over_several_levels(spark, monkeypatch):
         (g, p): sum((2 * q + g) * 7 % 11 for q in range(p + 1)) for g in (0, 1) for p in range(50)}
 
 
+# -- 2 -----------------------------------------------------------------------------------------------------------------
+#: Three languages that are not learned.
+OTHERS = {
+    "it": "il governo ha annunciato ieri che le nuove misure per la scuola saranno presentate nel corso della prossima settimana "
+          "e che i genitori potranno scegliere tra diverse soluzioni per i loro figli mentre la città continua a crescere ",
+    "pt": "o governo anunciou ontem que as novas medidas para a escola serão apresentadas na próxima semana e que os pais "
+          "poderão escolher entre várias soluções para os seus filhos enquanto a cidade continua a crescer muito ",
+    "nl": "de regering heeft gisteren aangekondigd dat de nieuwe maatregelen voor de school volgende week worden gepresenteerd "
+          "en dat de ouders kunnen kiezen tussen verschillende oplossingen voor hun kinderen terwijl de stad blijft groeien "}
+
+
+@pytest.mark.parametrize("sf", [SF01, SF1])
+def test_language_rejection(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.fitted_language_model(docs)
+    random.seed(2)
+    noise = [" ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(n))
+             for n in (60, 100, 200, 500, 1000) for _ in range(20)]
+    strange = noise + [text * n for text in OTHERS.values() for n in (2, 5, 40)]
+    assert all(language_id.predict_texts(model, strange)[2])
+    rows = docs.where("lang IS NOT NULL").select("text").collect()
+    letters = [r["text"] for r in rows if re.search(r"[^\W\d_]", r["text"] or "")]
+    rejected = language_id.predict_texts(model, letters)[2]
+    assert sum(rejected) <= 0.001 * len(letters)
+
+
+def test_wrong_labels_hardly_move_the_bound(spark):
+    random.seed(4)
+
+    def text(letters):
+        return " ".join("".join(random.choices(letters, k=5)) for _ in range(120))
+    rows = [(text("abcdefgh"), "x") for _ in range(400)] + [(text("stuvwxyz"), "y") for _ in range(400)]
+    clean = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    mixed = language_id.fit(spark.createDataFrame(rows + [(text("0123 éèàù"), "x") for _ in range(2)], "text string, lang string"))
+    assert mixed.reach[0, 5] > 0.8 * clean.reach[0, 5]
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("page,text", [
     ('<article class="post no-comments"><p>Body text</p></article>', "Body text"),

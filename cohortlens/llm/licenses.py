@@ -167,7 +167,7 @@ def scan_words(a: Automaton, numbers: np.ndarray, least: int = 4, gap: int = 32)
     inside = np.concatenate([[False], numbers >= 0, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[0::2], edge[1::2]
-    long = end - begin >= 2
+    long = end - begin >= min(2, *a.sizes)  # a single word is no phrase and no anchor, unless one has one word
     places: list[tuple[int, int]] = []
     anchors: dict[int, list[tuple[int, int, int]]] = {}
     step, link, length, phrase = a.step, a.link, a.length, a.phrase
@@ -176,8 +176,8 @@ def scan_words(a: Automaton, numbers: np.ndarray, least: int = 4, gap: int = 32)
         run = numbers[first:last].tolist()
         for i, c in enumerate(run):
             grown = c in step[state]
-            if not grown and n >= least:  # the match that ended at the word before cannot go on
-                _anchor(a, anchors, state, n, first + i)
+            if n >= least:  # templates in which the match that ended at the word before does not go on
+                _anchor(a, anchors, state, n, first + i, a.ends[step[state][c]] if grown else {})
             while state and c not in step[state]:
                 state = link[state]
                 n = length[state]
@@ -202,9 +202,12 @@ def scan_words(a: Automaton, numbers: np.ndarray, least: int = 4, gap: int = 32)
     return Scan(len(numbers), places, scores, spans)
 
 
-def _anchor(a: Automaton, anchors: dict, state: int, n: int, end: int) -> None:
+def _anchor(a: Automaton, anchors: dict, state: int, n: int, end: int, but: dict = {}) -> None:  # noqa: B006
+    """An anchor of ``n`` words before ``end`` for each template of the state that is not in ``but``."""
+    if len(but) == len(a.ends[state]):
+        return
     for t, place in a.ends[state].items():
-        if t < a.n_templates:
+        if t < a.n_templates and t not in but:
             anchors.setdefault(t, []).append((end - n, place + 1 - n, n))
 
 

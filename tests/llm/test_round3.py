@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm import bpe, collocations, html_text, language_id, prefix_trie, queries, shared
+from cohortlens.llm import bpe, collocations, html_text, language_id, licenses, prefix_trie, queries, shared
 from tests.conftest import SF001, SF01
 
 SF1 = "/root/testdata/sf0.1"
@@ -136,6 +136,29 @@ def test_mirrors_and_repeated_rows_keep_their_text(spark):
     assert html_text.extract(df.select(F.col("page_id").cast("short").alias("page_id"), "url", "html"), 2).count() == len(rows)
 
 
+# -- 10 ----------------------------------------------------------------------------------------------------------------
+def test_templates_that_begin_others_and_single_words():
+    short = "licensed under the apache license version 2 0"
+    long = short + " the license you may not use this file except in compliance with the license and its terms"
+    a = licenses.build([("short", short), ("long", long)], {"mit": "mit", "apache license": "apache"})
+    scan = licenses.scan_texts(a, [(short + " the license").encode(), long.encode(), b"x mit y", b"mit", short[:20].encode()])
+    assert scan[0].scores[0] == 1.0 and scan[0].spans[0] == [(0, 8)] and 0.3 < scan[0].scores[1] < 0.75
+    assert scan[1].scores == {0: 1.0, 1: 1.0}
+    assert scan[2].places == [(1, 0)] and scan[3].places == [(0, 0)] and scan[4].scores == {}
+
+
+def test_covered_share_against_brute_force():
+    random.seed(10)
+    for _ in range(60):
+        template = [random.choice("abcdefgh") + random.choice("xyz") for _ in range(random.randint(6, 25))]
+        a = licenses.build([("t", " ".join(template))], {"zz zz": "z"})
+        first = random.randint(0, len(template) - 4)
+        part = template[first:first + random.randint(4, len(template))]
+        text = ["no"] * random.randint(0, 5) + part + ["no"] * random.randint(0, 5)
+        got = licenses.scan_texts(a, [" ".join(text).encode()])[0].scores.get(0, 0.0)
+        assert got >= len(part) / len(template) - 1e-9  # the copied run at least
+
+
 # -- 11 ----------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():

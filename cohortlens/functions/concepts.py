@@ -8,7 +8,7 @@ have no rule in the reference (coagulopathy, low platelets); their stand-ins are
 
 from __future__ import annotations
 
-from cohortlens.functions.rules import LABEL_RULES
+from cohortlens.functions.rules import LABEL_RULES, SPAN_RULES
 
 # ---------------------------------------------------------------------------
 # Concept -> (label, prompt_desc) as the reference's phenotype scripts read them.
@@ -39,12 +39,14 @@ CONCEPT_RUNS = {
     'csection': ('c-section', 'disch_summary_curr_delivery_V2'),
 }
 
+_SPAN = {label: pattern for label, pattern, _ in SPAN_RULES}
+
 # Stand-in rules for prompts that narrow a label (alternatives of the reference's rules).
 _NARROW = {
     'percreta': r'(?<!no )(placenta\s*percreta)',
     'increta': r'(?<!no )(placenta\s*increta)',
-    'retained_poc': r'(?<!no )(retained poc|retained products of conception)',
-    'd_and_c': r'(dilation (?:and|&) curettage|dilation (?:and|&) evacuation|d&c| D and C | D and E | d&e | d\+c | d\+e |curretage)',
+    'retained_poc': _SPAN['retained products of conception'],
+    'd_and_c': _SPAN['dilation & curettage'],
     'PPH_surgical_extension': r'((?:uter|vagina).{0,10}extension|extension.{0,10}(?:uter|vagina))',
     'PPH_surgical_damage_artery': r'(artery.{0,10}lac|lac.{0,10}artery)',
     'PPH_surgical_damage_ligament': r'(ligament.{0,10}lac|lac.{0,10}ligament)',

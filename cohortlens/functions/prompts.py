@@ -8,53 +8,50 @@ from __future__ import annotations
 
 from cohortlens.functions.rules import BINARY_LABELS
 
-_Q = "Answer the following yes/no question. "
-_NOTE = " \n note: "
-
 # ---------------------------------------------------------------------------
 # The reference's explicit prompts.
 # ---------------------------------------------------------------------------
 EXPLICIT_PROMPTS = {
-    ('delivery_note', 'disch_summary'): _Q + "Does this discharge summary note mention a woman's delivery?\n note: ",
-    ('cryo', 'transfusion'): _Q + "Does the following discharge summary mention transfusion of cryoprecipitate (cryo) during the current delivery?" + _NOTE,
-    ('rbc', 'transfusion'): _Q + "Does the following discharge summary mention transfusion of packed red blood cells (pRBCs) during the current delivery?" + _NOTE,
-    ('platelets', 'transfusion'): _Q + "Does the following discharge summary mention transfusion of platelets during the current delivery?" + _NOTE,
-    ('ffp', 'transfusion'): _Q + "Does the following discharge summary mention transfusion of frozen fresh plasma (ffp) during the current delivery?" + _NOTE,
-    ('Uterine rupture', 'uterus_was'): _Q + "Does the following discharge summary mention that the uterus was ruptured during the current delivery?" + _NOTE,
-    ('Uterine rupture', 'rupture_of'): _Q + "Does the following discharge summary mention rupture (dehiscence) of the uterus during the current delivery?" + _NOTE,
-    ('PPH', 'disch_summary_curr_delivery'): _Q + "Does this discharge summary note mention that the woman had postpartum hemorrhage (PPH) during her current delivery?" + _NOTE,
-    ('PPH', 'disch_summary_curr_delivery_V2'): _Q + "Does the following discharge summary mention postpartum hemorrhage (PPH) during the current delivery?" + _NOTE,
-    ('PPH', 'disch_summary_curr_delivery_V3'): _Q + "Does the following discharge summary mention postpartum hemorrhage (PPH) during the current delivery? \n discharge summary: ",
-    ('PPH', 'disch_summary'): _Q + "Does this discharge summary note mention that the woman had postpartum hemorrhage?" + _NOTE,
-    ('PPH', 'disch_summary_v2'): _Q + "Does the following discharge summary mention postpartum hemorrhage?" + _NOTE,
-    ('PPH', 'disch_summary_v3'): _Q + "Does the following discharge summary mention postpartum hemorrhage (PPH)?" + _NOTE,
-    ('PPH - surgical causes', 'surgical_complication'): _Q + "Does the following discharge summary mention a surgical complication during the current delivery?" + _NOTE,
-    ('PPH - surgical causes', 'extension'): _Q + "Does the following discharge summary mention extension of the uterine incision during the current delivery?" + _NOTE,
-    ('PPH - surgical causes', 'cutting_artery'): _Q + "Does the following discharge summary mention cutting of the uterine artery during the current delivery?" + _NOTE,
-    ('PPH - surgical causes', 'damage_broad_ligament'): _Q + "Does the following discharge summary mention damage to the broad ligament during the current delivery?" + _NOTE,
-    ('placenta accreta spectrum', 'placenta_percreta'): _Q + "Does the following discharge summary mention placenta percreta during the current delivery?" + _NOTE,
-    ('placenta accreta spectrum', 'placenta_increta'): _Q + "Does the following discharge summary mention placenta increta during the current delivery?" + _NOTE,
-    ('retained products of conception', 'only_retained_poc'): _Q + "Does the following discharge summary mention retained POCs (products of conception) during the current delivery?" + _NOTE,
-    ('dilation & curettage', 'curretage'): _Q + "Does the following discharge summary mention the procedure curretage (D&C) during the current delivery?" + _NOTE,
-    ('disseminated intravascular coagulation (DIC)', 'coagulopathy'): _Q + "Does the following discharge summary mention coagulopathy during the current delivery?" + _NOTE,
-    ('disseminated intravascular coagulation (DIC)', 'low_platelets'): _Q + "Does the following discharge summary mention low platelets during the current delivery?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'disch_summary_curr_delivery'): _Q + "Does this discharge summary note mention that the woman was given cytotec (misoprostol) for atony during her current delivery?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'disch_summary_curr_delivery_V2'): _Q + "Does the following discharge summary mention cytotec (misoprostol) for atony during the current delivery?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'disch_summary'): _Q + "Does this discharge summary note mention that the woman was given cytotec (misoprostol) for atony?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'default'): _Q + "Did the patient receive cytotec (misoprostol) for atony in the following note?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'disch_summary_V3'): _Q + "Does the following discharge summary mention that the patient was given the drug Cytotec (Misoprostol) for atony?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'given_for_PPH'): _Q + "Does the following discharge summary mention that the patient was given the drug Cytotec (Misoprostol) for pph?" + _NOTE,
-    ('cytotec/misoprostol - as uterotonic', 'after_delivery'): _Q + "Does the following discharge summary mention that the patient was given the drug Cytotec (Misoprostol) after the delivery?" + _NOTE,
-    ('hemabate/carboprost', 'disch_summary_curr_delivery'): _Q + "Does this discharge summary note mention that the woman was given hemabate or carboprost during her current delivery?" + _NOTE,
-    ('hemabate/carboprost', 'disch_summary_curr_delivery_V2'): _Q + "Does the following discharge summary mention hemabate or carboprost during the current delivery?" + _NOTE,
-    ('hemabate/carboprost', 'disch_summary'): _Q + "Does this discharge summary note mention that the woman was given hemabate or carboprost?" + _NOTE,
-    ('hemabate/carboprost', 'default'): _Q + "Did the patient receive hemabate or carboprost in the following note?" + _NOTE,
-    ('hemabate/carboprost', 'hemabate_parenthesis_drug'): _Q + "Does the following discharge summary mention the drug Hemabate (Carboprost)?" + _NOTE,
-    ('methergine/methylergometrine', 'disch_summary_curr_delivery'): _Q + "Does this discharge summary note mention that the woman was given methergine or methylergometrine during her current delivery?" + _NOTE,
-    ('methergine/methylergometrine', 'disch_summary_curr_delivery_V2'): _Q + "Does the following discharge summary mention methergine or methylergometrine during the current delivery?" + _NOTE,
-    ('methergine/methylergometrine', 'disch_summary'): _Q + "Does this discharge summary note mention that the woman was given methergine or methylergometrine?" + _NOTE,
-    ('methergine/methylergometrine', 'default'): _Q + "Did the patient receive methergine in the following note?" + _NOTE,
-    ('methergine/methylergometrine', 'methergine_parenthesis_drug'): _Q + "Does the following discharge summary mention the drug Methergine (Methylergometrine)?" + _NOTE,
+    ('delivery_note', 'disch_summary'): "Answer the following yes/no question. Does this discharge summary note mention a woman's delivery?\n note: ",
+    ('cryo', 'transfusion'): "Answer the following yes/no question. Does the following discharge summary mention transfusion of cryoprecipitate (cryo) during the current delivery? \n note: ",
+    ('rbc', 'transfusion'): "Answer the following yes/no question. Does the following discharge summary mention transfusion of packed red blood cells (pRBCs) during the current delivery? \n note: ",
+    ('platelets', 'transfusion'): "Answer the following yes/no question. Does the following discharge summary mention transfusion of platelets during the current delivery? \n note: ",
+    ('ffp', 'transfusion'): "Answer the following yes/no question. Does the following discharge summary mention transfusion of frozen fresh plasma (ffp) during the current delivery? \n note: ",
+    ('Uterine rupture', 'uterus_was'): "Answer the following yes/no question. Does the following discharge summary mention that the uterus was ruptured during the current delivery? \n note: ",
+    ('Uterine rupture', 'rupture_of'): "Answer the following yes/no question. Does the following discharge summary mention rupture (dehiscence) of the uterus during the current delivery? \n note: ",
+    ('PPH', 'disch_summary_curr_delivery'): "Answer the following yes/no question. Does this discharge summary note mention that the woman had postpartum hemorrhage (PPH) during her current delivery? \n note: ",
+    ('PPH', 'disch_summary_curr_delivery_V2'): "Answer the following yes/no question. Does the following discharge summary mention postpartum hemorrhage (PPH) during the current delivery? \n note: ",
+    ('PPH', 'disch_summary_curr_delivery_V3'): "Answer the following yes/no question. Does the following discharge summary mention postpartum hemorrhage (PPH) during the current delivery? \n discharge summary: ",
+    ('PPH', 'disch_summary'): "Answer the following yes/no question. Does this discharge summary note mention that the woman had postpartum hemorrhage? \n note: ",
+    ('PPH', 'disch_summary_v2'): "Answer the following yes/no question. Does the following discharge summary mention postpartum hemorrhage? \n note: ",
+    ('PPH', 'disch_summary_v3'): "Answer the following yes/no question. Does the following discharge summary mention postpartum hemorrhage (PPH)? \n note: ",
+    ('PPH - surgical causes', 'surgical_complication'): "Answer the following yes/no question. Does the following discharge summary mention a surgical complication during the current delivery? \n note: ",
+    ('PPH - surgical causes', 'extension'): "Answer the following yes/no question. Does the following discharge summary mention extension of the uterine incision during the current delivery? \n note: ",
+    ('PPH - surgical causes', 'cutting_artery'): "Answer the following yes/no question. Does the following discharge summary mention cutting of the uterine artery during the current delivery? \n note: ",
+    ('PPH - surgical causes', 'damage_broad_ligament'): "Answer the following yes/no question. Does the following discharge summary mention damage to the broad ligament during the current delivery? \n note: ",
+    ('placenta accreta spectrum', 'placenta_percreta'): "Answer the following yes/no question. Does the following discharge summary mention placenta percreta during the current delivery? \n note: ",
+    ('placenta accreta spectrum', 'placenta_increta'): "Answer the following yes/no question. Does the following discharge summary mention placenta increta during the current delivery? \n note: ",
+    ('retained products of conception', 'only_retained_poc'): "Answer the following yes/no question. Does the following discharge summary mention retained POCs (products of conception) during the current delivery? \n note: ",
+    ('dilation & curettage', 'curretage'): "Answer the following yes/no question. Does the following discharge summary mention the procedure curretage (D&C) during the current delivery? \n note: ",
+    ('disseminated intravascular coagulation (DIC)', 'coagulopathy'): "Answer the following yes/no question. Does the following discharge summary mention coagulopathy during the current delivery? \n note: ",
+    ('disseminated intravascular coagulation (DIC)', 'low_platelets'): "Answer the following yes/no question. Does the following discharge summary mention low platelets during the current delivery? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'disch_summary_curr_delivery'): "Answer the following yes/no question. Does this discharge summary note mention that the woman was given cytotec (misoprostol) for atony during her current delivery? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'disch_summary_curr_delivery_V2'): "Answer the following yes/no question. Does the following discharge summary mention cytotec (misoprostol) for atony during the current delivery? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'disch_summary'): "Answer the following yes/no question. Does this discharge summary note mention that the woman was given cytotec (misoprostol) for atony? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'default'): "Answer the following yes/no question. Did the patient receive cytotec (misoprostol) for atony in the following note? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'disch_summary_V3'): "Answer the following yes/no question. Does the following discharge summary mention that the patient was given the drug Cytotec (Misoprostol) for atony? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'given_for_PPH'): "Answer the following yes/no question. Does the following discharge summary mention that the patient was given the drug Cytotec (Misoprostol) for pph? \n note: ",
+    ('cytotec/misoprostol - as uterotonic', 'after_delivery'): "Answer the following yes/no question. Does the following discharge summary mention that the patient was given the drug Cytotec (Misoprostol) after the delivery? \n note: ",
+    ('hemabate/carboprost', 'disch_summary_curr_delivery'): "Answer the following yes/no question. Does this discharge summary note mention that the woman was given hemabate or carboprost during her current delivery? \n note: ",
+    ('hemabate/carboprost', 'disch_summary_curr_delivery_V2'): "Answer the following yes/no question. Does the following discharge summary mention hemabate or carboprost during the current delivery? \n note: ",
+    ('hemabate/carboprost', 'disch_summary'): "Answer the following yes/no question. Does this discharge summary note mention that the woman was given hemabate or carboprost? \n note: ",
+    ('hemabate/carboprost', 'default'): "Answer the following yes/no question. Did the patient receive hemabate or carboprost in the following note? \n note: ",
+    ('hemabate/carboprost', 'hemabate_parenthesis_drug'): "Answer the following yes/no question. Does the following discharge summary mention the drug Hemabate (Carboprost)? \n note: ",
+    ('methergine/methylergometrine', 'disch_summary_curr_delivery'): "Answer the following yes/no question. Does this discharge summary note mention that the woman was given methergine or methylergometrine during her current delivery? \n note: ",
+    ('methergine/methylergometrine', 'disch_summary_curr_delivery_V2'): "Answer the following yes/no question. Does the following discharge summary mention methergine or methylergometrine during the current delivery? \n note: ",
+    ('methergine/methylergometrine', 'disch_summary'): "Answer the following yes/no question. Does this discharge summary note mention that the woman was given methergine or methylergometrine? \n note: ",
+    ('methergine/methylergometrine', 'default'): "Answer the following yes/no question. Did the patient receive methergine in the following note? \n note: ",
+    ('methergine/methylergometrine', 'methergine_parenthesis_drug'): "Answer the following yes/no question. Does the following discharge summary mention the drug Methergine (Methylergometrine)? \n note: ",
     ('estimated blood loss', 'default'): 'Extract the estimated blood loss in the following note. If you can\'t find the answer, please respond "unanswerable".\n note:',
     ('estimated blood loss', 'disch_summary'): 'Extract the estimated blood loss in the following discharge summary. If you can\'t find the answer, please respond "unanswerable".\n note:',
     ('estimated blood loss', 'disch_summary_V2'): 'Extract the estimated blood loss (EBL) in the following discharge summary. If you can\'t find the answer, please respond "unanswerable".\n note:',
@@ -86,10 +83,10 @@ PROMPT_LABELS = {
     'disseminated intravascular coagulation (DIC)': 'disseminated intravascular coagulation (DIC)',
 }
 GENERIC_TEMPLATES = {
-    'disch_summary': _Q + "Does this discharge summary note mention that the woman had {}?" + _NOTE,
-    'disch_summary_curr_delivery': _Q + "Does this discharge summary note mention that the woman had {} during her current delivery?" + _NOTE,
-    'default': _Q + "Does the following note describe {}?" + _NOTE,
-    'disch_summary_curr_delivery_V2': _Q + "Does the following discharge summary mention {} during the current delivery?" + _NOTE,
+    'disch_summary': "Answer the following yes/no question. Does this discharge summary note mention that the woman had {}? \n note: ",
+    'disch_summary_curr_delivery': "Answer the following yes/no question. Does this discharge summary note mention that the woman had {} during her current delivery? \n note: ",
+    'default': "Answer the following yes/no question. Does the following note describe {}? \n note: ",
+    'disch_summary_curr_delivery_V2': "Answer the following yes/no question. Does the following discharge summary mention {} during the current delivery? \n note: ",
 }
 
 

@@ -87,8 +87,9 @@ def answer_waves(notes: DataFrame, runs: Runs, model, path: str, tokenizer: Offs
             chunk_text(F.col("_text"), w["start"], w["length"]).alias("_chunk")))
         todo = mine.select(*key, "part", F.inline(cut)).join(F.broadcast(table.select("run", "prompt")), "run")
         answers = todo.withColumn("answer", model.answer(F.col("run"), F.col("prompt"), F.col("_chunk")))
+        # answers are short: they are dealt by partition, so that each partition is one file and not one of every task
         answers.select(*key, "chunk_idx", "answer", "run", "part", F.lit((last or 0) + 1).alias("attempt")) \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "part", "attempt") \
+            .repartition("run", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "part", "attempt") \
             .parquet(f"{path}/answers")
         done += 1
     return done

@@ -31,6 +31,17 @@ def test_single_group_offsets_equal_python_finditer(spark):
     assert got == exp and len(exp) > 0
 
 
+def test_laceration_anatomy_spans(spark):
+    """P31 worked by hand: the site nearest behind a tear that is not denied, or before one that no "no" follows."""
+    texts = {1: "tear of the vaginal wall", 2: "no laceration, vaginal birth", 3: "perineal laceration repaired",
+             4: "perineal tear , no bleeding", 5: "laceration, vaginal delivery", 6: "a tear\nvaginal", 7: None}
+    notes = spark.createDataFrame([(k, "r", None, t) for k, t in texts.items()],
+                                  "EMPI long, Report_Number string, Report_Date_Time timestamp_ntz, Report_Text string")
+    rules = [r for r in spans.multi_rules() if r[0] == catalog.ANATOMY]
+    got = {(r.EMPI, texts[r.EMPI][r.start:r.end], r.start) for r in spans.multi_group_spans(notes, rules).collect()}
+    assert got == {(1, "vaginal", 12), (3, "perineal", 0)}
+
+
 def test_blood_loss_groups_equal_python_findall(spark):
     notes = _cohort(spark)
     got = {(r.EMPI, r.Report_Number, r.Report_Date_Time): list(r.predictions)

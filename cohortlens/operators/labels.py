@@ -30,7 +30,7 @@ def prep_data(notes: DataFrame, annotations: DataFrame, restricted: bool = False
     report number. As the note key is unique in the cohort, the join keeps the number of annotations, which
     :func:`join_keeps_count` checks."""
     keys = annotations.select("EMPI", "Report_Number").distinct()
-    annotated = notes if restricted else notes.join(keys, ["EMPI", "Report_Number"], "left_semi")
+    annotated = notes if restricted else notes.join(keys.hint("merge"), ["EMPI", "Report_Number"], "left_semi")
     joined = annotations.join(annotated, [c for c in NOTE_KEY if c in annotations.columns], "left")
     return annotations, annotated, joined
 
@@ -70,8 +70,9 @@ def binary_labels(notes: DataFrame, annotations: DataFrame, labels: list[str] |
     member = _label_membership(annotations, labels)
 
     def label_sets(cols: list[str], name: str) -> DataFrame:
-        """At most one entry of each label for a key, so a hot key has one short row."""
-        return member.groupBy(*cols).agg(F.collect_set("label").alias(name)).dropna(subset=cols)
+        """At most one entry of each label for a key, so a hot key has one short row; not to be broadcast, see
+        :func:`against_gold`."""
+        return member.groupBy(*cols).agg(F.collect_set("label").alias(name)).dropna(subset=cols).hint("merge")
 
     def has(name: str, label: Column) -> Column:
         return F.coalesce(F.array_contains(F.col(name), label), F.lit(False))
@@ -127,6 +128,14 @@ def ie_labels(joined: DataFrame, notes: DataFrame, label: str, clean_span: bool
     return out.withColumn("span_extracted", (F.size("spans") > 0).cast("int"))
 
 
+def against_gold(preds: DataFrame, gold: DataFrame, on: list[str]) -> DataFrame:
+    """Predictions joined to their gold labels by a merge join on ``on``.
+
+    A stored gold table repeats a few values and keys, so its files are far smaller than its rows; a join chosen by the
+    size of the files would send all rows to the driver and to each executor."""
+    return gold.hint("merge").join(preds, on)
+
+
 def label_value_counts(labels_long: DataFrame) -> DataFrame:
     """A2 on labels: count of notes per (label, y)."""
     return labels_long.groupBy("label", "y").agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.concepts import COMPOSITES, CONCEPT_RULES, CONCEPT_RUNS, SUBTYPE_INPUTS
+from cohortlens.operators.labels import against_gold
 from cohortlens.operators.rules import PRED_KEY, rule_predictions
 
 
@@ -123,7 +124,7 @@ def composites_against_gold(preds: DataFrame, gold: DataFrame, stands_for: dict[
     made = wide.select(*key, *[_composite_expr(n, lambda c: F.col(f"_p_{c}")).alias(n) for n in stands_for])
     truth = gold.groupBy(*key).agg(*[F.max(F.when(F.col("label") == lab, F.col("y"))).alias(f"_y_{n}") for n, lab in stands_for.items()])
     rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("prediction"), F.col(f"_y_{n}").alias("y")) for n in stands_for])
-    return made.join(truth, key).select(*key, F.inline(rows)).where("prediction IS NOT NULL AND y IS NOT NULL")
+    return against_gold(made, truth, key).select(*key, F.inline(rows)).where("prediction IS NOT NULL AND y IS NOT NULL")
 
 
 def subtypes(preds: DataFrame, key: list[str] | None = None, anchor: str = "atony") -> DataFrame:

@@ -195,7 +195,7 @@ def _regex_eval(spark, sf_dir):
     gold = _labels_binary(spark, sf_dir)
     preds = rules.rule_predictions(notes, labels=[l for l in rules.BINARY_RULE_LABELS
                                                   if l in set(labels.BINARY_LABELS)])
-    return gold.join(preds.drop("MRN_Type"), ["label", "Report_Number", "EMPI", "Report_Date_Time"], "inner")
+    return labels.against_gold(preds.drop("MRN_Type"), gold, ["label", "Report_Number", "EMPI", "Report_Date_Time"])
 
 
 def q_metrics_regex_binary(spark, sf_dir):
@@ -467,7 +467,7 @@ def q_metrics_zero_shot_binary(spark, sf_dir):
     preds = predict.predict_runs(notes, dict(CONCEPT_RUNS), model).select(
         *key, "run", "label", predict.binary_from_answers().alias("prediction"))
     gold = _labels_binary(spark, sf_dir).select(*key, "label", "y")
-    ev = preds.join(gold, [*key, "label"]).drop("label").withColumnRenamed("run", "label")
+    ev = labels.against_gold(preds, gold, [*key, "label"]).drop("label").withColumnRenamed("run", "label")
     return metrics.binary_metrics(ev)
 
 

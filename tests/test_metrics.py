@@ -2,7 +2,9 @@
 
 import pytest
 
+from cohortlens.operators import labels as L
 from cohortlens.operators import metrics as M
+from cohortlens.operators import phenotype as P
 
 
 def _df(spark, pairs, label="x"):
@@ -34,3 +36,19 @@ def test_ie_metrics(spark):
     assert r.recall_labels == pytest.approx(1 / 3) and r.precision_labels == pytest.approx(1 / 2)
     assert r.recall_notes == pytest.approx(1 / 3) and r.exact_match_notes == pytest.approx(1 / 3)
     assert r.total_notes_with_true_annotation == 2
+
+
+def test_stored_gold_labels_are_not_broadcast(spark, tmp_path):
+    key = ["Report_Number", "EMPI"]
+    rows = spark.range(2000).selectExpr("concat('n', id) AS Report_Number", "id % 7 AS EMPI", "explode(array('a', 'b', 'c')) AS label")
+    rows.selectExpr("*", "CAST(EMPI = 3 AS int) AS y").write.parquet(str(tmp_path / "gold"))
+    rows.where("EMPI > 2").selectExpr("*", "CAST(label = 'a' AS int) AS prediction").write.parquet(str(tmp_path / "preds"))
+    gold, preds = spark.read.parquet(str(tmp_path / "gold")), spark.read.parquet(str(tmp_path / "preds"))
+    wide = preds.withColumnRenamed("label", "concept").selectExpr("*", "TIMESTAMP_NTZ '2014-01-01' AS Report_Date_Time")
+    stamped = gold.selectExpr("*", "TIMESTAMP_NTZ '2014-01-01' AS Report_Date_Time")
+    for found in (L.against_gold(preds, gold, [*key, "label"]), P.composites_against_gold(wide, stamped, {"accreta_composite": "a"})):
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = M.binary_metrics(L.against_gold(preds, gold, [*key, "label"])).collect()
+    seen = [i % 7 for i in range(2000) if i % 7 > 2]
+    assert {(r.label, r.tp + r.fn, r.tp) for r in got if r.label == "a"} == {("a", seen.count(3), seen.count(3))}
+    assert sorted(r.label for r in got) == ["a", "b", "c"]

@@ -7,24 +7,31 @@ file names contain. This source writes and reads single files by their names, th
 * Reader: files are listed once on the driver, by name only, and dealt into partitions of ``part_files`` files; only those
   that fit ``name_filter`` are opened. (Filters of a query are not taken over: Spark 4.1 shares one reader between two
   scans of a frame, so a filter pushed by one side of a self join would hold for the other as well.)
-* Writer: tasks write below ``_staging-<job>`` and report what they wrote; only the commit moves files to their places, so
-  a job that fails, or a task that is tried twice, leaves nothing behind. Two rows for one place are an error. With
+* Writer: tasks write below ``_staging-<job>``, each with a sorted list of the places of its files, and report the name of
+  that list; only the commit moves files to their places, so a job that fails, or a task that is tried twice, leaves
+  nothing behind. The commit merges the lists as streams: it holds a few lines of each, not all names. Two rows for one place are an error. With
   ``overwrite`` the folders that the job writes to lose their old files in the commit, other folders stay.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import heapq
+import io
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "folder string, file_name string, content string"
 STAGING = "_staging-"
+#: Lists that a commit reads at once (more are merged in levels), and files that it moves at once.
+MOST_LISTS, MOVED = 256, 4096
 
 
 def file_system(path: str):
@@ -72,11 +79,24 @@ class NoteFilesReader(DataSourceReader):
                 yield folder, name, f.read().decode("utf-8")
 
 
+def _write_list(where, path: str, places: Iterable[list[str]]) -> str:
+    """``places`` (folder, file name, staged path) as a file of a line each; its path."""
+    with where.open_output_stream(path) as f:
+        for part in batched(places, MOVED):
+            f.write("".join(json.dumps(p) + "\n" for p in part).encode())
+    return path
+
+
+def _read_list(where, path: str) -> Iterator[list[str]]:
+    with where.open_input_stream(path, buffer_size=1 << 16) as f:
+        yield from map(json.loads, io.TextIOWrapper(f, "utf-8"))
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task has written: (staged path, folder, file name)."""
+    """What a task has written: the path of its sorted list of (folder, file name, staged path)."""
 
-    files: list[tuple[str, str, str]]
+    places: str
 
 
 class NoteFilesWriter(DataSourceWriter):
@@ -94,27 +114,43 @@ class NoteFilesWriter(DataSourceWriter):
                 raise ValueError(f"no file can be named {name!r} in {folder!r}")
             with where.open_output_stream(f"{own}/{i}") as f:
                 f.write((row["content"] or "").encode("utf-8"))
-            files.append((f"{own}/{i}", folder, name))
-        return Written(files)
+            files.append([folder, name, f"{own}/{i}"])
+        return Written(_write_list(where, f"{own}/places", sorted(files)))
 
     def commit(self, messages: list[Written | None]) -> None:
         where, root = file_system(self.path)
         root = root.rstrip("/")
-        files = [f for m in messages if m is not None for f in m.files]
-        if len({f[1:] for f in files}) < len(files):
-            self.abort(messages)
-            raise ValueError("several rows have the same folder and file name")
-        for folder in {f[1] for f in files} if files else []:
-            target = f"{root}/{folder}".rstrip("/")
-            where.create_dir(target, recursive=True)
-            if self.overwrite:
-                for there, name in listed(target):
-                    if not there:
-                        where.delete_file(f"{target}/{name}")
+        lists = [m.places for m in messages if m is not None]
+        while len(lists) > MOST_LISTS:
+            lists = [_write_list(where, f"{root}/{self.staging}/{uuid.uuid4().hex}", heapq.merge(*[_read_list(where, x) for x in part]))
+                     for part in batched(lists, MOST_LISTS)]
+
+        def places() -> Iterator[list[str]]:
+            return heapq.merge(*[_read_list(where, x) for x in lists])
+
+        before = None
+        for folder, name, _ in places():
+            if (folder, name) == before:
+                self.abort(messages)
+                raise ValueError("several rows have the same folder and file name")
+            before = folder, name
+        last = None
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda f: where.move(f[0], "/".join(x for x in (root, f[1], f[2]) if x)), files))
+            for part in batched(places(), MOVED):
+                for folder in dict.fromkeys(p[0] for p in part):
+                    if folder != last:  # the first file of a folder
+                        self._prepare(where, f"{root}/{folder}".rstrip("/"))
+                    last = folder
+                list(pool.map(lambda p: where.move(p[2], "/".join(x for x in (root, p[0], p[1]) if x)), part))
         self._clean(where, root)
 
+    def _prepare(self, where, target: str) -> None:
+        where.create_dir(target, recursive=True)
+        if self.overwrite:
+            for there, name in listed(target):
+                if not there:
+                    where.delete_file(f"{target}/{name}")
+
     def abort(self, messages: list[Written | None]) -> None:
         where, root = file_system(self.path)
         self._clean(where, root.rstrip("/"))

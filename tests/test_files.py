@@ -1,6 +1,7 @@
 """Many small files as rows, annotator files of several shapes, and exports whose splits cut notes."""
 
 import json
+import pickle
 import random
 
 import pytest
@@ -51,6 +52,28 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path, bad):
     assert [p.name for p in (tmp_path / "f").iterdir()] == ["old"]
 
 
+@pytest.mark.parametrize("lists", [2, 256])
+def test_a_commit_gets_lists_and_not_names(tmp_path, monkeypatch, lists):
+    monkeypatch.setattr(NF, "MOST_LISTS", lists)
+    monkeypatch.setattr(NF, "MOVED", 3)
+    path = tmp_path / "f"
+    (path / "b").mkdir(parents=True)
+    (path / "b" / "old").write_text("old")
+
+    def job(rows, tasks=5):
+        w = NF.NoteFilesWriter({"path": str(path)}, True)
+        return w, [w.write(iter([dict(zip(("folder", "file_name", "content"), r, strict=True)) for r in rows[i::tasks]])) for i in range(tasks)]
+    rows = [(f, f"é {i}:\n.txt", f"{f}{i}") for f in ("", "a", "a/c", "b") for i in range(25)]
+    w, sent = job(rows)
+    assert max(len(pickle.dumps(m)) for m in sent) == max(len(pickle.dumps(m)) for m in job(rows[:5])[1])
+    w.commit([*sent, None])
+    assert {k: v for k, v in files_of(path).items() if not k.startswith(NF.STAGING)} == {"/".join(x for x in r[:2] if x): r[2] for r in rows}
+    w, sent = job([*rows, ("a/c", "é 7:\n.txt", "again")])
+    with pytest.raises(ValueError, match="same folder and file name"):
+        w.commit(sent)
+    assert len([k for k in files_of(path) if not k.startswith(NF.STAGING)]) == len(rows)
+
+
 def test_annotator_files_of_any_shape(spark, tmp_path):
     text = "EBL: 800 cc, atony. PPH"
     name = "annA_notes_empi_{}_note_BWH_3_time_2014-01-02 10:15:00"

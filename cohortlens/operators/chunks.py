@@ -10,11 +10,14 @@ and the tokenizer's own ``model_max_length`` holds, whatever ``max_length`` says
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ _RANGES = pa.list_(pa.struct([("budget", pa.int32()), ("chunk_idx", pa.int32()),
                               ("start", pa.int32()), ("length", pa.int32())]))
 _RANGES_DDL = "array<struct<budget:int,chunk_idx:int,n_tokens:int,start:int,length:int>>"
 
+#: Notes and bytes of text that are tokenized at a time: a token's range is some 150 bytes of Python objects, a chunk's
+#: some 400, so no more of a batch than this is held as such (one longer note is a part by itself).
+PART_NOTES, PART_BYTES = 64, 256 << 10
+
 
 class OffsetTokenizer(Protocol):
     """What chunking needs of a tokenizer."""
@@ -95,20 +102,35 @@ def ranges_of(spans: list[tuple[int, int]], budget: int, stride: int) -> list[tu
         first += budget - stride
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of ``texts`` of at most PART_NOTES notes and, if they have more than one, PART_BYTES bytes."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        fit = int(np.searchsorted(ends, before + PART_BYTES, side="right"))
+        last = max(first + 1, min(fit, first + PART_NOTES))
+        yield texts.slice(first, last - first)
+        first = last
+
+
+def _ranges_of_part(part: pa.Array, tokenizer: OffsetTokenizer, budgets: list[int], stride: int) -> pa.Array:
+    found = part.to_pylist()
+    out: list[list[dict] | None] = [None] * len(found)
+    known = [i for i, t in enumerate(found) if t is not None]
+    for i, spans in zip(known, tokenizer.offsets([found[i] for i in known]), strict=True):
+        out[i] = [{"budget": b, "chunk_idx": k, "n_tokens": len(spans), "start": start, "length": length}
+                  for b in budgets for k, (start, length) in enumerate(ranges_of(spans, b, stride))]
+    return pa.array(out, _RANGES)
+
+
 def chunk_ranges(text: Column, tokenizer: OffsetTokenizer, budgets: list[int], stride: int = STRIDE) -> Column:
     """Array of (budget, chunk_idx, n_tokens, start, length) of a text for each budget; null text: null."""
     budgets = sorted(set(budgets))
 
     @F.arrow_udf(_RANGES_DDL)
     def ranges(texts: pa.Array) -> pa.Array:
-        found = texts.to_pylist()
-        out: list[list[dict] | None] = [None] * len(found)
-        for first in range(0, len(found), 64):  # the offsets of 64 notes at a time
-            part = [i for i in range(first, min(first + 64, len(found))) if found[i] is not None]
-            for i, spans in zip(part, tokenizer.offsets([found[i] for i in part]), strict=True):
-                out[i] = [{"budget": b, "chunk_idx": k, "n_tokens": len(spans), "start": start, "length": length}
-                          for b in budgets for k, (start, length) in enumerate(ranges_of(spans, b, stride))]
-        return pa.array(out, _RANGES)
+        return pa.concat_arrays([pa.array([], _RANGES), *(_ranges_of_part(part, tokenizer, budgets, stride) for part in _parts(texts))])
 
     return ranges(text)
 

@@ -53,6 +53,25 @@ def test_every_chunk_is_a_substring(spark, kind, note_first):
         assert all(r.chunk_text == texts[k][r.start:r.start + r.length] and r.n_tokens == len(spans) for r in rows)
 
 
+class FewAtATime(chunks.RegexTokenizer):
+    """Refuses more than a part of a batch, unless it is one note."""
+
+    def offsets(self, texts):
+        assert len(texts) <= chunks.PART_NOTES
+        assert len(texts) <= 1 or sum(len(t.encode()) for t in texts) <= 256 << 10
+        return super().offsets(texts)
+
+
+def test_a_batch_is_tokenized_in_parts_of_bounded_bytes(spark):
+    texts = ["", None, "é word 12 " * 30_000, *["some words here " * 4000] * 40, None, *["short one"] * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = {r.id: r.c for r in df.select("id", chunks.chunk_ranges(F.col("t"), FewAtATime(), [300, 200]).alias("c")).collect()}
+    assert [got[i] is None for i in range(len(texts))] == [t is None for t in texts]
+    for i in (0, 2, 3, 42, 44):
+        spans = TOKENIZER.offsets([texts[i]])[0]
+        assert [(r.budget, r.start, r.length) for r in got[i]] == [(b, *x) for b in (200, 300) for x in brute_ranges(spans, b, 128)]
+
+
 def test_a_long_prompt_is_an_error():
     with pytest.raises(ValueError, match="no room"):
         chunks.note_budget("word " * 500, TOKENIZER)

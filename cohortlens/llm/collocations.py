@@ -1,8 +1,9 @@
 """Collocations: phrases whose words come together more often than their parts would, counted from a suffix tree that
 is cut at five words and built in independent parts (vertical partitioning by word prefixes).
 
-1. One pass counts every word of every language, and one counts word pairs in a table of hashed counters of fixed size.
-   A pair whose counter is under ``min_count`` is surely rare, so no phrase that is wanted holds it.
+1. One pass counts every word of every language, and one counts word pairs in a table of hashed counters, with more of
+   them the more words there are. A pair whose counter is under ``min_count`` is surely rare, so no phrase that is wanted
+   holds it.
 2. Every position that starts a pair which may be frequent gives its suffix, up to five words and to the first surely
    rare pair. Equal suffixes are added up before they are shuffled, and written once.
 3. Prefixes are grouped by a memory budget: a first word with more suffixes than its share becomes its prefixes of two
@@ -12,11 +13,13 @@ is cut at five words and built in independent parts (vertical partitioning by wo
 4. Scores, longer phrases with the same count, and ranks are joins and aggregations of the table of frequent nodes.
 
 Words are 64-bit hashes of language and word until step 4; equal hashes of different words are looked for and are an
-error. The counters only save work: with more words than they can tell apart, more suffixes are kept, and counts are the same.
+error. The counters only save work: with more words than they can tell apart (the largest table fills up from some
+2 x 10^9 on, for a ``min_count`` of 100), more suffixes are kept, at most one for each word, and counts are the same.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +33,10 @@ from cohortlens.llm.layout import bounded
 from cohortlens.llm.shared import written
 from cohortlens.llm.words import mix
 
-#: Words of the longest phrase; bits of the table of pair counters (bytes, so 16 MB); counters in a shuffled slice.
-DEPTH, COUNTER_BITS, SLICE_BITS = 5, 24, 16
+#: Words of the longest phrase; counters in a shuffled slice (bits).
+DEPTH, SLICE_BITS = 5, 16
+#: Bits of the least and the largest table of pair counters, which are bytes, so 16 and 128 MB in a task.
+COUNTER_BITS, MOST_COUNTER_BITS = 24, 27
 #: Suffixes that a group may hold (rows of 48 bytes), and the share of it beyond which a prefix is split.
 BUDGET, SHARE = 2_000_000, 8
 #: Most groups; with more suffixes the budget grows, so that the split prefixes, at most 4 x SHARE x this, stay bounded.
@@ -109,19 +114,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word", "w").agg(F.sum("n").alias("n"))
 
 
-def pair_counters(docs: DataFrame, most: int) -> np.ndarray:
-    """Occurrences of the word pairs of each counter, but ``most`` if more: a table of fixed size.
+def counter_bits(words: int, most: int) -> int:
+    """Bits of a table with eight counters for every ``most`` words: one that rare pairs share then seldom gets to ``most``."""
+    return min(max(COUNTER_BITS, math.ceil(math.log2(max(8 * words / most, 1)))), MOST_COUNTER_BITS)
 
-    Tasks send their counters in slices, which are added up where the slice goes; the driver gets 2^COUNTER_BITS bytes."""
+
+def pairs_often(docs: DataFrame, most: int, bits: int) -> np.ndarray:
+    """For each of 2^``bits`` counters, a bit (packed): whether its word pairs occur ``most`` (at most 255) times or more.
+
+    Tasks send their counters in slices, which are added up where the slice goes; the driver gets 2^``bits`` bits."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << COUNTER_BITS, np.uint32)
+        own = np.zeros(1 << bits, np.uint8)
         for texts, langs in _groups(batches, GROUP_BYTES):
             h, piece, _, _, _ = cut(texts, langs)
             if len(h) > 1:
-                together, at = _pairs(h, piece, COUNTER_BITS)
+                together, at = _pairs(h, piece, bits)
                 at, n = np.unique(at[together], return_counts=True)
                 own[at] = np.minimum(own[at] + n, most)
-        for i, part in enumerate(own.astype(np.uint8).reshape(-1, 1 << SLICE_BITS)):
+        for i, part in enumerate(own.reshape(-1, 1 << SLICE_BITS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
                                                  names=["slice", "part"])
@@ -131,7 +141,7 @@ def pair_counters(docs: DataFrame, most: int) -> np.ndarray:
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([zlib.compress(total.astype(np.uint8).tobytes(), 1)])], names=["slice", "part"])
+                [pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(total >= most).tobytes(), 1)])], names=["slice", "part"])
         for b in batches:
             for i, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i != now:
@@ -143,16 +153,19 @@ def pair_counters(docs: DataFrame, most: int) -> np.ndarray:
             yield row()
 
     slices = docs.mapInArrow(count, "slice int, part binary").repartition("slice").sortWithinPartitions("slice")
-    out = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
+    out = np.zeros((1 << (bits - SLICE_BITS), (1 << SLICE_BITS) // 8), np.uint8)
     for r in slices.mapInArrow(add, "slice int, part binary").collect():
         out[r["slice"]] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
     return out.ravel()
 
 
-def suffixes(docs: DataFrame, min_count: int) -> DataFrame:
-    """w1 to w5 (0: the suffix is shorter) and n of every distinct suffix that starts with a pair not surely rare."""
-    most = min(min_count, 255)
-    often = docs.sparkSession.sparkContext.broadcast(np.packbits(pair_counters(docs, most) >= most))
+def suffixes(docs: DataFrame, min_count: int, words: int = 0) -> DataFrame:
+    """w1 to w5 (0: the suffix is shorter) and n of every distinct suffix that starts with a pair not surely rare.
+
+    ``words`` is the number of words of ``docs``, by which the pair counters are sized."""
+    most = min(max(min_count, 1), 255)
+    size = counter_bits(words, most)
+    often = docs.sparkSession.sparkContext.broadcast(pairs_often(docs, most, size))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = often.value
@@ -160,7 +173,7 @@ def suffixes(docs: DataFrame, min_count: int) -> DataFrame:
             h, piece, _, _, _ = cut(texts, langs)
             if len(h) < 2:
                 continue
-            together, at = _pairs(h, piece, COUNTER_BITS)
+            together, at = _pairs(h, piece, size)
             on = together & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
             here = np.flatnonzero(on)
             on, words = np.concatenate([on, np.zeros(DEPTH, bool)]), np.concatenate([h, np.zeros(DEPTH, np.uint64)])
@@ -304,7 +317,8 @@ def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, text: s
     words = written(word_counts(src), "phrase-words")
     if words.groupBy("w").count().where("count > 1").limit(1).count():
         raise ValueError("two words have one hash; change the seed of the word hashes")
-    nodes = written(frequent_nodes(written(suffixes(src, min_count), "phrase-suffixes"), min_count, budget), "phrase-nodes")
+    found = written(suffixes(src, min_count, words.agg(F.sum("n")).first()[0] or 0), "phrase-suffixes")
+    nodes = written(frequent_nodes(found, min_count, budget), "phrase-nodes")
     often = written(words.where(F.col("n") >= min_count), "phrase-often")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = written(score_cuts(drop_contained(nodes), nodes, often, totals), "phrase-scores")

@@ -258,6 +258,26 @@ def test_collocations_split_prefixes_and_full_counters(spark, monkeypatch):
     assert got == collocations_expected(rows, 5, 2000)
 
 
+@pytest.mark.parametrize("most_bits", [27, 8])
+def test_collocation_counters_follow_the_number_of_words(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(collocations, "COUNTER_BITS", 8)
+    monkeypatch.setattr(collocations, "MOST_COUNTER_BITS", most_bits, raising=False)
+    monkeypatch.setattr(collocations, "SLICE_BITS", 4)
+    rows = [(" ".join(f"w{i}x{j}" for j in range(500)), "en") for i in range(40)]  # 20,000 pairs, each of them once
+    rows += [("a phrase often seen", "en"), ("A phrase", None)] * 10
+    sizes = {}
+
+    def written(df, name):
+        out = shared.written(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(collocations, "written", written)
+    got = sorted(map(tuple, collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), 10, 2000).collect()))
+    assert got == collocations_expected(rows, 10, 2000) and len(got) == 2
+    # 2^8 counters all get to 10 and every pair's suffix is kept; the sized table leaves those of the four pairs
+    assert sizes["phrase-suffixes"] > 15_000 if most_bits == 8 else sizes["phrase-suffixes"] < 100
+
+
 def test_collocations_on_odd_rows(spark, odd_docs, no_docs):
     got = sorted(map(tuple, collocations.collocations(odd_docs, 2, 2000).collect()))
     assert got == collocations_expected([(r["text"], r["lang"]) for r in odd_docs.collect()], 2, 2000)

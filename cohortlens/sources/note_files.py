@@ -1,16 +1,18 @@
-"""A data source of many small files: one row per file (folder, file_name, content).
+"""Many small files as rows: one row per file (folder, file_name, content).
 
 Spark's own writers make a folder of part files for each target and its paths cannot hold ``:``, which the annotators'
-file names contain. This source writes and reads single files by their names, through the file systems of ``pyarrow.fs``
+file names contain. This module writes and reads single files by their names, through the file systems of ``pyarrow.fs``
 (local or mounted folders, HDFS, object stores); the path must be one that driver and executors share.
 
-* Reader: files are listed once on the driver, by name only, and dealt into partitions of ``part_files`` files; only those
-  that fit ``name_filter`` are opened. (Filters of a query are not taken over: Spark 4.1 shares one reader between two
-  scans of a frame, so a filter pushed by one side of a self join would hold for the other as well.)
-* Writer: tasks write below ``_staging-<job>``, each with a sorted list of the places of its files, and report the name of
-  that list; only the commit moves files to their places, so a job that fails, or a task that is tried twice, leaves
-  nothing behind. The commit merges the lists as streams: it holds a few lines of each, not all names. Two rows for one place are an error. With
-  ``overwrite`` the folders that the job writes to lose their old files in the commit, other folders stay.
+* Reader (:func:`read_files`): a task lists the files, by name only, and deals the names out to tasks of about
+  ``part_files`` files (more files where there would be over ``MOST_PARTS`` tasks), which open them; only files that fit
+  ``name_filter`` are opened. The driver gets the number of files and no names. Local and mounted folders are listed as a
+  stream; ``pyarrow.fs`` gives a folder of another file system whole, so there the listing task holds the largest folder.
+* Writer (a data source): tasks write below ``_staging-<job>``, each with a sorted list of the places of its files, and
+  report the name of that list; only the commit moves files to their places, so a job that fails, or a task that is tried
+  twice, leaves nothing behind. The commit merges the lists as streams: it holds a few lines of each, not all names. Two
+  rows for one place are an error. With ``overwrite`` the folders that the job writes to lose their old files in the commit,
+  which lists them on the driver; other folders stay.
 """
 
 from __future__ import annotations
@@ -19,19 +21,25 @@ import fnmatch
 import heapq
 import io
 import json
+import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-SCHEMA = "folder string, file_name string, content string"
+NAMES = "folder string, file_name string"
+SCHEMA = f"{NAMES}, content string"
 STAGING = "_staging-"
 #: Lists that a commit reads at once (more are merged in levels), and files that it moves at once.
 MOST_LISTS, MOVED = 256, 4096
+#: Tasks that a read is dealt out to at most (or the session's shuffle partitions, if more), and characters after which a task
+#: passes on what it has read.
+MOST_PARTS, BATCH_CHARS = 1024, 4 << 20
 
 
 def file_system(path: str):
@@ -45,38 +53,58 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def listed(path: str, pattern: str = "*") -> list[tuple[str, str]]:
-    """(folder below ``path``, file name) of all files whose name fits ``pattern``; none if there is no such folder."""
+def _entries(where, folder: str) -> Iterator[tuple[str, bool, bool]]:
+    """(name, is a file, is a folder) of what is in ``folder``; nothing if there is no such folder."""
     from pyarrow import fs
 
+    if not isinstance(where, fs.LocalFileSystem):
+        for f in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            yield f.base_name, f.is_file, f.type == fs.FileType.Directory
+        return
+    try:
+        found = os.scandir(folder or "/")
+    except FileNotFoundError:
+        return
+    with found:
+        for e in found:
+            yield e.name, e.is_file(), e.is_dir()
+
+
+def listed(path: str, pattern: str = "*") -> Iterator[tuple[str, str]]:
+    """(folder below ``path``, file name) of all files whose name fits ``pattern``, in the order in which they are found; none if
+    there is no such folder."""
     where, root = file_system(path)
-    found = where.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
-    names = [f.path[len(root.rstrip("/")) + 1:] for f in found if f.is_file]
-    parts = [(n.rpartition("/")[0], n.rpartition("/")[2]) for n in names if not n.startswith(STAGING)]
-    return sorted(p for p in parts if fnmatch.fnmatchcase(p[1], pattern))
-
-
-@dataclass
-class Files(InputPartition):
-    """The files that one task reads."""
-
-    files: list[tuple[str, str]]
-
-
-class NoteFilesReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.pattern = options["path"], options.get("name_filter", "*")
-        self.part_files = int(options.get("part_files", 256))
-
-    def partitions(self) -> list[Files]:
-        found = listed(self.path, self.pattern)
-        return [Files(found[i:i + self.part_files]) for i in range(0, len(found), self.part_files)] or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        where, root = file_system(self.path)
-        for folder, name in partition.files:
-            with where.open_input_stream("/".join(x for x in (root.rstrip("/"), folder, name) if x)) as f:
-                yield folder, name, f.read().decode("utf-8")
+    root, folders = root.rstrip("/"), [""]
+    while folders:
+        folder = folders.pop()
+        for name, is_file, is_folder in _entries(where, f"{root}/{folder}" if folder else root):
+            if not folder and name.startswith(STAGING):
+                continue
+            if is_folder:
+                folders.append(f"{folder}/{name}" if folder else name)
+            elif is_file and fnmatch.fnmatchcase(name, pattern):
+                yield folder, name
+
+
+def _contents(path: str) -> Callable:
+    """A task's work: the files of the names that it gets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = file_system(path)
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["folder", "file_name", "content"])
+        for b in batches:
+            for folder, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with where.open_input_stream("/".join(x for x in (root.rstrip("/"), folder, name) if x)) as f:
+                    rows.append((folder, name, f.read().decode("utf-8")))
+                size += sum(map(len, rows[-1]))
+                if size >= BATCH_CHARS:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
+    return run
 
 
 def _write_list(where, path: str, places: Iterable[list[str]]) -> str:
@@ -147,7 +175,7 @@ class NoteFilesWriter(DataSourceWriter):
     def _prepare(self, where, target: str) -> None:
         where.create_dir(target, recursive=True)
         if self.overwrite:
-            for there, name in listed(target):
+            for there, name in list(listed(target)):
                 if not there:
                     where.delete_file(f"{target}/{name}")
 
@@ -163,7 +191,7 @@ class NoteFilesWriter(DataSourceWriter):
 
 
 class NoteFiles(DataSource):
-    """``spark.read/write.format("note_files")``; options: path, name_filter (a glob for file names), part_files."""
+    """``spark.write.format("note_files")``; option: path."""
 
     @classmethod
     def name(cls) -> str:
@@ -172,18 +200,21 @@ class NoteFiles(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> NoteFilesReader:
-        return NoteFilesReader(self.options)
-
     def writer(self, schema, overwrite: bool) -> NoteFilesWriter:
         return NoteFilesWriter(self.options, overwrite)
 
 
 def read_files(spark: SparkSession, path: str, name_filter: str = "*", part_files: int = 256) -> DataFrame:
-    """folder, file_name, content of the files below ``path`` whose names fit ``name_filter``."""
-    spark.dataSource.register(NoteFiles)
-    return spark.read.format("note_files").option("path", path).option("name_filter", name_filter) \
-        .option("part_files", part_files).load()
+    """folder, file_name, content of the files below ``path`` whose names fit ``name_filter``.
+
+    A job counts the files first, to deal them out. A name goes to the same task whenever it is listed, so a listing
+    that is repeated after a failure gives no file twice. The names are an RDD's, whose size Spark does not estimate: from a
+    small frame it would take the files for few and send them all to the driver for a broadcast join."""
+    found = spark.sparkContext.parallelize([path], 1).flatMap(lambda p: listed(p, name_filter))
+    most = max(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(max(1, -(-found.count() // part_files)), most)
+    names = spark.createDataFrame(found, NAMES, verifySchema=False)
+    return names.repartition(parts, "folder", "file_name").mapInArrow(_contents(path), SCHEMA)
 
 
 def write_files(files: DataFrame, path: str, overwrite: bool = False) -> None:

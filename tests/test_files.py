@@ -3,7 +3,9 @@
 import json
 import pickle
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,48 @@ def test_files_keep_their_names_and_texts(spark, tmp_path):
     assert both.count() == 42
 
 
+def test_names_are_a_stream_and_go_to_few_tasks(spark, tmp_path, monkeypatch):
+    path = tmp_path / "f"
+    for folder in ("", "a", "a/b", "_staging-x", "c/_staging-y"):
+        (path / folder).mkdir(parents=True, exist_ok=True)
+        for i in range(3):
+            (path / folder / f"{i}.txt").write_text(f"{folder} {i} é")
+    (path / "_staging-z.txt").touch()
+    (path / "far.txt").symlink_to(path / "a/1.txt")
+    (path / "gone.txt").symlink_to(path / "a/none")
+    (path / "1.json").touch()
+    exp = {(f, f"{i}.txt", f"{f} {i} é") for f in ("", "a", "a/b", "c/_staging-y") for i in range(3)} | {("", "far.txt", "a 1 é")}
+    assert sorted(NF.listed(str(path), "*.txt")) == sorted(x[:2] for x in exp)
+    assert sorted(NF.listed(f"{path}/")) == sorted([x[:2] for x in exp] + [("", "1.json")])
+    monkeypatch.setattr(NF, "MOST_PARTS", 3)
+    back = NF.read_files(spark, str(path), "*.txt", part_files=1)
+    assert back.rdd.getNumPartitions() == 4  # the session's shuffle partitions
+    assert sorted(map(tuple, back.collect())) == sorted(exp)
+    names = [pa.RecordBatch.from_pydict({"folder": f, "file_name": n}) for f, n in ((["a", "a"], ["0.txt", "1.txt"]), (["", "a/b"], ["1.json", "2.txt"]))]
+    monkeypatch.setattr(NF, "BATCH_CHARS", 1)
+    assert [b.to_pylist()[0]["content"] for b in NF._contents(str(path))(iter(names))] == ["a 0 é", "a 1 é", "", "a/b 2 é"]
+
+
+def test_the_driver_holds_no_names_of_files(spark, tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"annA_notes_empi_{i}_note_BWH_{i}_time_2014-01-02 10:15:00.txt").touch()
+    assert list(NF.listed(str(tmp_path / "none"))) == []  # imports are no names
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in NF.listed(str(tmp_path), "*.txt")) == 20_000
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+    back = NF.read_files(spark, str(tmp_path), "*.txt")
+    assert back.rdd.getNumPartitions() == 79
+    # no scan whose partitions, kept by the driver, hold names
+    plan = back._jdf.queryExecution().optimizedPlan()
+    assert "RelationV2" not in plan.toString()
+    # nor is it taken for small, which would broadcast it through the driver
+    assert int(str(plan.stats().sizeInBytes())) > 1 << 40
+    assert back.select("file_name").distinct().count() == 20_000
+
+
 def test_overwrite_clears_only_the_folders_written(spark, tmp_path):
     def write(rows, **kw):
         NF.write_files(spark.createDataFrame(rows, FILE), str(tmp_path / "f"), **kw)
